@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
-from posolog.functions.values import matched_number, squish, words
+from posolog.functions.values import contains_any, matched_number, matches, squish, words
 
 PARSED_FIELDS = (
     "tablets",
@@ -27,6 +27,7 @@ PARSED_FIELDS = (
     "parsed_status",
 )
 
+_TABLET_HINTS = ("tab", "pill", "cap")
 _POSITIVE_LEADING = r"^(?=[\d.]*[1-9])" + V.NUMBER
 
 
@@ -38,19 +39,26 @@ def is_blank(text: Column) -> Column:
     return text.isNull() | (F.trim(text, F.lit(" \t\r\n")) == "")
 
 
-def preprocessed(text: Column) -> Column:
-    """Number words to digits, Spanish terms to English, spoken remarks removed.
+def words_replaced(text: Column) -> Column:
+    """Number words to digits and Spanish terms to English.
 
-    The replacements run only on texts that hold one of the words; they cannot
-    create each other's input, so the guard does not change the result.
+    The replacements run only on texts that hold one of the words.  None creates
+    another's input, so words with the same replacement share one expression.
     """
-    any_word = words("|".join(p for p, _ in V.WORD_REPLACEMENTS))
-    replaced = text
+    same: dict[str, list[str]] = {}
     for pattern, becomes in V.WORD_REPLACEMENTS:
-        replaced = F.regexp_replace(replaced, words(pattern), becomes)
-    replaced = F.when(text.rlike(any_word), replaced).otherwise(text)
-    remark_free = squish(F.regexp_replace(replaced, V.WORD_ONLY_PARENTHETICAL, ""))
-    return F.when(text.contains("("), remark_free).otherwise(squish(replaced))
+        same.setdefault(becomes, []).append(pattern)
+    replaced = text
+    for becomes, patterns in same.items():
+        replaced = F.regexp_replace(replaced, words("|".join(patterns)), becomes)
+    some_word = matches(text, "|".join(p for p, _ in V.WORD_REPLACEMENTS))
+    return F.when(some_word, replaced).otherwise(text)
+
+
+def remarks_removed(text: Column) -> Column:
+    """Without parentheticals that hold no amount, such as ``(twelve)``."""
+    without = F.regexp_replace(text, words(V.WORD_ONLY_PARENTHETICAL), "")
+    return squish(F.when(text.contains("("), without).otherwise(text))
 
 
 def frequency(text: Column) -> Column:
@@ -61,35 +69,34 @@ def frequency(text: Column) -> Column:
     leading count is only read when it holds a digit other than zero.
     """
 
-    def leading_count(pattern: str) -> Column:
+    def leading_count(pattern: str, *hints: str) -> Column:
         found = F.regexp_extract(text, words(pattern), 0)
-        return F.regexp_extract(found, _POSITIVE_LEADING, 0).try_cast("double")
+        value = F.regexp_extract(found, _POSITIVE_LEADING, 0).try_cast("double")
+        return F.when(contains_any(text, hints), value)
 
-    def per(amount: float, pattern: str) -> Column:
-        return F.try_divide(F.lit(amount), matched_number(text, pattern))
+    def per(amount: float, pattern: str, *hints: str) -> Column:
+        return F.try_divide(F.lit(amount), matched_number(text, pattern, *hints))
 
-    def has(pattern: str, value: float) -> Column:
-        return F.when(text.rlike(words(pattern)), F.lit(value))
+    def has(pattern: str, value: float, *hints: str) -> Column:
+        return F.when(matches(text, pattern, *hints), F.lit(value))
 
-    by_mouth = F.when(
-        text.rlike(words(V.BY_MOUTH)) & ~text.rlike(words(V.NOT_A_DAILY_INTAKE)),
-        F.lit(1.0),
-    )
+    intake = matches(text, V.BY_MOUTH, "mouth", "po", "orally")
+    by_mouth = F.when(intake & ~matches(text, V.NOT_A_DAILY_INTAKE), F.lit(1.0))
     return F.coalesce(
-        per(24.0, V.EVERY_N_HOURS),
+        per(24.0, V.EVERY_N_HOURS, "every", "q"),
         has(V.TWICE_DAILY, 2.0),
-        leading_count(V.N_TIMES_DAILY),
+        leading_count(V.N_TIMES_DAILY, "daily", "day"),
         has(V.FOUR_DAILY, 4.0),
         has(V.THREE_DAILY, 3.0),
         has(V.TWO_DAILY, 2.0),
         has(V.ONCE_DAILY, 1.0),
         has(V.ALTERNATE_DAYS, 0.5),
-        per(1.0, V.EVERY_N_DAYS),
+        per(1.0, V.EVERY_N_DAYS, "every", "q"),
         has(V.TWICE_WEEKLY, 2.0 / 7.0),
-        leading_count(V.N_TIMES_WEEKLY) / F.lit(V.DAYS_PER_WEEK),
+        leading_count(V.N_TIMES_WEEKLY, "week") / F.lit(V.DAYS_PER_WEEK),
         F.try_divide(
             F.lit(1.0),
-            matched_number(text, V.EVERY_N_WEEKS) * F.lit(V.DAYS_PER_WEEK),
+            matched_number(text, V.EVERY_N_WEEKS, "week") * F.lit(V.DAYS_PER_WEEK),
         ),
         has(V.ONCE_WEEKLY, 1.0 / 7.0),
         has(V.ONCE_MONTHLY, 1.0 / 30.0),
@@ -97,14 +104,14 @@ def frequency(text: Column) -> Column:
         has(V.NIGHTLY, 1.0),
         has(V.MORNING, 1.0),
         has(V.ONCE_FOR_DOSES, 1.0),
-        has(V.ONLY_MG, 1.0),
+        has(V.ONLY_MG, 1.0, "mg"),
         by_mouth,
-        has(V.PER_DAY, 1.0),
+        has(V.PER_DAY, 1.0, "day", "per"),
     )
 
 
 def tablets_basic(text: Column) -> Column:
-    return F.coalesce(matched_number(text, V.TABLETS), F.lit(1.0))
+    return F.coalesce(matched_number(text, V.TABLETS, *_TABLET_HINTS), F.lit(1.0))
 
 
 def _word_number(word: Column) -> Column:
@@ -120,17 +127,26 @@ def tablets_advanced(text: Column, fraction: Column) -> Column:
     """
     half = F.lit(0.5)
     return F.coalesce(
-        matched_number(text, V.N_AND_A_HALF) + half,
+        matched_number(text, V.N_AND_A_HALF, "half") + half,
         fraction.try_cast("double"),
         F.when(fraction.isin("1/2", "½"), half),
-        _word_number(F.regexp_extract(text, words(V.WORD_AND_A_HALF), 1)) + half,
-        _word_number(F.regexp_extract(text, words(V.WORD_TABLETS), 1)),
+        F.when(
+            text.contains("half"),
+            _word_number(F.regexp_extract(text, words(V.WORD_AND_A_HALF), 1)) + half,
+        ),
+        F.when(
+            contains_any(text, _TABLET_HINTS),
+            _word_number(F.regexp_extract(text, words(V.WORD_TABLETS), 1)),
+        ),
         F.lit(1.0),
     )
 
 
 def fraction_text(text: Column) -> Column:
-    return F.regexp_extract(text, V.N_OR_FRACTION, 1)
+    return F.when(
+        contains_any(text, _TABLET_HINTS),
+        F.regexp_extract(text, words(V.N_OR_FRACTION), 1),
+    )
 
 
 def unit_days(unit: Column) -> Column:
@@ -143,8 +159,9 @@ def unit_days(unit: Column) -> Column:
 
 
 def duration(text: Column) -> Column:
-    found = F.regexp_extract(text, V.DURATION, 0)
-    return F.regexp_extract(found, V.NUMBER, 0).try_cast("double") * unit_days(found)
+    found = F.regexp_extract(text, words(V.DURATION), 0)
+    days = F.regexp_extract(found, V.NUMBER, 0).try_cast("double") * unit_days(found)
+    return F.when(contains_any(text, ["for", "x"]), days)
 
 
 def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataFrame:
@@ -160,8 +177,8 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
     def step(frame: DataFrame, **columns: Column) -> DataFrame:
         return frame.withColumns({f"__{k}": c for k, c in columns.items()})
 
-    def mg(pattern: str) -> Column:
-        return F.when(text.contains("mg"), matched_number(text, pattern))
+    def mg(pattern: str, hint: str = "mg") -> Column:
+        return matched_number(text, pattern, hint)
 
     total, per_dose = F.col("__total"), F.col("__per_dose")
     plain, per_day, bare = F.col("__plain"), F.col("__per_day"), F.col("__bare")
@@ -169,7 +186,8 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
 
     out = df.select(*keep)
     out = step(out, text=F.when(~is_blank(raw), normalised(raw)))
-    out = step(out, text=preprocessed(text))
+    out = step(out, text=words_replaced(text))
+    out = step(out, text=remarks_removed(text))
     if advanced:
         out = step(out, fraction=fraction_text(text))
     out = step(
@@ -182,18 +200,18 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
         ),
         freq=frequency(text),
         duration=duration(text),
-        total=mg(V.MG_TOTAL),
-        per_dose=mg(V.MG_PER_DOSE),
-        taper=F.coalesce(text.rlike(words(V.TAPER_WORD)), F.lit(False)),
-        prn=F.coalesce(text.rlike(words(V.PRN_WORD)), F.lit(False)),
-        free=F.coalesce(text.rlike(words(V.FREE_TEXT_WORD)), F.lit(False)),
+        total=mg(V.MG_TOTAL, "total"),
+        per_dose=mg(V.MG_PER_DOSE, "dose"),
+        taper=F.coalesce(matches(text, V.TAPER_WORD), F.lit(False)),
+        prn=F.coalesce(matches(text, V.PRN_WORD), F.lit(False)),
+        free=F.coalesce(matches(text, V.FREE_TEXT_WORD), F.lit(False)),
     )
     out = step(
         out,
-        plain=F.when(total.isNull() & per_dose.isNull(), mg(V.MG_PARENTHESISED)),
+        plain=F.when(total.isNull() & per_dose.isNull(), mg(V.MG_PARENTHESISED, "mg)")),
     )
     unnamed = total.isNull() & per_dose.isNull() & plain.isNull()
-    out = step(out, per_day=F.when(unnamed, mg(V.MG_PER_DAY)))
+    out = step(out, per_day=F.when(unnamed, mg(V.MG_PER_DAY, "day")))
     out = step(out, bare=F.when(unnamed & per_day.isNull(), mg(V.MG_BARE)))
     out = step(
         out,
@@ -201,7 +219,7 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
             F.coalesce(per_dose, F.coalesce(plain, bare) * F.col("__tablets"))
         ),
     )
-    once_a_day = freq.isNull() & text.rlike(words(V.DAILY_WORD))
+    once_a_day = freq.isNull() & matches(text, V.DAILY_WORD)
     out = step(
         out,
         dose=F.coalesce(total, per_day, admin * freq, F.when(once_a_day, admin)),
@@ -226,4 +244,4 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
         dose.alias("daily_dose_mg"),
         status.alias("parsed_status"),
     )
-    return out.select(*keep, F.inline(F.array(fields)))
+    return out.select(*keep, F.inline(F.array(fields)))  # see values.evaluated

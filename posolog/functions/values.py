@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,13 +15,77 @@ _NUMERIC_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
 def words(pattern: str) -> str:
-    """Make ``\\b`` and ``\\s`` follow Unicode on every Java version."""
-    return "(?U)" + pattern if r"\b" in pattern or r"\w" in pattern else pattern
+    """Make ``\\b``, ``\\w`` and ``\\s`` follow Unicode on every Java version."""
+    return "(?U)" + pattern if any(c in pattern for c in (r"\b", r"\w", r"\s")) else pattern
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """Parts of ``a|b(c|d)|e`` at the outermost level."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _opening_text(alternative: str) -> str:
+    """Plain text every match of one alternative must contain (may be empty)."""
+    found = re.match(r"(?:\\b)?([a-z0-9 -]+)([?*{]?)", alternative)
+    if not found:
+        return ""
+    return found[1][:-1] if found[2] else found[1]
+
+
+def contains_any(text: Column, parts: Iterable[str]) -> Column:
+    first, *rest = dict.fromkeys(parts)
+    found = text.contains(first)
+    for part in rest:
+        found = found | text.contains(part)
+    return found
+
+
+def matches(text: Column, pattern: str, *hints: str) -> Column:
+    """``text.rlike(pattern)``, cheaper.
+
+    Plain alternatives become ``contains``.  The others run as one regular
+    expression, only on texts that hold the text they open with (or one of
+    ``hints``, which the caller guarantees to be part of every match).
+    """
+    plain = [a for a in _alternatives(pattern) if re.fullmatch(r"[a-z0-9 -]+", a)]
+    others = [a for a in _alternatives(pattern) if a not in plain]
+    found = contains_any(text, plain) if plain else None
+    if others:
+        regex = text.rlike(words("|".join(others)))
+        needed = list(hints) or [_opening_text(a) for a in others]
+        if all(needed):
+            regex = contains_any(text, needed) & regex
+        found = regex if found is None else found | regex
+    return found
 
 
 def squish(text: Column) -> Column:
-    """Trim and collapse every run of white space to one blank."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    """Trim and collapse every run of white space to one blank.
+
+    Only runs and characters that change are matched, so ordinary text is read
+    once and not rewritten.
+    """
+    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
+
+
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The optimizer may copy a projected expression into every filter above it.
+    The output of a one-element ``inline`` is not copied, which matters for
+    expensive text rules that a filter follows.  Existing columns of the same
+    name are replaced.
+    """
+    fields = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(fields)))
 
 
 def text_number(text: Column) -> Column:
@@ -52,15 +117,19 @@ def day(df: DataFrame, name: str | None) -> Column:
     return F.col(name).cast("date")
 
 
-def matched_number(text: Column, pattern: str) -> Column:
-    """First number inside the first match of ``pattern``; NULL without a match."""
+def matched_number(text: Column, pattern: str, *hints: str) -> Column:
+    """First number inside the first match of ``pattern``; NULL without a match.
+
+    ``hints`` are texts of which every match contains at least one.
+    """
     found = F.regexp_extract(text, words(pattern), 0)
-    return F.regexp_extract(found, V.NUMBER, 0).try_cast("double")
+    value = F.regexp_extract(found, V.NUMBER, 0).try_cast("double")
+    return F.when(contains_any(text, hints), value) if hints else value
 
 
 def mg_in_name(text: Column) -> Column:
     """Strength named in a drug text, such as 10 in ``PREDNISONE 10 MG TABLET``."""
-    return F.regexp_extract(F.lower(text), V.MG_IN_NAME, 1).try_cast("double")
+    return matched_number(F.lower(text), V.MG_IN_NAME)
 
 
 def standard_drug_name(
@@ -68,16 +137,27 @@ def standard_drug_name(
 ) -> Column:
     """Canonical steroid name, or the cleaned text when no rule matches.
 
+    ``text`` is read many times; ``with_drug_name`` cleans it once beforehand.
     ``overrides`` are ``(pattern, canonical name)`` pairs.  They win over the
     built-in rules, match without regard to case, and the last one wins.
     """
-    clean = squish(F.lower(text.cast("string")))
+    return canonical_name(clean_name(text), overrides)
+
+
+def clean_name(text: Column) -> Column:
+    return squish(F.lower(text.cast("string")))
+
+
+def canonical_name(
+    clean: Column, overrides: Sequence[tuple[str, str]] | None = None
+) -> Column:
+    """Standard name of an already cleaned drug text."""
     name = F.when(
-        clean.rlike(words(V.PREDNISOLONE_WORD)) & ~clean.contains(V.METHYL_WORD),
+        matches(clean, V.PREDNISOLONE_WORD) & ~clean.contains(V.METHYL_WORD),
         F.lit("prednisolone"),
     )
     for pattern, canonical in V.DRUG_NAME_PATTERNS:
-        name = name.when(clean.rlike(words(pattern)), F.lit(canonical))
+        name = name.when(matches(clean, pattern), F.lit(canonical))
     name = name.otherwise(clean)
     if not overrides:
         return name
@@ -88,13 +168,17 @@ def standard_drug_name(
     return picked.otherwise(name)
 
 
-def route_class(*texts: Column) -> Column:
-    """Route class of the first non-NULL text (an empty text counts as present)."""
-    route = F.coalesce(*[F.lower(t.cast("string")) for t in texts], F.lit(""))
+def route_text(*texts: Column) -> Column:
+    """First non-NULL text in lower case (an empty text counts as present)."""
+    return F.coalesce(*[F.lower(t.cast("string")) for t in texts], F.lit(""))
+
+
+def route_class(route: Column) -> Column:
+    """Route class of a lower-case route text."""
     (name, pattern), *rest = V.ROUTE_PATTERNS
-    klass = F.when(route.rlike(words(pattern)), F.lit(name))
+    klass = F.when(matches(route, pattern), F.lit(name))
     for name, pattern in rest:
-        klass = klass.when(route.rlike(words(pattern)), F.lit(name))
+        klass = klass.when(matches(route, pattern), F.lit(name))
     return klass.otherwise(F.lit("other"))
 
 

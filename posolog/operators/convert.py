@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
-from posolog.functions.values import number, standard_drug_name
+from posolog.functions.values import canonical_name, clean_name, evaluated, number
 from posolog.schema import first_present, require_columns
 
 DRUG_FALLBACKS = ("dmard_name", "drug_concept_name", "ingredient_concept_name")
@@ -39,8 +39,9 @@ def convert_pred_equiv(
     require_columns(df, [dose_col])
 
     keep = [c for c in df.columns if c not in (out_col, "equiv_factor", "pred_equiv_status")]
-    name = standard_drug_name(F.col(drug_col), drug_name_map)
-    named = df.withColumn("__name", name)
+    cleaned = df.withColumn("__clean", clean_name(F.col(drug_col)))
+    name = canonical_name(F.col("__clean"), drug_name_map)
+    named = evaluated(cleaned, {"__name": name})
     if equiv_table is None:
         factors = F.create_map(
             *[

@@ -9,7 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
-from posolog.functions.values import route_class, standard_drug_name
+from posolog.functions.values import (
+    canonical_name,
+    clean_name,
+    evaluated,
+    route_class,
+    route_text,
+)
 from posolog.schema import first_present, require_columns
 
 log = logging.getLogger(__name__)
@@ -28,15 +34,16 @@ def with_drug_name(
     if source is None:
         return df
     require_columns(df, [source])
-    return df.withColumn(
-        "drug_name_std", standard_drug_name(F.col(source), drug_name_map)
-    )
+    cleaned = df.withColumn("__clean", clean_name(F.col(source)))
+    name = canonical_name(F.col("__clean"), drug_name_map)
+    return evaluated(cleaned, {"drug_name_std": name}).drop("__clean")
 
 
 def with_route_class(df: DataFrame, out_col: str = "route_class") -> DataFrame:
     """Add the route class read from the first non-NULL route or drug text."""
     present = [F.col(c) for c in ROUTE_COLUMNS if c in df.columns]
-    return df.withColumn(out_col, route_class(*present))
+    read = df.withColumn("__route", route_text(*present))
+    return evaluated(read, {out_col: route_class(F.col("__route"))}).drop("__route")
 
 
 def known_steroids(df: DataFrame, equiv_table: DataFrame | None = None) -> DataFrame:
@@ -56,11 +63,10 @@ def known_steroids(df: DataFrame, equiv_table: DataFrame | None = None) -> DataF
 
 def oral_only(df: DataFrame) -> DataFrame:
     """Keep oral rows; a source without any route column is left as it is."""
-    present = [F.col(c) for c in ROUTE_COLUMNS if c in df.columns]
-    if not present:
+    if not any(c in df.columns for c in ROUTE_COLUMNS):
         log.warning("no route column found; the oral filter is skipped")
         return df
-    return df.where(route_class(*present) == "oral")
+    return with_route_class(df, "__class").where("__class = 'oral'").drop("__class")
 
 
 def plausible(dose: Column, max_daily_dose_mg: float | None) -> Column:

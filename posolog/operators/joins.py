@@ -11,23 +11,31 @@ SLICE_DAYS = 90
 BROADCAST_ROWS = 200_000
 
 
+def is_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` holds at most ``rows`` rows; reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def small_enough_to_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` holds at most ``max_rows``.
 
-    The count reads no further than one row past the bound.  A larger table is
-    returned unhinted: the join then shuffles, and adaptive execution splits the
+    A larger table is returned unhinted: the join then shuffles, and adaptive execution splits the
     partitions of dominating keys.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_at_most(df, max_rows) else df
+
+
+def _slice(day: Column, slice_days: int) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(slice_days))
 
 
 def _slices(start: Column, end: Column, slice_days: int) -> Column:
-    """Numbers of the fixed-width slices an interval touches; NULL if it is not one."""
-    first = F.floor(F.unix_date(start) / F.lit(slice_days))
-    last = F.floor(F.unix_date(end) / F.lit(slice_days))
-    return F.when(start <= end, F.sequence(first, last))
+    """Numbers of the fixed-width slices between two days, in either order."""
+    low, high = F.least(start, end), F.greatest(start, end)
+    return F.when(
+        start.isNotNull() & end.isNotNull(),
+        F.sequence(_slice(low, slice_days), _slice(high, slice_days)),
+    )
 
 
 def overlap_join(
@@ -39,12 +47,12 @@ def overlap_join(
     how: str = "inner",
     slice_days: int = SLICE_DAYS,
 ) -> DataFrame:
-    """Pairs of rows with equal keys whose closed day intervals share a day.
+    """Pairs with equal keys, each side starting no later than the other ends.
 
     Both sides are cut into slices of the day axis and joined on keys and slice,
     so one key's rows spread over many partitions and only neighbours in time
     are compared.  A pair is kept in the slice where the later of the two
-    intervals starts, hence exactly once.
+    intervals begins, hence exactly once.
 
     With ``how='left'`` a left row may also appear unmatched once per slice: the
     caller aggregates per left row, which ignores those.  Column names of the two
@@ -55,7 +63,7 @@ def overlap_join(
     explode = F.explode_outer if how == "left" else F.explode
     cut_left = left.select("*", explode(_slices(ls, le, slice_days)).alias("__l_slice"))
     cut_right = right.select("*", F.explode(_slices(rs, re, slice_days)).alias("__r_slice"))
-    home = F.floor(F.unix_date(F.greatest(ls, rs)) / F.lit(slice_days))
+    home = _slice(F.greatest(F.least(ls, le), F.least(rs, re)), slice_days)
     on = F.col("__l_slice") == F.col("__r_slice")
     for l, r in keys:
         on = on & (F.col(l) == F.col(r))

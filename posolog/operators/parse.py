@@ -7,29 +7,38 @@ from pyspark.sql import functions as F
 
 from posolog.functions.sig import PARSED_FIELDS, add_parsed_sig
 from posolog.functions.taper import taper_schedule
+from posolog.operators.joins import BROADCAST_ROWS, is_at_most
 from posolog.schema import require_columns
 
 
 def parse_sig(
-    df: DataFrame, sig_col: str = "sig", advanced: bool = False, dictionary: bool = False
+    df: DataFrame,
+    sig_col: str = "sig",
+    advanced: bool = False,
+    dictionary: bool = False,
+    max_texts: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Append the parsed fields of each prescription text.
 
     By default the text is parsed in place: a narrow transformation, so a text
-    that fills a third of the table costs no more than any other.  With
-    ``dictionary=True`` every distinct text is parsed once and joined back,
-    which trades a shuffle for fewer parses; it suits long, often repeated
-    texts.  The distinct step combines before its shuffle, and the join side is
-    chosen by its measured size at run time (adaptive execution splits the
-    partition of a text that dominates).
+    that fills a third of the table costs no more than any other.
+
+    ``dictionary=True`` parses every distinct text once and looks the rows up,
+    which is several times cheaper where texts repeat.  It first counts the
+    distinct texts, no further than ``max_texts``: up to that bound the
+    dictionary is broadcast, so the rows are still not shuffled; beyond it the
+    rows are parsed in place after all.  The count runs when the plan is built,
+    so use it on a written table rather than on a long plan.
     """
     require_columns(df, [sig_col])
-    if not dictionary:
+    if not dictionary or df.isStreaming:
         return add_parsed_sig(df, sig_col, advanced)
-    keep = [c for c in df.columns if c not in PARSED_FIELDS]
     texts = df.select(F.col(sig_col).alias("__sig")).where("__sig IS NOT NULL").distinct()
-    parsed = add_parsed_sig(texts, "__sig", advanced)
-    # A NULL text never joins; it is the blank text's reading.
+    if not is_at_most(texts, max_texts):
+        return add_parsed_sig(df, sig_col, advanced)
+    keep = [c for c in df.columns if c not in PARSED_FIELDS]
+    parsed = F.broadcast(add_parsed_sig(texts, "__sig", advanced))
+    # A NULL text never joins; it reads as a blank one.
     joined = df.select(*keep).join(parsed, F.col(sig_col) == F.col("__sig"), "left")
     blank = {
         "mg_total_flag": F.lit(False),

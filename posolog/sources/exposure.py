@@ -13,6 +13,21 @@ from posolog.functions import fixed_values as V
 from posolog.operators.joins import BROADCAST_ROWS, small_enough_to_broadcast
 from posolog.schema import REQUIRED, require_columns
 
+_FACT_COLUMNS = (
+    "person_id",
+    "drug_exposure_id",
+    "drug_concept_id",
+    "drug_source_concept_id",
+    "drug_exposure_start_date",
+    "drug_exposure_end_date",
+    "quantity",
+    "days_supply",
+    "sig",
+    "route_concept_id",
+    "dose_unit_source_value",
+    "drug_source_value",
+)
+
 IdSet = Iterable[int] | DataFrame | None
 
 
@@ -71,7 +86,9 @@ def extract_exposures(
     low = F.lit(str(start_date or V.FIRST_START_DATE)).cast("date")
     high = F.lit(str(end_date)).cast("date") if end_date else F.current_date()
     start = F.col("drug_exposure_start_date")
-    facts = tables.drug_exposure.where((start >= low) & (start < F.date_add(high, 1)))
+    facts = tables.drug_exposure.select(*_FACT_COLUMNS).where(
+        (start >= low) & (start < F.date_add(high, 1))
+    )
     facts = restrict(facts, "drug_concept_id", drug_concept_ids)
     facts = restrict(facts, "person_id", person_ids)
 
