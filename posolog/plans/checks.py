@@ -275,10 +275,10 @@ def three_methods(gap: int = 30) -> With:
     candidates(q, "plain", "bc", "CAST(NULL AS DOUBLE)")
     cascade(q, "bc", "b")
     nlp(q, "n")
-    nlp(q, "a", advanced=True)
+    nlp(q, "adv", advanced=True)
     episodes(q, "b", "eb", "dose", gap)
     episodes(q, "n", "en", "nlp_dose", gap)
-    return episodes(q, "a", "ea", "nlp_dose", gap)
+    return episodes(q, "adv", "ea", "nlp_dose", gap)
 
 
 METHODS = {"Baseline": "eb", "NLP": "en", "Advanced NLP": "ea"}

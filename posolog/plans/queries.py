@@ -413,12 +413,12 @@ def dose_nlp_advanced_tapers(spark, sf_dir):
 def _stack_check() -> str:
     q = C.baseline(False)
     C.nlp(q, "n")
-    C.nlp(q, "a", advanced=True)
+    C.nlp(q, "adv", advanced=True)
     rows = "person_id, drug_exposure_start_date, drug_name_std"
     return q.select(
         f"SELECT {rows}, {r('dose', 'dose_mg')}, 'Baseline' AS method FROM b UNION ALL SELECT {rows}, "
         f"{r('nlp_dose', 'dose_mg')}, 'NLP' FROM n UNION ALL SELECT {rows}, "
-        f"{r('nlp_dose', 'dose_mg')}, 'Advanced NLP' FROM a"
+        f"{r('nlp_dose', 'dose_mg')}, 'Advanced NLP' FROM adv"
     )
 
 
