@@ -114,42 +114,47 @@ def exact_quantiles(
     return picked.groupBy(*by).agg(*[quantile(name) for name in probs])
 
 
-def _average_ranks(pairs: DataFrame, column: str, out: str) -> DataFrame:
-    """Average rank of every distinct value of ``column``."""
+def _average_ranks(
+    pairs: DataFrame, column: str, out: str, by: Sequence[str]
+) -> DataFrame:
+    """Average rank of every distinct value of ``column`` within its group."""
     counted = (
-        pairs.groupBy(F.col(column).alias("__value"))
+        pairs.groupBy(*by, F.col(column).alias("__value"))
         .agg(F.sum("n").alias("__n"))
         .withColumn("__slice", value_slice(F.col("__value")))
     )
-    offsets = _slice_offsets(counted, []).select("__slice", "__before")
+    offsets = _slice_offsets(counted, by).select(*by, "__slice", "__before")
     within = (
-        Window.partitionBy("__slice")
+        Window.partitionBy(*by, "__slice")
         .orderBy("__value")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = counted.withColumn("__upto", F.sum("__n").over(within))
     rank = F.col("__before") + F.col("__upto") - (F.col("__n") - 1) / F.lit(2.0)
-    return ranked.join(offsets, "__slice").select(
-        F.col("__value").alias(column), rank.alias(out)
+    return ranked.join(offsets, [*by, "__slice"]).select(
+        *by, F.col("__value").alias(column), rank.alias(out)
     )
 
 
-def spearman(df: DataFrame, x: str, y: str, at_least: int = 3) -> DataFrame:
-    """One row, ``spearman``: rank correlation with average ranks for ties.
+def spearman(
+    df: DataFrame, x: str, y: str, by: Sequence[str] = (), at_least: int = 3
+) -> DataFrame:
+    """``spearman`` per group: rank correlation with average ranks for ties.
 
     Pairs are counted first, so a common pair of values is one row in the joins.
     NULL for fewer than ``at_least`` complete pairs or without any variation.
     """
+    by = list(by)
     pairs = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(F.col(x).alias("x"), F.col(y).alias("y"))
+        .groupBy(*by, F.col(x).alias("x"), F.col(y).alias("y"))
         .agg(F.count("*").alias("n"))
     )
-    ranked = pairs.join(_average_ranks(pairs, "x", "rx"), "x").join(
-        _average_ranks(pairs, "y", "ry"), "y"
+    ranked = pairs.join(_average_ranks(pairs, "x", "rx", by), [*by, "x"]).join(
+        _average_ranks(pairs, "y", "ry", by), [*by, "y"]
     )
     n, rx, ry = F.col("n"), F.col("rx"), F.col("ry")
-    sums = ranked.agg(
+    sums = ranked.groupBy(*by).agg(
         F.sum("n").alias("total"),
         F.sum(n * rx).alias("sx"),
         F.sum(n * ry).alias("sy"),
@@ -162,7 +167,7 @@ def spearman(df: DataFrame, x: str, y: str, at_least: int = 3) -> DataFrame:
     vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), t)
     vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), t)
     rho = F.try_divide(covariance, F.sqrt(F.greatest(vx * vy, F.lit(0.0))))
-    return sums.select(F.when(t >= at_least, rho).alias("spearman"))
+    return sums.select(*by, F.when(t >= at_least, rho).alias("spearman"))
 
 
 def pearson(x: Column, y: Column, at_least: int = 3) -> Column:

@@ -70,20 +70,20 @@ def top_patient_trajectories(episodes: DataFrame, n_patients: int = 3) -> DataFr
 
 
 # ------------------------------------------------------ distributions (A1-A3) ---
-def dose_rows(episodes: Mapping[str, DataFrame], gold: DataFrame | None = None) -> DataFrame:
-    """Positive episode doses of every method, and of the gold standard."""
-    tables = {
-        name: positive_doses(df).select("person_id", "drug_name_std", "median_daily_dose")
-        for name, df in episodes.items()
-    }
-    if gold is not None:
-        drug = F.col("drug_name_std") if "drug_name_std" in gold.columns else F.lit(None)
-        tables["Gold"] = positive_doses(gold).select(
-            F.col("patient_id").alias("person_id"),
-            F.coalesce(drug, F.lit("unknown")).alias("drug_name_std"),
-            "median_daily_dose",
-        )
-    return stack(tables)
+def dose_rows(episodes: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """Positive doses of the stacked episodes, and of the gold standard."""
+    columns = ["person_id", "drug_name_std", "median_daily_dose", "method"]
+    rows = positive_doses(episodes).select(*columns)
+    if gold is None:
+        return rows
+    drug = F.col("drug_name_std") if "drug_name_std" in gold.columns else F.lit(None)
+    reviewed = positive_doses(gold).select(
+        F.col("patient_id").alias("person_id"),
+        F.coalesce(drug, F.lit("unknown")).alias("drug_name_std"),
+        "median_daily_dose",
+        F.lit("Gold").alias("method"),
+    )
+    return rows.unionByName(reviewed)
 
 
 def dose_distribution(rows: DataFrame) -> DataFrame:
@@ -104,14 +104,9 @@ def dose_distribution(rows: DataFrame) -> DataFrame:
     )
 
 
-def scatter_pairs(comparisons: Mapping[str, DataFrame]) -> DataFrame:
-    return stack(
-        {
-            name: matched_only(df).select(
-                "patient_id", "gold_dose", F.col("computed_dose").alias("method_dose")
-            )
-            for name, df in comparisons.items()
-        }
+def scatter_pairs(comparison: DataFrame) -> DataFrame:
+    return matched_only(comparison).select(
+        "method", "patient_id", "gold_dose", F.col("computed_dose").alias("method_dose")
     )
 
 
@@ -139,7 +134,7 @@ def bland_altman_limits(ba_pairs: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------- errors (A4-A6) ---
 def high_errors(
-    comparisons: Mapping[str, DataFrame],
+    comparison: DataFrame,
     abs_error_mg: float = V.HIGH_ERROR_MG,
     rel_error_pct: float = V.HIGH_ERROR_PCT,
 ) -> DataFrame:
@@ -148,7 +143,7 @@ def high_errors(
     An infinite relative error (gold dose zero) counts as large.
     """
     zero_gold = (F.col("gold_dose") == 0) & (F.col("bias_error") != 0)
-    return stack({n: matched_only(df) for n, df in comparisons.items()}).where(
+    return matched_only(comparison).where(
         (F.col("absolute_error") > abs_error_mg)
         | (F.col("absolute_relative_error_pct") > rel_error_pct)
         | zero_gold
@@ -212,71 +207,105 @@ def error_by_direction(errors: DataFrame) -> DataFrame:
 
 
 # -------------------------------------------------------- eligibility (A7-A8) ---
-def _step(order: int, label: str, df: DataFrame, person: str | None, rows: bool) -> DataFrame:
-    none = F.lit(None).cast("bigint")
-    patients = F.countDistinct(person) if person else none
-    return df.agg(
-        F.lit(order).alias("step_order"),
-        F.lit(label).alias("Step"),
-        patients.alias("Patients"),
-        (F.count("*") if rows else none).alias("Episodes"),
+def _per_method(
+    stacked: DataFrame, methods: Sequence[str], first: int, label: str, *aggregates
+) -> DataFrame:
+    """One funnel step per method in a single aggregation; empty methods show zero."""
+    names = F.array(
+        *[
+            F.struct(
+                F.lit(first + i).alias("step_order"),
+                F.lit(label.format(m)).alias("Step"),
+                F.lit(m).alias("method"),
+            )
+            for i, m in enumerate(methods)
+        ]
     )
+    rows = stacked.sparkSession.range(1).select(F.inline(names))
+    counts = stacked.groupBy("method").agg(*aggregates)
+    return rows.join(counts, "method", "left").drop("method").fillna(0)
 
 
 def eligibility_funnel(
     raw: DataFrame,
     oral_records: DataFrame,
-    episodes: Mapping[str, DataFrame],
+    episodes: DataFrame,
     gold: DataFrame,
-    comparisons: Mapping[str, DataFrame],
+    comparison: DataFrame,
+    methods: Sequence[str],
 ) -> DataFrame:
-    """Patients and episodes left after each step of the study."""
-
-    def gold_within(df: DataFrame) -> DataFrame:
-        people = df.select(F.col("person_id").alias("patient_id"))
-        return gold.select("patient_id").join(people, "patient_id", "left_semi")
-
-    steps = [("DB: raw records (all steroids)", raw, "person_id", True)]
-    steps.append(("DB: after oral/drug filter", oral_records, "person_id", True))
-    for name, df in episodes.items():
-        steps.append((f"DB: with >=1 episode ({name})", df, "person_id", True))
-    steps.append(("Gold: total", gold, "patient_id", True))
-    steps.append(("Gold: found in DB", gold_within(raw), "patient_id", False))
-    for name, df in episodes.items():
-        steps.append((f"Gold: with {name} episode", gold_within(df), "patient_id", False))
-    for name, df in comparisons.items():
-        steps.append((f"Gold eps matched ({name})", matched_only(df), None, True))
-    out = None
-    for order, (label, df, person, rows) in enumerate(steps, start=1):
-        row = _step(order, label, df, person, rows)
-        out = row if out is None else out.unionByName(row)
+    """Patients and episodes left after each step of the study.
+
+    ``episodes`` and ``comparison`` are stacked under ``method``.
+    """
+    none = F.lit(None).cast("bigint")
+
+    def step(order: int, label: str, df: DataFrame, person: str, rows: bool = True):
+        return df.agg(
+            F.lit(order).alias("step_order"),
+            F.lit(label).alias("Step"),
+            F.countDistinct(person).alias("Patients"),
+            (F.count("*") if rows else none).alias("Episodes"),
+        )
+
+    patients = F.countDistinct("person_id").alias("Patients")
+    rows = F.count("*").alias("Episodes")
+    n = len(methods)
+    gold_people = gold.select(F.col("patient_id").alias("person_id"))
+    raw_people = raw.select(F.col("person_id").alias("patient_id"))
+    reviewed = episodes.join(gold_people, "person_id", "left_semi")
+    parts = [
+        step(1, "DB: raw records (all steroids)", raw, "person_id"),
+        step(2, "DB: after oral/drug filter", oral_records, "person_id"),
+        _per_method(episodes, methods, 3, "DB: with >=1 episode ({})", patients, rows),
+        step(3 + n, "Gold: total", gold, "patient_id"),
+        step(
+            4 + n,
+            "Gold: found in DB",
+            gold.join(raw_people, "patient_id", "left_semi"),
+            "patient_id",
+            rows=False,
+        ),
+        _per_method(reviewed, methods, 5 + n, "Gold: with {} episode", patients).withColumn(
+            "Episodes", none
+        ),
+        _per_method(
+            matched_only(comparison), methods, 5 + 2 * n, "Gold eps matched ({})", rows
+        ).withColumn("Patients", none),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def episode_counts(
-    episodes: Mapping[str, DataFrame],
-    gold: DataFrame,
-    comparisons: Mapping[str, DataFrame],
-) -> DataFrame:
-    """Patients, episodes, matches and median dose per source."""
-    sources = {n: df.select("person_id", "median_daily_dose") for n, df in episodes.items()}
-    sources["Gold Standard"] = gold.select(
-        F.col("patient_id").alias("person_id"), "median_daily_dose"
+def episode_counts(episodes: DataFrame, gold: DataFrame, comparison: DataFrame) -> DataFrame:
+    """Patients, episodes, matches and median dose per method and for the gold."""
+    columns = ["method", "person_id", "median_daily_dose"]
+    stacked = episodes.select(*columns).unionByName(
+        gold.select(
+            F.lit("Gold Standard").alias("method"),
+            F.col("patient_id").alias("person_id"),
+            "median_daily_dose",
+        )
     )
-    stacked = stack(sources, "Source")
-    counts = stacked.groupBy("Source").agg(
+    counts = stacked.groupBy("method").agg(
         F.countDistinct("person_id").alias("Patients"), F.count("*").alias("Episodes")
     )
-    matches = (
-        stack({n: df.select("computed_dose") for n, df in comparisons.items()}, "Source")
-        .groupBy("Source")
-        .agg(F.count("computed_dose").alias("Overlap_with_Gold"))
+    matches = comparison.groupBy("method").agg(
+        F.count("computed_dose").alias("Overlap_with_Gold")
     )
-    medians = exact_quantiles(stacked, "median_daily_dose", {"Median_mg": 0.5}, ["Source"])
+    medians = exact_quantiles(stacked, "median_daily_dose", {"Median_mg": 0.5}, ["method"])
     return (
-        counts.join(matches, "Source", "left")
-        .join(medians, "Source", "left")
-        .select("Source", "Patients", "Episodes", "Overlap_with_Gold", "Median_mg")
+        counts.join(matches, "method", "left")
+        .join(medians, "method", "left")
+        .select(
+            F.col("method").alias("Source"),
+            "Patients",
+            "Episodes",
+            "Overlap_with_Gold",
+            "Median_mg",
+        )
     )
 
 
@@ -314,39 +343,32 @@ def unmatched_gold_records(comparison: DataFrame, raw: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------- review tables (A9) ---
 def timeline_segments(
-    episodes: Mapping[str, DataFrame], dose_col: str = "median_daily_dose"
+    episodes: DataFrame, dose_col: str = "median_daily_dose"
 ) -> DataFrame:
-    """Episodes as line segments (person, drug, method, x, xend, y)."""
-    segments = {}
-    for name, df in episodes.items():
-        if dose_col not in df.columns:
-            continue
-        person = "person_id" if "person_id" in df.columns else "patient_id"
-        drug = F.col("drug_name_std") if "drug_name_std" in df.columns else F.lit("unknown")
-        segments[name] = df.where(F.col(dose_col).isNotNull()).select(
-            F.col(person).cast("string").alias("person_id"),
-            drug.alias("drug_name_std"),
-            F.col("episode_start").alias("x"),
-            F.col("episode_end").alias("xend"),
-            number(df, dose_col).alias("y"),
-        )
-    return stack(segments)
+    """Stacked episodes as line segments (person, drug, method, x, xend, y)."""
+    person = "person_id" if "person_id" in episodes.columns else "patient_id"
+    drug = F.col("drug_name_std") if "drug_name_std" in episodes.columns else F.lit("unknown")
+    return episodes.where(F.col(dose_col).isNotNull()).select(
+        F.col(person).cast("string").alias("person_id"),
+        drug.alias("drug_name_std"),
+        "method",
+        F.col("episode_start").alias("x"),
+        F.col("episode_end").alias("xend"),
+        number(episodes, dose_col).alias("y"),
+    )
 
 
 def review_rows(
-    tables: Mapping[str, DataFrame],
+    rows: DataFrame,
     person_ids: Sequence[str] | None = None,
     drugs: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Episodes or records of all methods for chosen persons and drugs."""
-    chosen = {}
-    for name, df in tables.items():
-        if "person_id" not in df.columns and "patient_id" in df.columns:
-            df = df.withColumnRenamed("patient_id", "person_id")
-        if person_ids is not None:
-            wanted = [str(p) for p in person_ids]
-            df = df.where(F.col("person_id").cast("string").isin(wanted))
-        if drugs is not None and "drug_name_std" in df.columns:
-            df = df.where(F.col("drug_name_std").isin(list(drugs)))
-        chosen[name] = df
-    return stack(chosen)
+    """Stacked episodes or records of chosen persons and drugs."""
+    if "person_id" not in rows.columns and "patient_id" in rows.columns:
+        rows = rows.withColumnRenamed("patient_id", "person_id")
+    if person_ids is not None:
+        wanted = [str(p) for p in person_ids]
+        rows = rows.where(F.col("person_id").cast("string").isin(wanted))
+    if drugs is not None and "drug_name_std" in rows.columns:
+        rows = rows.where(F.col("drug_name_std").isin(list(drugs)))
+    return rows

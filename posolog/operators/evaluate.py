@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -36,9 +36,13 @@ def compare_episodes(
     gold_start_col: str = "episode_start",
     gold_end_col: str = "episode_end",
     gold_dose_col: str = "median_daily_dose",
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per gold episode with the computed episode that overlaps it most.
 
+    With ``methods`` the computed episodes carry a ``method`` column, and every
+    gold episode is compared once per method in the same pass.
+
     The best match is an aggregate (smallest of a struct that orders by overlap,
     then drug and start), so candidates are reduced before they are shuffled.
     Gold rows that repeat are counted once and restored at the end.
@@ -54,6 +58,7 @@ def compare_episodes(
 
     drug = F.col("drug_name_std") if "drug_name_std" in computed.columns else F.lit("")
     candidates = computed.select(
+        *([F.col("method").alias("c_method")] if methods else []),
         F.col(computed_id_col).alias("c_person"),
         drug.alias("c_drug"),
         day(computed, computed_start_col).alias("c_start"),
@@ -71,10 +76,15 @@ def compare_episodes(
         .groupBy(*key)
         .agg(F.count("*").alias("copies"))
     )
+    on = [("patient_id", "c_person")]
+    if methods:
+        labels = F.array(*[F.lit(m) for m in methods])
+        reviewed = reviewed.select("*", F.explode(labels).alias("method"))
+        key, on = ["method", *key], [("method", "c_method"), *on]
     pairs = overlap_join(
         reviewed,
         candidates,
-        [("patient_id", "c_person")],
+        on,
         ("episode_start", "episode_end"),
         ("c_start", "c_end"),
         how="left",
@@ -146,15 +156,30 @@ def _error_means() -> list[Column]:
     ]
 
 
-def summarise(comparison: DataFrame) -> DataFrame:
-    """The one-row summary of a comparison."""
+SUMMARY_COLUMNS = (
+    "n_gold_periods",
+    "n_matched_periods",
+    "coverage_pct",
+    "MAE",
+    "MBE",
+    "RMSE",
+    "median_AE",
+    "MAPE",
+    "mean_relative_bias_pct",
+    "pearson_corr",
+    "spearman_corr",
+)
+
+
+def summarise(comparison: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Summary of a comparison: one row, or one per group of ``by``."""
     matched = F.col("computed_dose").isNotNull()
 
     def over_matched(column: str) -> Column:
         return F.when(matched, F.col(column))
 
     pairs = matched_only(comparison)
-    one_row = comparison.agg(
+    means = comparison.groupBy(*by).agg(
         F.count("*").alias("n_gold_periods"),
         F.count("computed_dose").alias("n_matched_periods"),
         F.try_divide(F.lit(100.0) * F.count("computed_dose"), F.count("*")).alias(
@@ -167,32 +192,29 @@ def summarise(comparison: DataFrame) -> DataFrame:
         F.avg(over_matched("relative_error_pct")).alias("mean_relative_bias_pct"),
         pearson(F.col("computed_dose"), F.col("gold_dose")).alias("pearson_corr"),
     )
-    median = exact_quantiles(pairs, "absolute_error", {"median_AE": 0.5})
-    rank = spearman(pairs, "computed_dose", "gold_dose")
-    return one_row.select(
-        "n_gold_periods",
-        "n_matched_periods",
-        "coverage_pct",
-        "MAE",
-        "MBE",
-        "RMSE",
-        median.scalar().alias("median_AE"),
-        "MAPE",
-        "mean_relative_bias_pct",
-        "pearson_corr",
-        rank.scalar().alias("spearman_corr"),
+    median = exact_quantiles(pairs, "absolute_error", {"median_AE": 0.5}, by)
+    rank = spearman(pairs, "computed_dose", "gold_dose", by).withColumnRenamed(
+        "spearman", "spearman_corr"
     )
+    if by:
+        full = means.join(median, list(by), "left").join(rank, list(by), "left")
+    else:
+        full = means.withColumns(
+            {"median_AE": median.scalar(), "spearman_corr": rank.scalar()}
+        )
+    return full.select(*by, *SUMMARY_COLUMNS)
 
 
 def by_dose_range(
     comparison: DataFrame,
     dose_breaks: Sequence[float] = V.DOSE_BREAKS,
     dose_labels: Sequence[str] = V.DOSE_LABELS,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     ranged = matched_only(comparison).withColumn(
         "dose_range", bucket(F.col("gold_dose"), dose_breaks, dose_labels)
     )
-    return ranged.groupBy("dose_range").agg(*_error_means())
+    return ranged.groupBy(*by, "dose_range").agg(*_error_means())
 
 
 def by_taper_status(
@@ -320,9 +342,13 @@ def day_agreement(
     gold_end_col: str = "episode_end",
     gold_dose_col: str = "median_daily_dose",
     computed_dose_col: str = "median_daily_dose",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Patient-day agreement: counts and rates over each patient's gold window.
 
+    ``by`` names columns of the computed episodes, such as a method label, that
+    are judged separately in the same pass.
+
     Days of the window, of gold episodes and of computed episodes are stacked
     and reduced per (patient, day) in one aggregation, which combines before its
     shuffle; where episodes overlap the first one gives the day's dose.
@@ -338,6 +364,7 @@ def day_agreement(
         number(gold, gold_dose_col).alias("dose"),
     ).where("patient IS NOT NULL")
     found = computed.select(
+        *by,
         F.col("person_id").alias("patient"),
         drug.alias("drug"),
         day(computed, "episode_start").alias("start"),
@@ -348,7 +375,8 @@ def day_agreement(
     windows = (
         reviewed.groupBy("patient")
         .agg(F.min("start").alias("w_start"), F.max("end").alias("w_end"))
-        .join(found.select("patient").distinct(), "patient", "left_semi")
+        .join(found.select(*by, "patient").distinct(), "patient")
+        .select(*by, "patient", "w_start", "w_end")
     )
     # Only days inside the window count, so episodes are clipped before they
     # are expanded to days.
@@ -357,8 +385,10 @@ def day_agreement(
     def days(source: DataFrame, side: str) -> DataFrame:
         first, last = F.greatest("start", "w_start"), F.least("end", "w_end")
         dated = source.where("start <= end")
-        clipped = dated.join(windows, "patient").where(first <= last)
+        on = [c for c in (*by, "patient") if c in source.columns]
+        clipped = dated.join(windows, on).where(first <= last)
         return clipped.select(
+            *by,
             "patient",
             F.explode(F.sequence(first, last)).alias("day"),
             F.lit(side).alias("side"),
@@ -366,6 +396,7 @@ def day_agreement(
         )
 
     grid = windows.where("w_start <= w_end").select(
+        *by,
         "patient",
         F.explode(F.sequence("w_start", "w_end")).alias("day"),
         F.lit("window").alias("side"),
@@ -376,7 +407,7 @@ def day_agreement(
     def first_dose(side: str) -> Column:
         return F.min(F.when(F.col("side") == side, F.col("episode")))["dose"]
 
-    per_day = stacked.groupBy("patient", "day").agg(
+    per_day = stacked.groupBy(*by, "patient", "day").agg(
         first_dose("gold").alias("gold_dose"), first_dose("computed").alias("comp_dose")
     )
     gold_dose, comp_dose = F.col("gold_dose"), F.col("comp_dose")
@@ -392,17 +423,17 @@ def day_agreement(
     def total(condition: Column) -> Column:
         return F.count(F.when(condition, 1))
 
-    counts = per_day.agg(
+    counts = per_day.groupBy(*by).agg(
         F.count("*").alias("__days"),
         total(g & c & ok).alias("TP"),
         total(~g & c).alias("FP"),
         total(g & ~(c & ok)).alias("FN"),
         total(~g & ~c).alias("TN"),
     )
-    return agreement_rates(counts, _threshold_label(threshold_mg, threshold_pct))
+    return agreement_rates(counts, _threshold_label(threshold_mg, threshold_pct), by)
 
 
-def agreement_rates(counts: DataFrame, label: str) -> DataFrame:
+def agreement_rates(counts: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rates from TP, FP, FN, TN; one NULL row when there was nothing to compare."""
     some = F.col("__days") > 0
     tp, fp, fn, tn = (F.when(some, F.col(c)) for c in ("TP", "FP", "FN", "TN"))
@@ -414,6 +445,7 @@ def agreement_rates(counts: DataFrame, label: str) -> DataFrame:
         size * size,
     )
     return counts.select(
+        *by,
         F.when(some, F.lit(label)).alias("Threshold"),
         tp.alias("TP"),
         fp.alias("FP"),
@@ -434,37 +466,33 @@ def _threshold_label(mg: float | None, pct: float | None) -> str:
     return " OR ".join(parts)
 
 
-def common_patients(computed: DataFrame, gold: DataFrame) -> DataFrame:
-    """One row: patients on both sides."""
+def common_patients(
+    computed: DataFrame, gold: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """Number of patients on both sides, in all or per group of ``by``."""
     return (
-        computed.select(F.col("person_id").alias("patient_id"))
+        computed.select(*by, F.col("person_id").alias("patient_id"))
         .join(gold.select("patient_id"), "patient_id", "left_semi")
+        .groupBy(*by)
         .agg(F.countDistinct("patient_id").alias("n_common_patients"))
     )
 
 
-def metrics_table(
-    evaluations: Mapping[str, Evaluation],
-    episodes: Mapping[str, DataFrame],
-    gold: DataFrame,
-) -> DataFrame:
-    """Headline metrics, one row per method."""
-    rows = []
-    for method, ev in evaluations.items():
-        rows.append(
-            ev.summary.select(
-                F.lit(method).alias("Method"),
-                common_patients(episodes[method], gold).scalar().alias("Common_Patients"),
-                F.col("coverage_pct").alias("Coverage_pct"),
-                F.col("MAE").alias("MAE_mg"),
-                F.col("MBE").alias("MBE_mg"),
-                F.col("RMSE").alias("RMSE_mg"),
-                F.col("MAPE").alias("MAPE_pct"),
-                F.col("pearson_corr").alias("Pearson_r"),
-                F.col("spearman_corr").alias("Spearman_rho"),
-            )
+def metrics_table(comparison: DataFrame, episodes: DataFrame, gold: DataFrame) -> DataFrame:
+    """Headline metrics, one row per ``method`` of the stacked inputs."""
+    shared = common_patients(episodes, gold, ["method"])
+    return (
+        summarise(comparison, ["method"])
+        .join(shared, "method", "left")
+        .select(
+            F.col("method").alias("Method"),
+            F.coalesce("n_common_patients", F.lit(0)).alias("Common_Patients"),
+            F.col("coverage_pct").alias("Coverage_pct"),
+            F.col("MAE").alias("MAE_mg"),
+            F.col("MBE").alias("MBE_mg"),
+            F.col("RMSE").alias("RMSE_mg"),
+            F.col("MAPE").alias("MAPE_pct"),
+            F.col("pearson_corr").alias("Pearson_r"),
+            F.col("spearman_corr").alias("Spearman_rho"),
         )
-    out = rows[0]
-    for row in rows[1:]:
-        out = out.unionByName(row)
-    return out
+    )

@@ -24,7 +24,6 @@ from posolog.operators.dose import (
 )
 from posolog.operators.episodes import build_episodes
 from posolog.operators.evaluate import (
-    Evaluation,
     by_dose_range,
     by_taper_status,
     compare_episodes,
@@ -38,7 +37,13 @@ from posolog.operators.parse import add_taper_schedule, expand_tapers, parse_sig
 from posolog.plans import checks as C
 from posolog.plans import test_tables as TT
 from posolog.plans.pipeline import run_pipeline
-from posolog.plans.study import METHODS, method_episodes, method_records, stacked_episodes
+from posolog.plans.study import (
+    METHODS,
+    StudyTables,
+    method_records,
+    stacked_episodes,
+    study_tables,
+)
 from posolog.sources.exposure import (
     ClinicalTables,
     apply_sig_source,
@@ -631,18 +636,9 @@ def day_agreement_mg_or_pct(spark, sf_dir):
     )
 
 
-class _Study:
-    """Lazy tables of the three-method study on the test tables."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.raw = with_drug_name(_exposures(spark, sf_dir))
-        self.records = method_records(self.raw)
-        self.episodes = method_episodes(self.records)
-        gold = TT.gold_standard(spark, sf_dir)
-        self.gold = gold_to_pred_equiv(gold, self.records["Baseline"])
-        self.comparisons = {
-            n: compare_episodes(df, self.gold) for n, df in self.episodes.items()
-        }
+def _study(spark: SparkSession, sf_dir: str) -> StudyTables:
+    """Shared tables of the three-method study, written once per query."""
+    return study_tables(_exposures(spark, sf_dir), TT.gold_standard(spark, sf_dir))
 
 
 def _study_sql(comparisons: bool = True) -> C.With:
@@ -677,11 +673,24 @@ def _metrics_check() -> str:
 
 @query(_metrics_check)
 def metrics(spark, sf_dir):
-    s = _Study(spark, sf_dir)
-    evaluations = {
-        n: Evaluation(c, summarise(c), by_dose_range(c), None) for n, c in s.comparisons.items()
-    }
-    return metrics_table(evaluations, s.episodes, s.gold)
+    s = _study(spark, sf_dir)
+    return metrics_table(s.comparison, s.episodes, s.gold)
+
+
+def _all_agreement_check() -> str:
+    q = _study_sql(comparisons=False)
+    for eps in C.METHODS.values():
+        C.agreement(q, eps, f"ag{eps}", "gp", "abs(cd - gd) <= 10")
+    return q.select(" UNION ALL ".join(
+        f"SELECT '{name}' AS method, * FROM ({C.agreement_select('10 mg', f'ag{eps}')}) AS y"
+        for name, eps in C.METHODS.items()
+    ))
+
+
+@query(_all_agreement_check)
+def day_agreement_by_method(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return day_agreement(s.episodes, s.gold, by=["method"])
 
 
 # ---------------------------------------------------------------------- analyses ---
@@ -698,7 +707,7 @@ def _quantile(p: float) -> str:
     for name, table, pid in [*((n, e, "person_id") for n, e in C.METHODS.items()),
                              ("Gold", "gp", "patient_id")])))
 def dist_summary(spark, sf_dir):
-    s = _Study(spark, sf_dir)
+    s = _study(spark, sf_dir)
     return A.dose_distribution(A.dose_rows(s.episodes, s.gold))
 
 
@@ -710,7 +719,7 @@ _MATCHED = "computed_dose IS NOT NULL"
     f"{r('(computed_dose + gold_dose) / 2', 'mean_dose')}, {r('computed_dose - gold_dose', 'diff')} "
     f"FROM {{c}} WHERE {_MATCHED} AND gold_dose IS NOT NULL")))
 def bland_altman_points(spark, sf_dir):
-    return A.bland_altman_pairs(A.scatter_pairs(_Study(spark, sf_dir).comparisons))
+    return A.bland_altman_pairs(A.scatter_pairs(_study(spark, sf_dir).comparison))
 
 
 @query(lambda: _study_sql().select(_per_method(
@@ -719,7 +728,7 @@ def bland_altman_points(spark, sf_dir):
     f"{r('avg(bias_error) + 1.96 * stddev_samp(bias_error)', 'loa_hi')} "
     f"FROM {{c}} WHERE {_MATCHED} AND gold_dose IS NOT NULL")))
 def bland_altman(spark, sf_dir):
-    pairs = A.bland_altman_pairs(A.scatter_pairs(_Study(spark, sf_dir).comparisons))
+    pairs = A.bland_altman_pairs(A.scatter_pairs(_study(spark, sf_dir).comparison))
     return A.bland_altman_limits(pairs)
 
 
@@ -734,14 +743,14 @@ def _high_sql() -> C.With:
 
 @query(lambda: _high_sql().select(f"SELECT method, {C.COMPARISON_SELECT} FROM he"))
 def high_error_episodes(spark, sf_dir):
-    return A.high_errors(_Study(spark, sf_dir).comparisons)
+    return A.high_errors(_study(spark, sf_dir).comparison)
 
 
 @query(lambda: _high_sql().select(
     f"SELECT method, {C.COMPARISON_SELECT} FROM he ORDER BY he.absolute_error DESC NULLS LAST, "
     "patient_id, episode_start, episode_end, he.gold_dose, he.computed_dose LIMIT 20"))
 def top_error_episodes(spark, sf_dir):
-    return A.top_errors(A.high_errors(_Study(spark, sf_dir).comparisons), 20)
+    return A.top_errors(A.high_errors(_study(spark, sf_dir).comparison), 20)
 
 
 _GROUP_MEANS = C.MEANS
@@ -751,15 +760,15 @@ _GROUP_MEANS = C.MEANS
     f"SELECT method, drug_name_std, {_GROUP_MEANS} FROM he LEFT JOIN gp USING (patient_id, "
     "episode_start, episode_end) GROUP BY 1, 2"))
 def error_by_drug(spark, sf_dir):
-    s = _Study(spark, sf_dir)
-    return A.error_by_drug(A.high_errors(s.comparisons), s.gold)
+    s = _study(spark, sf_dir)
+    return A.error_by_drug(A.high_errors(s.comparison), s.gold)
 
 
 @query(lambda: _high_sql().select(
     f"SELECT method, error_direction, count(*) AS n, {r('avg(absolute_error)', 'mean_abs_error')} "
     "FROM he GROUP BY 1, 2"))
 def error_by_direction(spark, sf_dir):
-    return A.error_by_direction(A.high_errors(_Study(spark, sf_dir).comparisons))
+    return A.error_by_direction(A.high_errors(_study(spark, sf_dir).comparison))
 
 
 _WORST = ("SELECT patient_id FROM (SELECT patient_id, max(absolute_error) AS w FROM he GROUP BY 1 "
@@ -769,8 +778,8 @@ _WORST = ("SELECT patient_id FROM (SELECT patient_id, max(absolute_error) AS w F
 @query(lambda: _high_sql().select(
     f"SELECT person_id, drug_exposure_start_date, sig, {r('quantity')} FROM x WHERE person_id IN ({_WORST})"))
 def high_error_records(spark, sf_dir):
-    s = _Study(spark, sf_dir)
-    context = A.high_error_context(A.high_errors(s.comparisons), s.gold, s.raw)
+    s = _study(spark, sf_dir)
+    context = A.high_error_context(A.high_errors(s.comparison), s.gold, s.raw)
     return context["records"].select("person_id", "drug_exposure_start_date", "sig", "quantity")
 
 
@@ -804,10 +813,8 @@ def _funnel_check() -> str:
 
 @query(_funnel_check)
 def funnel(spark, sf_dir):
-    s = _Study(spark, sf_dir)
-    return A.eligibility_funnel(
-        s.raw, s.records["Baseline"], s.episodes, s.gold, s.comparisons
-    )
+    s = _study(spark, sf_dir)
+    return A.eligibility_funnel(s.raw, s.oral, s.episodes, s.gold, s.comparison, METHODS)
 
 
 def _counts_check() -> str:
@@ -825,8 +832,8 @@ def _counts_check() -> str:
 
 @query(_counts_check)
 def episode_counts(spark, sf_dir):
-    s = _Study(spark, sf_dir)
-    return A.episode_counts(s.episodes, s.gold, s.comparisons)
+    s = _study(spark, sf_dir)
+    return A.episode_counts(s.episodes, s.gold, s.comparison)
 
 
 @query(lambda: C.nlp(C.oral(C.rows()), "n").select(
@@ -918,15 +925,16 @@ def unmatched_gold_records(spark, sf_dir):
     f"AS xend, {r('median_daily_dose', 'y')}, '{name}' AS method FROM {eps} WHERE median_daily_dose "
     "IS NOT NULL" for name, eps in C.METHODS.items())))
 def timeline_segments(spark, sf_dir):
-    records = method_records(_exposures(spark, sf_dir))
-    return A.timeline_segments(method_episodes(records))
+    return A.timeline_segments(
+        stacked_episodes(method_records(_exposures(spark, sf_dir)))
+    )
 
 
 @query(lambda: _study_check(" UNION ALL ".join(
     f"SELECT person_id, drug_name_std, episode_start, n_records, '{name}' AS method FROM {eps} WHERE "
     "drug_name_std IN ('prednisone', 'dexamethasone')" for name, eps in C.METHODS.items())))
 def review_episodes(spark, sf_dir):
-    episodes = method_episodes(method_records(_exposures(spark, sf_dir)))
+    episodes = stacked_episodes(method_records(_exposures(spark, sf_dir)))
     return A.review_rows(episodes, drugs=["prednisone", "dexamethasone"]).select(
         "person_id", "drug_name_std", "episode_start", "n_records", "method"
     )

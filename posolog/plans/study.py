@@ -1,7 +1,9 @@
 """The whole comparison study: three methods against one gold standard.
 
-Every stage that later stages share is written once and read back, which cuts
-the lineage at a table that outlives lost executors.
+The methods are stacked under a ``method`` column, so episodes, comparison and
+metrics of all three are one pass each.  Tables that later stages share are
+written once and read back, which cuts the lineage at a copy that outlives lost
+executors.
 """
 
 from __future__ import annotations
@@ -9,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
 from posolog.operators import analysis as A
@@ -21,7 +22,6 @@ from posolog.operators.dose import (
 )
 from posolog.operators.episodes import build_episodes
 from posolog.operators.evaluate import (
-    Evaluation,
     by_dose_range,
     compare_episodes,
     day_agreement,
@@ -29,24 +29,23 @@ from posolog.operators.evaluate import (
     metrics_table,
     summarise,
 )
-from posolog.operators.filters import with_drug_name
+from posolog.operators.filters import known_steroids, oral_only, with_drug_name
+from posolog.session import written
 from posolog.sources.files import write_tables
 
 METHODS = ("Baseline", "NLP", "Advanced NLP")
 
 
-@dataclass(frozen=True)
-class StudyResult:
-    tables: dict[str, DataFrame]
-    paths: dict[str, str]
-
-
 def method_records(exposures: DataFrame, m2_sig_parse: str = "warn") -> dict[str, DataFrame]:
     """Record-level doses of each method with prednisone-equivalents."""
     named = with_drug_name(exposures)
-    baseline = calc_daily_dose_baseline(named, m2_sig_parse=m2_sig_parse)
-    nlp = calc_daily_dose_nlp(named)
-    advanced = calc_daily_dose_nlp_advanced(named, expand_tapers=False)
+    return _doses_of(oral_only(known_steroids(named)), m2_sig_parse)
+
+
+def _doses_of(oral: DataFrame, m2_sig_parse: str = "warn") -> dict[str, DataFrame]:
+    baseline = calc_daily_dose_baseline(oral, m2_sig_parse=m2_sig_parse, filter_oral=False)
+    nlp = calc_daily_dose_nlp(oral, filter_oral=False)
+    advanced = calc_daily_dose_nlp_advanced(oral, filter_oral=False, expand_tapers=False)
     return {
         "Baseline": convert_pred_equiv(baseline, dose_col="daily_dose_mg_imputed"),
         "NLP": convert_pred_equiv(nlp),
@@ -54,31 +53,18 @@ def method_records(exposures: DataFrame, m2_sig_parse: str = "warn") -> dict[str
     }
 
 
-def method_episodes(
-    records: dict[str, DataFrame], gap_days: int = V.GAP_DAYS
-) -> dict[str, DataFrame]:
-    return {
-        name: build_episodes(
-            df, end_col="drug_exposure_end_date", dose_col="pred_equiv_mg", gap_days=gap_days
-        )
-        for name, df in records.items()
-    }
+_EPISODE_INPUT = (
+    "person_id",
+    "drug_name_std",
+    "drug_exposure_start_date",
+    "drug_exposure_end_date",
+    "pred_equiv_mg",
+)
 
 
 def stacked_episodes(records: dict[str, DataFrame], gap_days: int = V.GAP_DAYS) -> DataFrame:
     """Episodes of all methods in one pass, told apart by ``method``."""
-    rows = A.stack(
-        {
-            name: df.select(
-                "person_id",
-                "drug_name_std",
-                "drug_exposure_start_date",
-                "drug_exposure_end_date",
-                "pred_equiv_mg",
-            )
-            for name, df in records.items()
-        }
-    )
+    rows = A.stack({name: df.select(*_EPISODE_INPUT) for name, df in records.items()})
     return build_episodes(
         rows,
         end_col="drug_exposure_end_date",
@@ -88,6 +74,81 @@ def stacked_episodes(records: dict[str, DataFrame], gap_days: int = V.GAP_DAYS)
     )
 
 
+@dataclass(frozen=True)
+class StudyTables:
+    """Shared tables of a study, each written once."""
+
+    raw: DataFrame
+    oral: DataFrame
+    records: dict[str, DataFrame]
+    episodes: DataFrame
+    gold: DataFrame
+    comparison: DataFrame
+
+
+def study_tables(
+    exposures: DataFrame, gold: DataFrame, gap_days: int = V.GAP_DAYS
+) -> StudyTables:
+    """Records, episodes, converted gold standard and comparison of all methods.
+
+    The oral steroid rows are written before the methods branch, so names and
+    routes are read once; texts are then read by each method from that copy.
+    """
+    raw = with_drug_name(exposures)
+    oral = written(oral_only(known_steroids(raw)))
+    records = _doses_of(oral)
+    episodes = written(stacked_episodes(records, gap_days), ["method"])
+    reviewed = written(gold_to_pred_equiv(gold, oral))
+    comparison = written(
+        compare_episodes(episodes, reviewed, methods=METHODS), ["method"]
+    )
+    return StudyTables(raw, oral, records, episodes, reviewed, comparison)
+
+
+@dataclass(frozen=True)
+class StudyResult:
+    tables: dict[str, DataFrame]
+    paths: dict[str, str]
+
+
+def result_tables(
+    study: StudyTables,
+    threshold_mg: float | None = V.DAY_AGREEMENT_MG,
+    threshold_pct: float | None = None,
+) -> dict[str, DataFrame]:
+    """Every result table of the study, lazily."""
+    scatter = A.scatter_pairs(study.comparison)
+    ba_pairs = A.bland_altman_pairs(scatter)
+    doses = A.dose_rows(study.episodes, study.gold)
+    errors = A.high_errors(study.comparison)
+    slug = {name: name.lower().replace(" ", "_") for name in METHODS}
+    return {
+        **{f"records_{slug[n]}": df for n, df in study.records.items()},
+        "episodes": study.episodes,
+        "gold_standard": study.gold,
+        "comparison": study.comparison,
+        "summary": summarise(study.comparison, ["method"]),
+        "by_dose_range": by_dose_range(study.comparison, by=["method"]),
+        "episode_counts": A.episode_counts(study.episodes, study.gold, study.comparison),
+        "metrics_table": metrics_table(study.comparison, study.episodes, study.gold),
+        "agreement_table": day_agreement(
+            study.episodes, study.gold, threshold_mg, threshold_pct, by=["method"]
+        ),
+        "plot_data_dose_distribution": doses,
+        "dose_distribution": A.dose_distribution(doses),
+        "plot_data_scatter": scatter,
+        "plot_data_bland_altman": ba_pairs,
+        "bland_altman_limits": A.bland_altman_limits(ba_pairs),
+        "high_error_episodes": A.errors_with_gold_drug(errors, study.gold),
+        "error_by_drug": A.error_by_drug(errors, study.gold),
+        "error_by_direction": A.error_by_direction(errors),
+        "eligibility": A.eligibility_funnel(
+            study.raw, study.oral, study.episodes, study.gold, study.comparison, METHODS
+        ),
+        "timeline_segments": A.timeline_segments(study.episodes),
+    }
+
+
 def run_study(
     exposures: DataFrame,
     gold: DataFrame,
@@ -97,73 +158,7 @@ def run_study(
     threshold_pct: float | None = None,
     file_format: str = "parquet",
 ) -> StudyResult:
-    """Run the study and write its tables under ``output_dir`` (a shared folder)."""
-    spark = exposures.sparkSession
-    paths: dict[str, str] = {}
-    tables: dict[str, DataFrame] = {}
-
-    def keep(new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        """Write, then continue from the written copies."""
-        written = write_tables(new, f"{output_dir}/tables")
-        paths.update(written)
-        back = {name: spark.read.parquet(path) for name, path in written.items()}
-        tables.update(back)
-        return back
-
-    slug = {name: name.lower().replace(" ", "_") for name in METHODS}
-
-    def per_method(prefix: str, new: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        back = keep({f"{prefix}_{slug[n]}": df for n, df in new.items()})
-        return {n: back[f"{prefix}_{slug[n]}"] for n in new}
-
-    raw = keep({"exposures": with_drug_name(exposures)})["exposures"]
-    records = per_method("records", method_records(raw))
-    episodes = per_method("episodes", method_episodes(records, gap_days))
-    reviewed = keep({"gold_standard": gold_to_pred_equiv(gold, records["Baseline"])})[
-        "gold_standard"
-    ]
-    comparisons = per_method(
-        "comparison", {n: compare_episodes(df, reviewed) for n, df in episodes.items()}
-    )
-    evaluations = {
-        n: Evaluation(c, summarise(c), by_dose_range(c), None)
-        for n, c in comparisons.items()
-    }
-    scatter = A.scatter_pairs(comparisons)
-    ba_pairs = A.bland_altman_pairs(scatter)
-    doses = A.dose_rows(episodes, reviewed)
-    errors = A.high_errors(comparisons)
-    agreement = A.stack(
-        {
-            n: day_agreement(df, reviewed, threshold_mg, threshold_pct)
-            for n, df in episodes.items()
-        },
-        "Method",
-    )
-    keep(
-        {
-            "episode_counts": A.episode_counts(episodes, reviewed, comparisons),
-            "metrics_table": metrics_table(evaluations, episodes, reviewed),
-            "agreement_table": agreement,
-            "plot_data_dose_distribution": doses,
-            "dose_distribution": A.dose_distribution(doses),
-            "plot_data_scatter": scatter,
-            "plot_data_bland_altman": ba_pairs,
-            "bland_altman_limits": A.bland_altman_limits(ba_pairs),
-            "high_error_episodes": A.errors_with_gold_drug(errors, reviewed),
-            "error_by_drug": A.error_by_drug(errors, reviewed),
-            "error_by_direction": A.error_by_direction(errors),
-            "eligibility": A.eligibility_funnel(
-                raw, records["Baseline"], episodes, reviewed, comparisons
-            ),
-            "timeline_segments": A.timeline_segments(
-                {**episodes, "Gold": reviewed.withColumn("person_id", F.col("patient_id"))}
-            ),
-            **{
-                f"by_dose_range_{slug[n]}": ev.by_dose_range for n, ev in evaluations.items()
-            },
-        }
-    )
-    if file_format != "parquet":
-        paths.update(write_tables(tables, f"{output_dir}/{file_format}", file_format))
-    return StudyResult(tables, paths)
+    """Run the study and write its result tables under ``output_dir``."""
+    study = study_tables(exposures, gold, gap_days)
+    tables = result_tables(study, threshold_mg, threshold_pct)
+    return StudyResult(tables, write_tables(tables, output_dir, file_format))

@@ -1,8 +1,10 @@
-"""Session settings the plans are written for, and shared-folder checkpoints."""
+"""Session settings the plans are written for, and written intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,7 +14,6 @@ RECOMMENDED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -23,20 +24,36 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of a table that several later plans read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which every executor can reach.
 
-    The copy lies in the shared folder of ``spark.checkpoint.dir``, so it
-    survives the loss of executors.  A folder is made up only where that setting
-    is absent and the master is local, as in tests.
+    A temporary folder stands in only where the setting is absent and the master
+    is local, as in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = folder or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        folder = tempfile.mkdtemp(prefix="posolog-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table that several later plans read, and continue from the copy.
+
+    The copy is columnar, cuts the lineage and outlives lost executors.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="posolog-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    path = f"{shared_folder(spark)}/posolog-tables/{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return spark.read.schema(_reordered(df, partition_by)).parquet(path).select(*df.columns)
+
+
+def _reordered(df: DataFrame, last: Sequence[str]):
+    columns = [c for c in df.columns if c not in last] + list(last)
+    return df.select(*columns).schema
