@@ -2,8 +2,7 @@
 
 Everything here is a native expression: the JVM evaluates it per row inside the
 scan stage, with no shuffle and no Python worker.  ``add_parsed_sig`` stacks the
-expressions as a few projections, each naming the values the next one reads
-several times, so that no regular expression runs twice for one row.
+expressions in steps, so that no regular expression runs twice for one row.
 """
 
 from __future__ import annotations
@@ -12,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
-from posolog.functions.values import contains_any, matched_number, matches, squish, words
+from posolog.functions.values import (
+    contains_any,
+    evaluated,
+    matched_number,
+    matches,
+    squish,
+    words,
+)
 
 PARSED_FIELDS = (
     "tablets",
@@ -61,11 +67,10 @@ def remarks_removed(text: Column) -> Column:
     return squish(F.when(text.contains("("), without).otherwise(text))
 
 
-def frequency(text: Column) -> Column:
-    """Doses per day, or NULL.  The first rule that applies wins.
+def _frequency_rules(text: Column) -> list[Column]:
+    """Doses per day by each rule in order; NULL where a rule does not apply.
 
-    ``coalesce`` and ``when`` are lazy, so a text stops at its first match.  A
-    zero count falls through to the next rule: ``try_divide`` gives NULL, and a
+    A zero count falls through to the next rule: ``try_divide`` gives NULL, and a
     leading count is only read when it holds a digit other than zero.
     """
 
@@ -82,7 +87,8 @@ def frequency(text: Column) -> Column:
 
     intake = matches(text, V.BY_MOUTH, "mouth", "po", "orally")
     by_mouth = F.when(intake & ~matches(text, V.NOT_A_DAILY_INTAKE), F.lit(1.0))
-    return F.coalesce(
+    weeks = matched_number(text, V.EVERY_N_WEEKS, "week") * F.lit(V.DAYS_PER_WEEK)
+    return [
         per(24.0, V.EVERY_N_HOURS, "every", "q"),
         has(V.TWICE_DAILY, 2.0),
         leading_count(V.N_TIMES_DAILY, "daily", "day"),
@@ -94,10 +100,7 @@ def frequency(text: Column) -> Column:
         per(1.0, V.EVERY_N_DAYS, "every", "q"),
         has(V.TWICE_WEEKLY, 2.0 / 7.0),
         leading_count(V.N_TIMES_WEEKLY, "week") / F.lit(V.DAYS_PER_WEEK),
-        F.try_divide(
-            F.lit(1.0),
-            matched_number(text, V.EVERY_N_WEEKS, "week") * F.lit(V.DAYS_PER_WEEK),
-        ),
+        F.try_divide(F.lit(1.0), weeks),
         has(V.ONCE_WEEKLY, 1.0 / 7.0),
         has(V.ONCE_MONTHLY, 1.0 / 30.0),
         has(V.ONCE_ORAL, 1.0),
@@ -107,7 +110,12 @@ def frequency(text: Column) -> Column:
         has(V.ONLY_MG, 1.0, "mg"),
         by_mouth,
         has(V.PER_DAY, 1.0, "day", "per"),
-    )
+    ]
+
+
+def frequency(text: Column) -> Column:
+    """Doses per day, or NULL.  ``coalesce`` is lazy: the first rule that applies ends it."""
+    return F.coalesce(*_frequency_rules(text))
 
 
 def tablets_basic(text: Column) -> Column:
@@ -167,14 +175,18 @@ def duration(text: Column) -> Column:
 def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataFrame:
     """Append the parsed fields of ``sig_col``.
 
-    Input columns with the name of a parsed field are replaced.  The fields
-    come out of a one-element ``inline``: filters on them then stay above the
-    parse instead of being rewritten into copies of it.
+    Input columns with the name of a parsed field are replaced.  Each step is
+    ``evaluated`` by itself: no rule runs twice for one row, a filter on a field
+    is not rewritten into copies of the rules, and the generated code of a step
+    stays small enough for the JVM to compile it.
     """
     keep = [c for c in df.columns if c not in PARSED_FIELDS]
     text, raw = F.col("__text"), F.col(sig_col).cast("string")
 
     def step(frame: DataFrame, **columns: Column) -> DataFrame:
+        return evaluated(frame, {f"__{k}": c for k, c in columns.items()})
+
+    def cheap(frame: DataFrame, **columns: Column) -> DataFrame:
         return frame.withColumns({f"__{k}": c for k, c in columns.items()})
 
     def mg(pattern: str, hint: str = "mg") -> Column:
@@ -184,45 +196,45 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
     plain, per_day, bare = F.col("__plain"), F.col("__per_day"), F.col("__bare")
     admin, freq, dose = F.col("__admin"), F.col("__freq"), F.col("__dose")
 
-    out = df.select(*keep)
-    out = step(out, text=F.when(~is_blank(raw), normalised(raw)))
+    out = cheap(df.select(*keep), text=F.when(~is_blank(raw), F.lower(raw)))
+    out = step(out, text=squish(text))
     out = step(out, text=words_replaced(text))
     out = step(out, text=remarks_removed(text))
     if advanced:
         out = step(out, fraction=fraction_text(text))
+        tablets = tablets_advanced(text, F.col("__fraction"))
+    else:
+        tablets = tablets_basic(text)
+    out = step(out, tablets=F.when(text.isNotNull(), tablets), duration=duration(text))
+    rules = _frequency_rules(text)
+    out = step(out, freq=F.coalesce(*rules[:7]))
+    out = step(out, freq=F.coalesce(freq, *rules[7:12]))
+    out = step(out, freq=F.coalesce(freq, *rules[12:17]))
+    out = step(out, freq=F.coalesce(freq, *rules[17:]))
     out = step(
         out,
-        tablets=F.when(
-            text.isNotNull(),
-            tablets_advanced(text, F.col("__fraction"))
-            if advanced
-            else tablets_basic(text),
-        ),
-        freq=frequency(text),
-        duration=duration(text),
-        total=mg(V.MG_TOTAL, "total"),
-        per_dose=mg(V.MG_PER_DOSE, "dose"),
         taper=F.coalesce(matches(text, V.TAPER_WORD), F.lit(False)),
         prn=F.coalesce(matches(text, V.PRN_WORD), F.lit(False)),
         free=F.coalesce(matches(text, V.FREE_TEXT_WORD), F.lit(False)),
     )
-    out = step(
-        out,
-        plain=F.when(total.isNull() & per_dose.isNull(), mg(V.MG_PARENTHESISED, "mg)")),
-    )
-    unnamed = total.isNull() & per_dose.isNull() & plain.isNull()
+    out = step(out, total=mg(V.MG_TOTAL, "total"), per_dose=mg(V.MG_PER_DOSE, "dose"))
+    named = total.isNotNull() | per_dose.isNotNull()
+    out = step(out, plain=F.when(~named, mg(V.MG_PARENTHESISED, "mg)")))
+    unnamed = ~named & plain.isNull()
     out = step(out, per_day=F.when(unnamed, mg(V.MG_PER_DAY, "day")))
-    out = step(out, bare=F.when(unnamed & per_day.isNull(), mg(V.MG_BARE)))
+    once_a_day = freq.isNull() & matches(text, V.DAILY_WORD)
     out = step(
+        out, bare=F.when(unnamed & per_day.isNull(), mg(V.MG_BARE)), once=once_a_day
+    )
+    out = cheap(
         out,
         admin=F.when(total.isNotNull() | per_day.isNotNull(), None).otherwise(
             F.coalesce(per_dose, F.coalesce(plain, bare) * F.col("__tablets"))
         ),
     )
-    once_a_day = freq.isNull() & matches(text, V.DAILY_WORD)
-    out = step(
+    out = cheap(
         out,
-        dose=F.coalesce(total, per_day, admin * freq, F.when(once_a_day, admin)),
+        dose=F.coalesce(total, per_day, admin * freq, F.when(F.col("__once"), admin)),
     )
     status = (
         F.when(text.isNull(), "empty")

@@ -158,6 +158,7 @@ def top_errors(errors: DataFrame, n: int = 10) -> DataFrame:
         "episode_end",
         "gold_dose",
         "computed_dose",
+        *(["method"] if "method" in errors.columns else []),
     ).limit(n)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
@@ -349,66 +349,75 @@ def day_agreement(
     ``by`` names columns of the computed episodes, such as a method label, that
     are judged separately in the same pass.
 
-    Days of the window, of gold episodes and of computed episodes are stacked
-    and reduced per (patient, day) in one aggregation, which combines before its
-    shuffle; where episodes overlap the first one gives the day's dose.
+    Only days inside an episode are expanded; they are reduced per patient and
+    day in one hash aggregation, which combines before its shuffle.  Where
+    episodes overlap the first one gives the day's dose.  The days outside every
+    episode follow from the length of the windows.
     """
     if threshold_mg is None and threshold_pct is None:
         raise ValueError("threshold_mg and threshold_pct must not both be None")
     drug = F.col("drug_name_std") if "drug_name_std" in computed.columns else F.lit("")
-    reviewed = gold.select(
-        F.col(gold_id_col).alias("patient"),
-        F.lit("").alias("drug"),
-        day(gold, gold_start_col).alias("start"),
-        day(gold, gold_end_col).alias("end"),
-        number(gold, gold_dose_col).alias("dose"),
-    ).where("patient IS NOT NULL")
-    found = computed.select(
-        *by,
-        F.col("person_id").alias("patient"),
-        drug.alias("drug"),
-        day(computed, "episode_start").alias("start"),
-        day(computed, "episode_end").alias("end"),
-        number(computed, computed_dose_col).alias("dose"),
-    ).where("patient IS NOT NULL")
-
+    by = list(by)
+    reviewed = (
+        gold.select(
+            F.col(gold_id_col).alias("patient"),
+            day(gold, gold_start_col).alias("start"),
+            day(gold, gold_end_col).alias("end"),
+            number(gold, gold_dose_col).alias("dose"),
+        )
+        .where("patient IS NOT NULL")
+        .groupBy("patient", "start", "end")
+        .agg(F.when(F.count("dose") == F.count("*"), F.min("dose")).alias("dose"))
+        .withColumn("order", F.unix_date("start") * F.lit(1 << 20).cast("long")
+                    + F.datediff("end", "start"))
+    )
+    # One row per episode here, so a person's rows are bounded by the calendar.
+    in_order = Window.partitionBy(*by, "patient").orderBy("drug", "start", "end", "dose")
+    found = (
+        computed.select(
+            *by,
+            F.col("person_id").alias("patient"),
+            drug.alias("drug"),
+            day(computed, "episode_start").alias("start"),
+            day(computed, "episode_end").alias("end"),
+            number(computed, computed_dose_col).alias("dose"),
+        )
+        .where("patient IS NOT NULL")
+        .withColumn("order", F.row_number().over(in_order).cast("long"))
+    )
     windows = (
         reviewed.groupBy("patient")
         .agg(F.min("start").alias("w_start"), F.max("end").alias("w_end"))
+        .where("w_start <= w_end")
         .join(found.select(*by, "patient").distinct(), "patient")
         .select(*by, "patient", "w_start", "w_end")
     )
-    # Only days inside the window count, so episodes are clipped before they
-    # are expanded to days.
-    order = F.struct("drug", "start", "end", "dose")
 
     def days(source: DataFrame, side: str) -> DataFrame:
+        """Days of the episodes, clipped to the window before they are expanded."""
         first, last = F.greatest("start", "w_start"), F.least("end", "w_end")
-        dated = source.where("start <= end")
         on = [c for c in (*by, "patient") if c in source.columns]
-        clipped = dated.join(windows, on).where(first <= last)
+        clipped = source.where("start <= end").join(windows, on).where(first <= last)
+        none = F.lit(None)
         return clipped.select(
             *by,
             "patient",
             F.explode(F.sequence(first, last)).alias("day"),
-            F.lit(side).alias("side"),
-            order.alias("episode"),
+            *[
+                (F.col(c) if side == s else none.cast(t)).alias(f"{s}_{c}")
+                for s in ("gold", "comp")
+                for c, t in (("dose", "double"), ("order", "long"))
+            ],
         )
 
-    grid = windows.where("w_start <= w_end").select(
-        *by,
-        "patient",
-        F.explode(F.sequence("w_start", "w_end")).alias("day"),
-        F.lit("window").alias("side"),
-        F.lit(None).cast("struct<drug:string,start:date,end:date,dose:double>").alias("episode"),
-    )
-    stacked = grid.unionByName(days(reviewed, "gold")).unionByName(days(found, "computed"))
-
-    def first_dose(side: str) -> Column:
-        return F.min(F.when(F.col("side") == side, F.col("episode")))["dose"]
-
-    per_day = stacked.groupBy(*by, "patient", "day").agg(
-        first_dose("gold").alias("gold_dose"), first_dose("computed").alias("comp_dose")
+    per_day = (
+        days(reviewed, "gold")
+        .unionByName(days(found, "comp"))
+        .groupBy(*by, "patient", "day")
+        .agg(
+            F.min_by("gold_dose", "gold_order").alias("gold_dose"),
+            F.min_by("comp_dose", "comp_order").alias("comp_dose"),
+        )
     )
     gold_dose, comp_dose = F.col("gold_dose"), F.col("comp_dose")
     difference = F.abs(comp_dose - gold_dose)
@@ -423,12 +432,22 @@ def day_agreement(
     def total(condition: Column) -> Column:
         return F.count(F.when(condition, 1))
 
-    counts = per_day.groupBy(*by).agg(
-        F.count("*").alias("__days"),
+    episode_days = per_day.groupBy(*by).agg(
         total(g & c & ok).alias("TP"),
         total(~g & c).alias("FP"),
         total(g & ~(c & ok)).alias("FN"),
-        total(~g & ~c).alias("TN"),
+    )
+    all_days = windows.groupBy(*by).agg(
+        F.coalesce(F.sum(inclusive_days(F.col("w_start"), F.col("w_end"))), F.lit(0)).alias(
+            "__days"
+        )
+    )
+    if by:
+        counts = all_days.join(episode_days, by, "left").fillna(0, ["TP", "FP", "FN"])
+    else:
+        counts = episode_days.withColumn("__days", all_days.scalar())
+    counts = counts.withColumn(
+        "TN", F.col("__days") - F.col("TP") - F.col("FP") - F.col("FN")
     )
     return agreement_rates(counts, _threshold_label(threshold_mg, threshold_pct), by)
 

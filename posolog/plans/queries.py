@@ -748,7 +748,7 @@ def high_error_episodes(spark, sf_dir):
 
 @query(lambda: _high_sql().select(
     f"SELECT method, {C.COMPARISON_SELECT} FROM he ORDER BY he.absolute_error DESC NULLS LAST, "
-    "patient_id, episode_start, episode_end, he.gold_dose, he.computed_dose LIMIT 20"))
+    "patient_id, episode_start, episode_end, he.gold_dose, he.computed_dose, method LIMIT 20"))
 def top_error_episodes(spark, sf_dir):
     return A.top_errors(A.high_errors(_study(spark, sf_dir).comparison), 20)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from posolog.session import well_spread
+
 # Prescription texts by template number; {t} tablets and {m} milligrams vary.
 SIG_TEMPLATES = [
     "Take {t} tablets ({m} mg total) daily.",
@@ -257,6 +259,8 @@ def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         for name in _SOURCES
         if "{" + name + "}" in text
     }
+    if "lineitem" in used:
+        used["lineitem"] = well_spread(used["lineitem"])
     return spark.sql(text, **used)
 
 

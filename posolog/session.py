@@ -24,6 +24,16 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def well_spread(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than the session has cores.
+
+    Costly text rules would otherwise run in one task when a small table lies in
+    one file.  A scan of many splits is returned as it is, without a shuffle.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which every executor can reach.
 
