@@ -44,6 +44,7 @@ from posolog.plans.study import (
     stacked_episodes,
     study_tables,
 )
+from posolog.session import written
 from posolog.sources.exposure import (
     ClinicalTables,
     apply_sig_source,
@@ -565,7 +566,8 @@ def eval_comparison(spark, sf_dir):
 
 @query(lambda: C.summary(_comparison_sql(), "cmp", "sm").select(f"SELECT {C.SUMMARY_SELECT} FROM sm"))
 def eval_summary(spark, sf_dir):
-    return summarise(_baseline_comparison(spark, sf_dir))
+    # The summary reads its input several times, so the comparison is written once.
+    return summarise(written(_baseline_comparison(spark, sf_dir)))
 
 
 _RANGE = ("CASE WHEN gold_dose > 0 AND gold_dose <= 10 THEN 'Low (<=10mg)' WHEN gold_dose > 10 AND "
