@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
 from posolog.functions.values import age_at
+from posolog.operators.joins import small_enough_to_broadcast
 
 Tables = Mapping[str, DataFrame]
 CONFIG_FOLDER = Path(__file__).resolve().parent.parent / "cohorts"
@@ -93,6 +94,17 @@ def _concepts_of(tables: Tables, spec: Mapping[str, Any]) -> DataFrame:
     return found
 
 
+def _lookup(tables: Tables, spec: Mapping[str, Any], concept_col: str) -> DataFrame:
+    """Concept set to filter an event table with.
+
+    It is broadcast when a bounded count over the vocabulary shows that it is
+    small, so the events are not shuffled by concept, where a common one may
+    dominate.
+    """
+    found = _concepts_of(tables, spec).withColumnRenamed("concept_id", concept_col)
+    return small_enough_to_broadcast(found)
+
+
 def _events(tables: Tables, spec: Mapping[str, Any], domain: str) -> DataFrame:
     """Distinct (person, day) of the events that match a definition's concepts.
 
@@ -104,7 +116,7 @@ def _events(tables: Tables, spec: Mapping[str, Any], domain: str) -> DataFrame:
     date_col, concept_col = V.EVENT_COLUMNS.get(domain, V.OTHER_EVENT_COLUMNS)
     date_col = spec.get("date_field") or date_col
     concept_col = spec.get("concept_field") or concept_col
-    wanted = _concepts_of(tables, spec).withColumnRenamed("concept_id", concept_col)
+    wanted = _lookup(tables, spec, concept_col)
     return (
         tables[domain]
         .select("person_id", concept_col, F.col(date_col).cast("date").alias("event_date"))
@@ -175,7 +187,7 @@ def persons_with_concepts(
     found = None
     for domain in domains:
         _, concept_col = V.EVENT_COLUMNS.get(domain, V.OTHER_EVENT_COLUMNS)
-        wanted = _concepts_of(tables, spec).withColumnRenamed("concept_id", concept_col)
+        wanted = _lookup(tables, spec, concept_col)
         rows = tables[domain].join(wanted, concept_col, "left_semi").select("person_id")
         found = rows if found is None else found.union(rows)
     if person_ids is not None:

@@ -352,7 +352,8 @@ def day_agreement(
     Only days inside an episode are expanded; they are reduced per patient and
     day in one hash aggregation, which combines before its shuffle.  Where
     episodes overlap the first one gives the day's dose.  The days outside every
-    episode follow from the length of the windows.
+    episode follow from the length of the windows.  ``computed`` is read more than
+    once, so pass a written table rather than a long plan.
     """
     if threshold_mg is None and threshold_pct is None:
         raise ValueError("threshold_mg and threshold_pct must not both be None")
