@@ -13,6 +13,7 @@ from posolog.llm.common import table
 from posolog.llm.html_text import main_texts
 from posolog.llm.line_dedup import without_recurring_lines
 from posolog.llm.packing import packed
+from posolog.llm.repeated_bytes import without_repeats
 from posolog.llm.simhash import simhash_components
 from posolog.llm.token_counts import token_counts
 from posolog.llm.toxicity import toxicity_scores
@@ -38,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "held_out", "score", "predicted")
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_counts,
         op2_source_mix,
         op3_toxicity,
+        op4_repeated_bytes,
         op5_packing,
         op6_line_templates,
         op7_simhash,
