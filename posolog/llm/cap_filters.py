@@ -39,9 +39,9 @@ from posolog.llm.graph import components
 
 COSINE = 0.98
 BLOCKS = 3
-FILTERS_PER_VECTOR = 16
+FILTERS_PER_VECTOR = 40
 #: Vectors of a list that a filter shall have, all labels together.
-LIST_LENGTH = 8
+LIST_LENGTH = 32
 TILE = 2048
 SEED = 9
 

@@ -86,9 +86,9 @@ class WordIds:
     def word(self, word: str) -> bytes:
         if not word.isascii() and max(word) >= "\u0300":
             return self.by_library(word)
-        if word[-1] in ".," and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.words[word[-1]]
         low = unicodedata.normalize("NFC", word).lower()
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self.words[low[:-1]] + self.words[low[-1]]
         tokens = [low] if low.isalpha() else self.pattern.findall(low)
         ids: list[int] = []
         for token in tokens:
