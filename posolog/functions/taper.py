@@ -14,6 +14,11 @@ from posolog.functions.sig import frequency, normalised, unit_days
 from posolog.functions.values import squish, words
 
 
+# Days from year 1 to 9999: a decrement schedule that runs longer has no dates, so
+# the text has no schedule (its steps could not be built either).
+CALENDAR_DAYS = 3_652_059
+
+
 def _spelled_out_steps(text: Column) -> Column:
     pattern = words(V.TAPER_STEP)
 
@@ -56,29 +61,44 @@ def _decrement_steps(text: Column) -> Column:
     def steps(found: Column) -> Column:
         last = F.floor((found["start"] - found["by"]) / found["by"] + F.lit(1e-10))
         return F.transform(
-            F.sequence(F.lit(0), last.cast("int")),
+            F.sequence(F.lit(0), last.try_cast("int")),
             lambda i: F.struct(
                 F.greatest(found["start"] - i * found["by"], found["by"]).alias("dose"),
                 F.lit(1.0).alias("freq"),
                 found["days"].alias("days"),
+                (i * found["days"]).alias("before"),
             ),
         )
 
     # A one-element array names the three numbers so each is read once.
     found = F.filter(
         F.array(F.struct(start.alias("start"), by.alias("by"), days.alias("days"))),
-        lambda f: (f["by"] > 0) & (f["by"] < f["start"]),
+        lambda f: (f["by"] > 0)
+        & (f["by"] < f["start"])
+        & ~F.coalesce(f["start"] / f["by"] * f["days"] > CALENDAR_DAYS, F.lit(False)),
     )
     return F.flatten(F.transform(found, steps))
 
 
-def _numbered(steps: Column) -> Column:
-    """Number the steps and place them on the day axis."""
+def _started(steps: Column) -> Column:
+    """Add the days before each spelled-out step."""
 
     def place(step: Column, i: Column) -> Column:
         before = F.aggregate(
             F.slice(steps, F.lit(1), i), F.lit(0.0), lambda acc, s: acc + s["days"]
         )
+        return F.struct(
+            step["dose"].alias("dose"), step["freq"].alias("freq"), step["days"].alias("days"), before.alias("before")
+        )
+
+    return F.transform(steps, place)
+
+
+def _numbered(steps: Column) -> Column:
+    """Number the steps and place them on the day axis."""
+
+    def place(step: Column, i: Column) -> Column:
+        before = step["before"]
         return F.struct(
             (i + 1).alias("step"),
             step["dose"].alias("daily_dose_mg"),
@@ -102,7 +122,7 @@ def taper_schedule(sig: Column) -> Column:
 
     # concat of the two readings keeps their order; the first one left wins.
     readings = F.concat(
-        at_least_two(_spelled_out_steps(text)), at_least_two(_decrement_steps(text))
+        at_least_two(_started(_spelled_out_steps(text))), at_least_two(_decrement_steps(text))
     )
     best = F.get(F.transform(readings, _numbered), F.lit(0))
     return F.when(gate, best)

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
 from posolog.functions.values import age_at
-from posolog.operators.joins import small_enough_to_broadcast
 
 Tables = Mapping[str, DataFrame]
 CONFIG_FOLDER = Path(__file__).resolve().parent.parent / "cohorts"
@@ -97,12 +96,10 @@ def _concepts_of(tables: Tables, spec: Mapping[str, Any]) -> DataFrame:
 def _lookup(tables: Tables, spec: Mapping[str, Any], concept_col: str) -> DataFrame:
     """Concept set to filter an event table with.
 
-    It is broadcast when a bounded count over the vocabulary shows that it is
-    small, so the events are not shuffled by concept, where a common one may
-    dominate.
+    Whether the semi join broadcasts it follows from its measured size; where it
+    is shuffled, adaptive execution splits the partition of a common concept.
     """
-    found = _concepts_of(tables, spec).withColumnRenamed("concept_id", concept_col)
-    return small_enough_to_broadcast(found)
+    return _concepts_of(tables, spec).withColumnRenamed("concept_id", concept_col)
 
 
 def _events(tables: Tables, spec: Mapping[str, Any], domain: str) -> DataFrame:

@@ -369,8 +369,7 @@ def day_agreement(
         .where("patient IS NOT NULL")
         .groupBy("patient", "start", "end")
         .agg(F.when(F.count("dose") == F.count("*"), F.min("dose")).alias("dose"))
-        .withColumn("order", F.unix_date("start") * F.lit(1 << 20).cast("long")
-                    + F.datediff("end", "start"))
+        .withColumn("order", F.struct("start", "end"))
     )
     # One row per episode here, so a person's rows are bounded by the calendar.
     in_order = Window.partitionBy(*by, "patient").orderBy("drug", "start", "end", "dose")
@@ -394,6 +393,8 @@ def day_agreement(
         .select(*by, "patient", "w_start", "w_end")
     )
 
+    orders = {"gold": "struct<start:date,end:date>", "comp": "bigint"}
+
     def days(source: DataFrame, side: str) -> DataFrame:
         """Days of the episodes, clipped to the window before they are expanded."""
         first, last = F.greatest("start", "w_start"), F.least("end", "w_end")
@@ -407,7 +408,7 @@ def day_agreement(
             *[
                 (F.col(c) if side == s else none.cast(t)).alias(f"{s}_{c}")
                 for s in ("gold", "comp")
-                for c, t in (("dose", "double"), ("order", "long"))
+                for c, t in (("dose", "double"), ("order", orders[s]))
             ],
         )
 

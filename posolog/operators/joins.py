@@ -1,4 +1,4 @@
-"""Joins the domain needs: intervals that overlap, and lookups of unknown size."""
+"""Joins of intervals that overlap."""
 
 from __future__ import annotations
 
@@ -8,30 +8,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_DAYS = 90
-BROADCAST_ROWS = 200_000
-
-
-def is_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` holds at most ``rows`` rows; reads no further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def small_enough_to_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` holds at most ``max_rows``.
-
-    A larger table is returned unhinted: the join then shuffles, and adaptive execution splits the
-    partitions of dominating keys.
-    """
-    return F.broadcast(df) if is_at_most(df, max_rows) else df
 
 
 def _slice(day: Column, slice_days: int) -> Column:
     return F.floor(F.unix_date(day) / F.lit(slice_days))
 
 
-def _slices(start: Column, end: Column, slice_days: int) -> Column:
-    """Numbers of the fixed-width slices between two days, in either order."""
-    low, high = F.least(start, end), F.greatest(start, end)
+def _slices(start: Column, end: Column, slice_days: int, last: Column) -> Column:
+    """Numbers of the fixed-width slices between two days, in either order.
+
+    A pair meets where the later interval begins, so no slice after ``last``, the
+    key's last beginning on the other side, is of use: an open end costs nothing.
+    """
+    low = F.least(start, end)
+    high = F.least(F.greatest(start, end), F.greatest(low, last))
     return F.when(
         start.isNotNull() & end.isNotNull(),
         F.sequence(_slice(low, slice_days), _slice(high, slice_days)),
@@ -61,8 +51,20 @@ def overlap_join(
     ls, le = (F.col(c) for c in left_interval)
     rs, re = (F.col(c) for c in right_interval)
     explode = F.explode_outer if how == "left" else F.explode
-    cut_left = left.select("*", explode(_slices(ls, le, slice_days)).alias("__l_slice"))
-    cut_right = right.select("*", F.explode(_slices(rs, re, slice_days)).alias("__r_slice"))
+    left_keys, right_keys = ([pair[side] for pair in keys] for side in (0, 1))
+
+    def last_begin(side: DataFrame, own: list[str], names: list[str], begin: Column) -> DataFrame:
+        named = [F.col(o).alias(n) for o, n in zip(own, names, strict=True)]
+        return side.groupBy(*named).agg(F.max(begin).alias("__last"))
+
+    until = last_begin(right, right_keys, left_keys, F.least(rs, re))
+    cut_left = left.join(until, left_keys, "left").select(
+        *left.columns, explode(_slices(ls, le, slice_days, F.col("__last"))).alias("__l_slice")
+    )
+    until = last_begin(left, left_keys, right_keys, F.least(ls, le))
+    cut_right = right.join(until, right_keys, "left").select(
+        *right.columns, F.explode(_slices(rs, re, slice_days, F.col("__last"))).alias("__r_slice")
+    )
     home = _slice(F.greatest(F.least(ls, le), F.least(rs, re)), slice_days)
     on = F.col("__l_slice") == F.col("__r_slice")
     for l, r in keys:

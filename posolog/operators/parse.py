@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from posolog.functions.sig import PARSED_FIELDS, add_parsed_sig
 from posolog.functions.taper import taper_schedule
-from posolog.operators.joins import BROADCAST_ROWS, is_at_most
 from posolog.schema import require_columns
 
 
@@ -16,7 +15,6 @@ def parse_sig(
     sig_col: str = "sig",
     advanced: bool = False,
     dictionary: bool = False,
-    max_texts: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Append the parsed fields of each prescription text.
 
@@ -24,20 +22,17 @@ def parse_sig(
     that fills a third of the table costs no more than any other.
 
     ``dictionary=True`` parses every distinct text once and looks the rows up,
-    which is several times cheaper where texts repeat.  It first counts the
-    distinct texts, no further than ``max_texts``: up to that bound the
-    dictionary is broadcast, so the rows are still not shuffled; beyond it the
-    rows are parsed in place after all.  The count runs when the plan is built,
-    so use it on a written table rather than on a long plan.
+    which is several times cheaper where texts repeat.  The input is read twice,
+    so use it on a written table rather than on a long plan.  Whether the lookup
+    shuffles or broadcasts follows from measured sizes, and a text that fills a
+    large share of the rows is split by adaptive execution.
     """
     require_columns(df, [sig_col])
     if not dictionary or df.isStreaming:
         return add_parsed_sig(df, sig_col, advanced)
     texts = df.select(F.col(sig_col).alias("__sig")).where("__sig IS NOT NULL").distinct()
-    if not is_at_most(texts, max_texts):
-        return add_parsed_sig(df, sig_col, advanced)
     keep = [c for c in df.columns if c not in PARSED_FIELDS]
-    parsed = F.broadcast(add_parsed_sig(texts, "__sig", advanced))
+    parsed = add_parsed_sig(texts, "__sig", advanced)
     # A NULL text never joins; it reads as a blank one.
     joined = df.select(*keep).join(parsed, F.col(sig_col) == F.col("__sig"), "left")
     blank = {

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
-from posolog.operators.joins import BROADCAST_ROWS, small_enough_to_broadcast
 from posolog.schema import REQUIRED, require_columns
 
 _FACT_COLUMNS = (
@@ -74,14 +73,13 @@ def extract_exposures(
     start_date: str | date | None = None,
     end_date: str | date | None = None,
     sig_source: str = "sig",
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Exposure rows with drug name, route name and strength.
 
     Date, concept and person filters sit on the scan of the fact table.  The
     name and strength lookups share the key ``drug_concept_id``, so they are
-    joined to each other first and the fact table meets one lookup per key.  A
-    lookup is broadcast only after a bounded count shows that it is small.
+    joined to each other first and the fact table meets one lookup per key, in one
+    read of the facts.  Join strategies follow from measured sizes.
     """
     low = F.lit(str(start_date or V.FIRST_START_DATE)).cast("date")
     high = F.lit(str(end_date)).cast("date") if end_date else F.current_date()
@@ -114,12 +112,8 @@ def extract_exposures(
     routes = concept.select(
         F.col("concept_id").alias("route_concept_id"),
         F.col("concept_name").alias("route_concept_name"),
-    ).join(
-        facts.select("route_concept_id").distinct(), "route_concept_id", "left_semi"
     )
-    named = facts.join(
-        small_enough_to_broadcast(drugs, broadcast_rows), "drug_concept_id", "left"
-    ).join(small_enough_to_broadcast(routes, broadcast_rows), "route_concept_id", "left")
+    named = facts.join(drugs, "drug_concept_id", "left").join(routes, "route_concept_id", "left")
     rows = named.select(
         "person_id",
         "drug_exposure_id",

@@ -120,10 +120,6 @@ def test_dictionary_gives_the_same(spark):
     _check(spark, BASIC, lambda df: parse_sig(df, dictionary=True))
 
 
-def test_dictionary_beyond_its_bound_parses_in_place(spark):
-    _check(spark, BASIC, lambda df: parse_sig(df, dictionary=True, max_texts=3))
-
-
 def test_advanced_cases(spark):
     _check(spark, ADVANCED, parse_sig_advanced)
 

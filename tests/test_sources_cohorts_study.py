@@ -128,7 +128,7 @@ def test_bundled_cohorts_plan(tables):
     assert len(K.load_config("rheumatic_dmard")["index_event"]["exact_concept_ids"]) == 172
 
 
-def test_extraction_broadcast_and_beyond(spark, tables):
+def test_extraction(spark, tables):
     fact = spark.createDataFrame(
         [(1, 10, 4, 4, D(2020, 1, 1), None, 1.0, 1.0, "x", 5, "MG", "src"),
          (2, 11, 77, 77, D(2031, 1, 1), None, 1.0, 1.0, "x", 6, "MG", "src")],
@@ -139,10 +139,9 @@ def test_extraction_broadcast_and_beyond(spark, tables):
     strength = spark.createDataFrame([(4, 5.0, 8576), (4, 7.0, 8576), (4, None, 1)],
                                      "drug_concept_id long, amount_value double, amount_unit_concept_id int")
     source = ClinicalTables(fact, tables["concept"], strength)
-    for bound in (1000, 0):
-        out = extract_exposures(source, end_date="2032-01-01", broadcast_rows=bound)
-        got = {r.person_id: (r.drug_concept_name, r.route_concept_name, r.amount_value) for r in out.collect()}
-        assert got == {1: ("drug", "route", 7.0), 2: (None, None, None)}
+    out = extract_exposures(source, end_date="2032-01-01")
+    got = {r.person_id: (r.drug_concept_name, r.route_concept_name, r.amount_value) for r in out.collect()}
+    assert got == {1: ("drug", "route", 7.0), 2: (None, None, None)}
     assert extract_exposures(source, end_date="2026-01-01").count() == 1
     assert extract_exposures(source, drug_concept_ids=[4]).count() == 1
 

@@ -1,17 +1,13 @@
-"""Streamed doses and episodes give what the batch operators give."""
+"""Streamed doses give what the batch operators give."""
 
 import datetime as dt
 
-import pytest
-
-from posolog import build_episodes, run_pipeline
-from posolog.streaming.exposures import stream_episodes
+from posolog import run_pipeline
 
 D = dt.date
 SCHEMA = ("person_id long, drug_concept_name string, route_concept_name string, sig string, "
           "drug_exposure_start_date date, drug_exposure_end_date date")
-COLUMNS = ["person_id", "drug_name_std", "episode_start", "episode_end", "n_records",
-           "mean_daily_dose"]
+COLUMNS = ["person_id", "drug_name_std", "drug_exposure_start_date", "drug_exposure_end_date", "pred_equiv_mg"]
 
 
 def test_stream_matches_batch(spark, tmp_path):
@@ -26,18 +22,13 @@ def test_stream_matches_batch(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     dosed = run_pipeline(stream, "nlp", return_level="exposure")
     query = (
-        stream_episodes(dosed).writeStream.format("memory").queryName("streamed")
-        .outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).start()
+        dosed.select(*COLUMNS).writeStream.format("memory").queryName("streamed")
+        .outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     )
     try:
         query.processAllAvailable()
     finally:
         query.stop()
-    batch = build_episodes(
-        run_pipeline(df, "nlp", return_level="exposure"),
-        end_col="drug_exposure_end_date", dose_col="pred_equiv_mg",
-    )
-    got = sorted(tuple(r) for r in spark.table("streamed").select(*COLUMNS).collect())
+    batch = run_pipeline(df, "nlp", return_level="exposure")
+    got = sorted(tuple(r) for r in spark.table("streamed").collect())
     assert got == sorted(tuple(r) for r in batch.select(*COLUMNS).collect())
-    with pytest.raises(ValueError):
-        stream_episodes(dosed, gap_days=0)
