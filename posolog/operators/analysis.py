@@ -27,7 +27,8 @@ def stack(tables: Mapping[str, DataFrame], label: str = "method") -> DataFrame:
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Rows per value and their share in percent."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*")).scalar()
+    # Summed from the counts, whose exchange is reused: the input is computed once.
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.lit(100.0) * F.col("n") / total)
 
 
