@@ -22,23 +22,26 @@ from pyspark.sql import functions as F
 from posolog.llm.common import partitions, stored, text_or_empty
 
 
-#: Ranges are drawn from so many first bytes of a block: their sample goes to the driver.
+#: Ranges are drawn from so many first bytes of a block and a hash of the whole, which
+#: parts blocks that begin alike: their sample goes to the driver.
 RANGE_BYTES = 16
 
 
 def numbered(values: DataFrame, columns: list[str]) -> DataFrame:
     """The distinct rows, numbered from 1 in sorted order (with gaps), as ``_name``.
 
-    Equal rows meet within each task before the range-partitioned sort, and the
+    Blocks are ordered by their first bytes, then hash, then all bytes.  Equal rows meet within each task before the range-partitioned sort, and the
     table is written, so that every reader sees the same numbers.
     """
     kinds = dict(values.dtypes)
-    ranges = [F.substring(c, 1, RANGE_BYTES) if kinds[c] == "binary" else F.col(c) for c in columns]
+    ranges = []
+    for c in columns:
+        ranges += [F.substring(c, 1, RANGE_BYTES), F.xxhash64(c)] if kinds[c] == "binary" else [F.col(c)]
     return stored(
         values.select(*columns)
         .distinct()
         .repartitionByRange(partitions(values.sparkSession), *ranges)
-        .sortWithinPartitions(*columns)
+        .sortWithinPartitions(*ranges, *columns)
         .withColumn("_name", F.monotonically_increasing_id() + F.lit(1))
     )
 
