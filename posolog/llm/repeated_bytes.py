@@ -355,7 +355,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "content") -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "difference") -> DataFrame:
     """(doc, a, b): byte ranges to remove; they overlap.  A null id is -2^63."""
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col).select("doc", "body")
@@ -387,7 +387,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), key.alias("doc"), text_or_empty(text_col).cast("binary").alias("body"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "content") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "difference") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``."""
     spans = (
         repeated_spans(docs, id_col, text_col, cover)
