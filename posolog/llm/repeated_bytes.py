@@ -21,8 +21,9 @@ bytes of the strings that it stands for):
 3. For these, the bytes around the position are read and the suffixes of the bucket
    sorted at each offset; all but the first of equal ones are repeated.
 
-Names and ranks are 64-bit hashes, compared together (128 bits for a string); no text
-is compared beyond them.  A task holds a portion of text or a bucket, of which
+Names and ranks are hashes of 56 and 48 bits, compared together (104 bits for a string;
+among the 10^13 sample positions of 100 TB, a chance of about 1 in 200,000 that any two
+strings are taken for equal that are not); no text is compared beyond them.  A task holds a portion of text or a bucket, of which
 there are four times as many as shuffle partitions.  The occurrences of one block
 whose surroundings all differ meet in one bucket, at about 34 bytes each in step 2.
 
@@ -51,6 +52,8 @@ PLACES = LENGTH - BLOCK + 1
 PORTION = 2 << 20
 # Fixed value: a perfect difference set modulo PLACES (73); every difference occurs.
 DIFFERENCES = [1, 2, 4, 8, 16, 32, 37, 55, 64]
+#: What is kept of the hashes of a block and of its strings: 56 and 48 bits.
+NAME_MASK, RANK_MASK = np.uint64(0xFFFFFFFFFFFFFF00), np.uint64(0xFFFFFFFFFFFF0000)
 _ROOT = 6364136223846793005
 _NO_ID = -(1 << 63)
 _SCHEMA = "bucket int, n int, data binary"
@@ -163,7 +166,7 @@ def sample(portion: list[tuple[int, int, bytes]], cover: str) -> tuple[np.ndarra
     rank = _mixed((sums[high + LENGTH] - sums[low]) * inverse[low] + ((at - low) * 128 + at - high).astype(np.uint64))
     docs = np.array([doc for doc, _, _ in portion], np.int64)
     shift = offsets - (ends - sizes)
-    return names[at], rank, docs[of], at + shift[of], (at - low).astype(np.uint8), (at - high).astype(np.uint8)
+    return names[at] & NAME_MASK, rank & RANK_MASK, docs[of], at + shift[of], (at - low).astype(np.uint8), (at - high).astype(np.uint8)
 
 
 def firsts(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
