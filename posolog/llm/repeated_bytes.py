@@ -23,8 +23,9 @@ bytes of the strings that it stands for):
 
 Names and ranks are hashes of 56 and 48 bits, compared together (104 bits for a string;
 among the 10^13 sample positions of 100 TB, a chance of about 1 in 200,000 that any two
-strings are taken for equal that are not); no text is compared beyond them.  A task holds a portion of text or a bucket, of which
-there are four times as many as shuffle partitions.  The occurrences of one block
+strings are taken for equal that are not); no text is compared beyond them.  A task
+holds a portion of text or a bucket, of which there are four times as many as shuffle
+partitions.  The occurrences of one block
 whose surroundings all differ meet in one bucket, at about 34 bytes each in step 2.
 
 Defined cases: null text is empty; a null id comes before all others; rows that
@@ -361,11 +362,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "difference") -> DataFrame:
     """(doc, a, b): byte ranges to remove; they overlap.  A null id is -2^63."""
     spark = docs.sparkSession
-    rows = _rows(docs, id_col, text_col).select("doc", "body")
+    rows = _rows(docs, id_col, text_col)
     n = partitions(spark)
     bits = max(4, (4 * n - 1).bit_length())
     names = stored(
-        rows.mapInArrow(_step1(bits, cover), _SCHEMA)
+        rows.select("doc", "body").mapInArrow(_step1(bits, cover), _SCHEMA)
         .repartition(n, "bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_step2, "doc long, a long, b long, name long")
@@ -375,7 +376,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy(F.col("doc").alias("of"))
         .agg(F.collect_list(F.struct("a", "b", "name")).alias("places"))
     )
-    around = rows.join(places, F.col("doc") == F.col("of")).select("doc", "body", "places")
+    # The same columns as in ``without_repeats``, so that texts are shuffled once for both joins.
+    around = rows.join(places, F.col("doc") == F.col("of")).select("doc_id", "doc", "body", "places")
     later = (
         around.mapInArrow(_step3_read(bits), _SCHEMA)
         .repartition(n, "bucket")
