@@ -103,23 +103,19 @@ def _clinical_sql(q: C.With, *names: str) -> C.With:
 
 
 def _extract_check() -> str:
+    """Each fact row picks its names and strength by key."""
+    strong = "FROM drug_strength AS k WHERE k.drug_concept_id = f.drug_concept_id"
+    picked = {
+        "route_concept_name": "(SELECT max(concept_name) FROM concept WHERE concept_id = f.route_concept_id)",
+        "drug_concept_name": "(SELECT max(concept_name) FROM concept WHERE concept_id = f.drug_concept_id)",
+        "amount_value": f"(SELECT max(k.amount_value) {strong})",
+        "amount_unit_concept_id": "(SELECT max(k.amount_unit_concept_id) FILTER (WHERE k.amount_value "
+                                  f"IS NOT NULL) {strong})",
+    }
+    columns = ", ".join(f"{picked.get(n, 'f.' + n)} AS {n}" for n in _EXTRACT)
     q = _clinical_sql(C.With(), "fact", "concept", "drug_strength")
-    q.add("ds", "SELECT drug_concept_id, max(amount_value) AS amount_value, "
-          "max(amount_unit_concept_id) AS amount_unit_concept_id FROM drug_strength "
-          "WHERE amount_value IS NOT NULL GROUP BY drug_concept_id")
-    columns = ", ".join(
-        {"route_concept_name": "rc.concept_name AS route_concept_name",
-         "drug_concept_name": "c.concept_name AS drug_concept_name",
-         "amount_value": "ds.amount_value",
-         "amount_unit_concept_id": "ds.amount_unit_concept_id"}.get(n, f"de.{n}")
-        for n in _EXTRACT
-    )
-    return q.select(
-        f"SELECT {columns} FROM fact AS de LEFT JOIN concept AS c ON de.drug_concept_id = "
-        "c.concept_id LEFT JOIN concept AS rc ON de.route_concept_id = rc.concept_id LEFT JOIN ds "
-        "ON ds.drug_concept_id = de.drug_concept_id WHERE de.drug_exposure_start_date BETWEEN "
-        "DATE '1996-01-01' AND DATE '2000-12-31'"
-    )
+    return q.select(f"SELECT {columns} FROM fact AS f WHERE year(f.drug_exposure_start_date) IN "
+                    "(1996, 1997, 1998, 1999, 2000)")
 
 
 def _clinical_tables(spark: SparkSession, sf_dir: str) -> ClinicalTables:
@@ -1043,36 +1039,42 @@ EXACT_CONFIG = {
 }
 
 
-def _index_sql(q: C.With, name: str, concepts: str) -> C.With:
-    return q.add(
-        name,
-        "SELECT co.person_id, min(co.condition_start_date) AS index_date, "
-        "min(op.observation_period_start_date) AS op_start, max(op.observation_period_end_date) AS "
-        f"op_end FROM condition_occurrence AS co JOIN ({concepts}) AS cs ON co.condition_concept_id = "
-        "cs.concept_id JOIN observation_period AS op ON co.person_id = op.person_id AND "
-        "co.condition_start_date BETWEEN op.observation_period_start_date AND "
-        "op.observation_period_end_date GROUP BY co.person_id",
-    )
+def _first_events(q: C.With, concepts: str) -> C.With:
+    """first_events: of the events in watched time, ranked by day, each person's first."""
+    q.add("listed_days", "SELECT person_id, condition_start_date AS day FROM condition_occurrence WHERE "
+          f"condition_concept_id IN ({concepts})")
+    q.add("watched_days", "SELECT w.*, row_number() OVER (PARTITION BY person_id ORDER BY day) AS place, "
+          "min(since) OVER (PARTITION BY person_id) AS first_watched, max(until) OVER (PARTITION BY "
+          "person_id) AS last_watched FROM (SELECT listed_days.person_id, day, "
+          "observation_period_start_date AS since, observation_period_end_date AS until FROM "
+          "observation_period, listed_days WHERE listed_days.person_id = observation_period.person_id "
+          "AND day >= observation_period_start_date AND day <= observation_period_end_date) AS w")
+    return q.add("first_events", "SELECT person_id, day, first_watched, last_watched, (SELECT "
+                 "max(year_of_birth) FROM person WHERE person.person_id = watched_days.person_id) AS born "
+                 "FROM watched_days WHERE place = 1")
 
 
-def _exists_sql(concepts: str, timing: str) -> str:
-    return ("EXISTS (SELECT 1 FROM drug_exposure AS de WHERE de.person_id = ie.person_id AND "
-            f"de.drug_concept_id IN ({concepts}) AND {timing})")
+_LATER = "taken >= day"
+_ANY = "taken >= first_watched AND taken <= last_watched"
 
 
-_LATER = "de.drug_exposure_start_date >= ie.index_date"
-_ANY = "de.drug_exposure_start_date BETWEEN ie.op_start AND ie.op_end"
-_ADULT = "year(ie.index_date) - p.year_of_birth >= 18"
+def _adults_with(*needs: tuple[str, str]) -> str:
+    """Persons of 18 or more who belong to the takers of every listed set in its time."""
+    takers = [
+        "SELECT first_events.person_id FROM first_events JOIN (SELECT person_id, drug_concept_id, "
+        "drug_exposure_start_date AS taken FROM drug_exposure) AS t USING (person_id) WHERE "
+        f"{when} AND drug_concept_id IN ({concepts})" for concepts, when in needs
+    ]
+    return " INTERSECT ".join(["SELECT person_id FROM first_events WHERE born <= year(day) - 18", *takers])
 
 
 def _config_members() -> str:
-    return ("SELECT DISTINCT ie.person_id FROM ie JOIN person AS p ON p.person_id = ie.person_id "
-            f"WHERE {_ADULT} AND {_exists_sql(_set_sql(_brand(5, 6, 7, 8), _brand(5, 6, 7, 8)), _LATER)} "
-            f"AND {_exists_sql(_set_sql(_brand(9, 10, 11, 12), _brand(9, 10, 11, 12)), _ANY)}")
+    return _adults_with((_set_sql(_brand(5, 6, 7, 8), _brand(5, 6, 7, 8)), _LATER),
+                        (_set_sql(_brand(9, 10, 11, 12), _brand(9, 10, 11, 12)), _ANY))
 
 
 def _config_sql(q: C.With) -> C.With:
-    return _index_sql(q, "ie", _set_sql(_brand(3, 4), _brand(3, 4)))
+    return _first_events(q, _set_sql(_brand(3, 4), _brand(3, 4)))
 
 
 @query(lambda: _config_sql(_cohort_sql()).select(_config_members()))
@@ -1084,10 +1086,8 @@ def _exact_check() -> str:
     exact = EXACT_CONFIG["index_event"]["exact_concept_ids"]
     concepts = (_set_sql([*_brand(13, 14), 21, 22], _brand(13))
                 + f" UNION SELECT concept_id FROM concept WHERE concept_id IN ({_ids(exact)})")
-    q = _index_sql(_cohort_sql(), "ie", concepts)
-    return q.select(
-        "SELECT DISTINCT ie.person_id FROM ie JOIN person AS p ON p.person_id = ie.person_id WHERE "
-        f"{_ADULT} AND {_exists_sql(_set_sql(_brand(15, 16, 17), _brand(15, 16, 17)), _ANY)}"
+    return _first_events(_cohort_sql(), concepts).select(
+        _adults_with((_set_sql(_brand(15, 16, 17), _brand(15, 16, 17)), _ANY))
     )
 
 
