@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from posolog.llm import cap_filters, exact_dedup, html_text, line_dedup, mixing, packing, repeated_bytes, simhash
+from posolog.llm import cap_filters, exact_dedup, html_text, line_dedup, mixing, near_texts, packing, repeated_bytes, simhash
 from posolog.llm import token_counts, toxicity
 from posolog.llm.graph import components
 from posolog.llm.queries import CHECKS, QUERIES, vocabulary
@@ -338,6 +338,38 @@ def test_simhash(documents, odd, none):
     assert simhash.one_of_each(odd).columns == odd.columns
 
 
+def test_near_texts_are_linked_from_a_jaccard_share_of_08(spark, documents, odd, none):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(30):
+        words = [f"w{i}x{k}" for k in rng.integers(0, 10**6, 300)]
+        rows.append((len(rows), " ".join(words)))
+        for changed in (2, 5, 8):
+            copy = list(words)
+            for at in rng.choice(300, changed, replace=False):
+                copy[at] = "other"
+            rows.append((len(rows), " ".join(copy)))
+    far = 0
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), documents):
+        texts = {r.doc_id: r.text or "" for r in docs.collect()}
+        sets = {d: set(near_texts.shingles(t).tolist()) for d, t in texts.items()}
+        got = {r.doc_id: r.component_id for r in near_texts.near_components(docs).collect()}
+        names = sorted(sets)
+        group = brute_components(names, lambda a, b: len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 4)
+        least = {}
+        for g, d in zip(group, names, strict=True):
+            least[g] = min(least.get(g, d), d)
+        assert got == {d: least[g] for g, d in zip(group, names, strict=True)}
+        prints = {d: plain_fingerprint(t) for d, t in texts.items()}
+        far += sum(got[d] != d and (prints[d] ^ prints[got[d]]).bit_count() > simhash.MOST_BITS for d in names)
+        kept = [r.doc_id for r in near_texts.one_of_each_near(docs).collect()]
+        assert sorted(kept) == sorted({least[g] for g in group})
+    assert far  # the bits of op7 alone would leave these
+    assert near_texts.one_of_each_near(odd).columns == odd.columns
+    assert near_texts.near_components(odd).count() == len(ODD)
+    assert near_texts.near_components(none).collect() == []
+
+
 def test_large_entries_are_linked_like_small_ones(monkeypatch):
     rng = np.random.default_rng(3)
     values = np.unique(rng.integers(0, 1 << 12, 300).astype(np.uint64))
