@@ -2,15 +2,14 @@
 
 A page becomes blocks of text, each with the tag path from the root.  Over all
 blocks of a path, text length and punctuation are added up; their ratios to the
-number of the path's blocks are smoothed along the page, multiplied, and paths
-above a share of the page's mean are content.  The content's place is the deepest
-element that holds nearly all text of content paths; its other blocks (headings,
-short paragraphs) belong to the article, too, unless most of their path's text is
-links.
+number of the path's blocks are smoothed along the page (neighbours at most double
+a path's own), multiplied, and paths above a share of the page's mean are content,
+on every page; ``article`` and ``main`` only weigh their blocks' paths.  Headings,
+lists, quotes and tables that stand in the same element as content belong to it,
+and so does a heading right before it, unless most of their text is links.
 
 Elements that never hold the article (menus, footers, scripts, forms, ...) and
 elements whose class, id or role says so are left out before anything is counted.
-Where a page has ``article`` or ``main`` elements with text, only these compete.
 
 Each page is worked on alone in its task.  Defined cases: null html is empty and
 gives an empty text; broken markup is read as far as it goes; repeated rows are
@@ -47,6 +46,10 @@ LEFT_OUT = frozenset(
     "iframe object audio video dialog textarea title".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text: a block's holder is the deepest element that is none of them.
+TEXTUAL = HEADINGS | frozenset(
+    "p ul ol li dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption".split()
+)
 CLOSED_BY_SAME = {
     "li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
 }
@@ -63,8 +66,9 @@ MARKED = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?=$|[\s_-])", re.I)
 
 SHARE_OF_MEAN = 0.5
-SHARE_OF_PLACE = 0.9
 MOST_LINKED = 0.6
+#: What article and main elements add to the weight of a path that is wholly inside.
+ARTICLE_WEIGHT = 0.5
 
 
 class Block:
@@ -168,46 +172,53 @@ def _smooth(values: list[float]) -> list[float]:
     ]
 
 
+def _holder(block: Block) -> int:
+    """The number of the deepest element that is not of running text; 0 for the page."""
+    names = block.path.split("/")
+    return next((n for name, n in zip(reversed(names), reversed(block.ids), strict=False) if name not in TEXTUAL), 0)
+
+
 def main_text(page: str) -> str:
     found, places = blocks(page)
-    inside = [b for b in found if places.intersection(b.ids)]
-    found = inside or found
     if not found:
         return ""
     length: dict[str, int] = {}
     marks: dict[str, int] = {}
     linked: dict[str, int] = {}
     count: dict[str, int] = {}
+    inside: dict[str, int] = {}
     for b in found:
         length[b.path] = length.get(b.path, 0) + len(b.text)
         marks[b.path] = marks.get(b.path, 0) + len(_PUNCTUATION.findall(b.text))
         linked[b.path] = linked.get(b.path, 0) + b.linked
         count[b.path] = count.get(b.path, 0) + 1
-    texts = _smooth([length[b.path] / count[b.path] for b in found])
-    stops = _smooth([marks[b.path] / count[b.path] for b in found])
+        inside[b.path] = inside.get(b.path, 0) + bool(places.intersection(b.ids))
+    own_texts = [length[b.path] / count[b.path] for b in found]
+    own_stops = [marks[b.path] / count[b.path] for b in found]
+    texts = [min(2 * own, value) for own, value in zip(own_texts, _smooth(own_texts), strict=True)]
+    stops = [min(2 * own, value) for own, value in zip(own_stops, _smooth(own_stops), strict=True)]
     fused: dict[str, float] = {}
     for b, text, stop in zip(found, texts, stops, strict=True):
-        unlinked = 1 - linked[b.path] / length[b.path]
-        fused[b.path] = fused.get(b.path, 0.0) + math.sqrt(text * (1 + stop)) * unlinked / count[b.path]
+        weight = (1 - linked[b.path] / length[b.path]) * (1 + ARTICLE_WEIGHT * inside[b.path] / count[b.path])
+        fused[b.path] = fused.get(b.path, 0.0) + math.sqrt(text * (1 + stop)) * weight / count[b.path]
     mean = sum(fused[b.path] for b in found) / len(found)
     content = [b for b in found if fused[b.path] >= SHARE_OF_MEAN * mean and linked[b.path] <= MOST_LINKED * length[b.path]]
-    if not content:
-        return ""
-    held: dict[int, int] = {}
-    for b in content:
-        for n in b.ids:
-            held[n] = held.get(n, 0) + len(b.text)
-    total = sum(len(b.text) for b in content)
-    # Of each content block's elements, the deepest that still holds nearly all.
-    place = max((n for n, size in held.items() if size >= SHARE_OF_PLACE * total), default=0)
-    if inside:
-        place = 0  # articles are places already
     chosen = set(map(id, content))
-    return "\n".join(
-        b.text
-        for b in found
-        if id(b) in chosen or ((not place or place in b.ids) and b.linked <= MOST_LINKED * len(b.text))
-    )
+    holders = set(map(_holder, content))
+    kept: list[str] = []
+    follows = False  # content comes next
+    for b in reversed(found):
+        name = b.path.rpartition("/")[2]
+        if id(b) in chosen:
+            follows = True
+        elif b.linked > MOST_LINKED * len(b.text):
+            follows = False
+            continue
+        elif not (name in TEXTUAL and _holder(b) in holders) and not (name in HEADINGS and follows):
+            follows = False
+            continue
+        kept.append(b.text)
+    return "\n".join(reversed(kept))
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

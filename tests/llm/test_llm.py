@@ -474,6 +474,21 @@ def test_main_text_without_article_element():
     assert html_text.main_text(page) == "Title – x\nOne, two three. Four five, six; seven.\nEight nine ten, eleven."
 
 
+PARAGRAPHS = [f"Real text number {i}, with commas, that goes on; and on for a good while, until it ends at last." for i in range(6)]
+ARTICLE = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+
+
+def test_main_text_is_chosen_by_ratios_beside_article_elements():
+    cards = "".join(f"<article><h3>Teaser {i}</h3><p>Short teaser {i}</p></article>" for i in range(3))
+    page = f"<body><div><h1>Title</h1>{ARTICLE}</div><div>{cards}</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *PARAGRAPHS])
+    page = (
+        f"<body><main><div>We use data files</div><h1>Title</h1>{ARTICLE}<ul><li>An item</li></ul>"
+        "<div><span>Buy now</span></div><section><div>ok thanks</div></section></main></body>"
+    )
+    assert html_text.main_text(page) == "\n".join(["Title", *PARAGRAPHS, "An item"])
+
+
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
