@@ -8,8 +8,11 @@ on every page; ``article`` and ``main`` only weigh their blocks' paths.  Heading
 lists, quotes and tables that stand in the same element as content belong to it,
 and so does a heading right before it, unless most of their text is links.
 
-Elements that never hold the article (menus, footers, scripts, forms, ...) and
-elements whose class, id or role says so are left out before anything is counted.
+Elements that never hold the article (menus, footers, scripts, ...) are left out
+before anything is counted.  Forms, page headers and elements whose class, id or
+role says that they are something else are left out if they hold a minor share of
+the page's text; what wraps most of it stays (one block alone is no wrapper where
+an article or main element has text, too).
 
 Each page is worked on alone in its task.  Defined cases: null html is empty and
 gives an empty text; broken markup is read as far as it goes; repeated rows are
@@ -42,7 +45,7 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split()
 )
 LEFT_OUT = frozenset(
-    "head nav footer aside form button select option datalist menu script style noscript template svg canvas "
+    "head nav footer aside button select option datalist menu script style noscript template svg canvas "
     "iframe object audio video dialog textarea title".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -66,6 +69,7 @@ MARKED = re.compile(
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?=$|[\s_-])", re.I)
 
 SHARE_OF_MEAN = 0.5
+MINOR_SHARE = 0.5
 MOST_LINKED = 0.6
 #: What article and main elements add to the weight of a path that is wholly inside.
 ARTICLE_WEIGHT = 0.5
@@ -79,9 +83,13 @@ class Block:
 
 
 def blocks(page: str) -> tuple[list[Block], set[int]]:
-    """Blocks of text in page order, and the numbers of article and main elements."""
+    """Blocks of text in page order, and the numbers of article and main elements.
+
+    Marked elements with a minor share of the text are left out.
+    """
     out: list[Block] = []
     places: set[int] = set()
+    marked: set[int] = set()
     stack: list[tuple[str, int, bool]] = []  # name, number, left out
     words: list[str] = []
     linked: list[str] = []
@@ -150,10 +158,14 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
         away = (
             bool(stack and stack[-1][2])
             or name in LEFT_OUT
-            or bool(marks and name not in ("html", "body", "article", "main") and MARKED.search(marks))
-            or (not in_article and (name == "header" or bool(HEADER.search(marks))))
             or bool(_HIDDEN.search(attributes))
         )
+        if (
+            name == "form"
+            or (marks and name not in ("html", "body", "article", "main") and MARKED.search(marks))
+            or (not in_article and (name == "header" or HEADER.search(marks)))
+        ):
+            marked.add(number)
         if (name in ("article", "main") or "main" in marks.lower().split()) and not away:
             places.add(number)
         links += name == "a"
@@ -161,7 +173,14 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
     if not page.startswith("<", at):
         hear(page[at:])
     flush()
-    return out, places
+    held: dict[int, list[int]] = {}
+    for b in out:
+        for n in marked.intersection(b.ids):
+            held.setdefault(n, []).append(len(b.text))
+    total = sum(len(b.text) for b in out)
+    placed = any(places.intersection(b.ids) and not marked.intersection(b.ids) for b in out)
+    minor = {n for n, sizes in held.items() if sum(sizes) < MINOR_SHARE * total or (placed and len(sizes) == 1)}
+    return [b for b in out if not minor.intersection(b.ids)], places
 
 
 def _smooth(values: list[float]) -> list[float]:

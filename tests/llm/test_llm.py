@@ -489,6 +489,16 @@ def test_main_text_is_chosen_by_ratios_beside_article_elements():
     assert html_text.main_text(page) == "\n".join(["Title", *PARAGRAPHS, "An item"])
 
 
+@pytest.mark.parametrize(
+    "tag", ["div class='has-sidebar'", "div class='no-sidebar'", "div class='sidebar-right'", "div id='nav-fixed'",
+            "div class='menu-open'", "div class='page-banner content'", "div class='legal'", "form action='x'", "header"],
+)
+def test_main_text_keeps_wrappers_of_most_text(tag):
+    inner = f"<div class='sidebar'><p>Aside, more.</p></div><div class='content'><h1>Title</h1>{ARTICLE}</div>"
+    page = f"<body><{tag}>{inner}</{tag.split()[0]}><div class='menu'>Menu, here.</div></body>"
+    assert html_text.main_text(page) == "\n".join(["Title", *PARAGRAPHS])
+
+
 @pytest.mark.parametrize("name", sorted(CHECKS))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
