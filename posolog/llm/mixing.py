@@ -9,7 +9,9 @@ votes / (2 seats + 1), first among sources (votes: targets), then among the shar
 of each source (votes: words).  A shard is a hashed part of a source; its words
 form a stream in seeded order, and its seats take that many blocks of the stream:
 whole passes first, then blocks from its start.  A document's share of the last
-pass may be a part of it.
+pass may be a part of it.  What blocks exceed a shard's ``most_repeats`` passes by
+goes to the source's other shards, in proportion to what they may still give, so
+that a small source of short texts reaches its target, too.
 
 No block is a row: the seats that are certain follow from the exact quota, and
 only about three candidate seats a party are ranked.  Shards number about the
@@ -113,6 +115,32 @@ def targets(sources: DataFrame, most_repeats: int = MOST_REPEATS) -> DataFrame:
     )
 
 
+def handed_on(given: DataFrame, most_repeats: int) -> DataFrame:
+    """``given`` with ``_words`` of each shard: its blocks' words, none above its cap.
+
+    A source's words above the caps are shared by the room below them: a shard gets
+    the difference of two rounded running shares, which is never above its room.
+    """
+    source = Window.partitionBy("source_no")
+    upto = source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    wide = "decimal(19,0)"
+
+    def share(room: str) -> Column:
+        return F.expr(f"coalesce(cast(_over as {wide}) * cast({room} as {wide}) div nullif(cast(_room_all as {wide}), 0), 0)")
+
+    return (
+        given.withColumn("_cap", F.col("shard_size") * most_repeats)
+        .withColumn("_won", F.col("seats") * F.col("block"))
+        .withColumn("_room", F.greatest(F.col("_cap") - F.col("_won"), F.lit(0).cast("long")))
+        .withColumn("_room_all", F.sum("_room").over(source))
+        .withColumn("_over", F.sum(F.greatest(F.col("_won") - F.col("_cap"), F.lit(0).cast("long"))).over(source))
+        .withColumn("_over", F.least("_over", "_room_all"))
+        .withColumn("_room_upto", F.sum("_room").over(upto))
+        .withColumn("_room_before", F.col("_room_upto") - F.col("_room"))
+        .withColumn("_words", F.least("_won", "_cap") + share("_room_upto") - share("_room_before"))
+    )
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, most_repeats: int = MOST_REPEATS) -> DataFrame:
     """doc_id, size, source_size, target, taken, and passes (whole), part (words more)."""
     sized = stored(
@@ -143,9 +171,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", seed: int = SEED, most_repeats:
         "source_size", "target", "block", F.col("seats").alias("_house"), "source_no",
     )
     shared = shards.join(quotas, ["_src", "_none"])
-    given = seats(shared, ["source_no"], "shard_size", "_house", ["shard"]).withColumn(
-        "_words", F.least(F.col("seats") * F.col("block"), F.col("shard_size") * most_repeats)
-    )
+    given = handed_on(seats(shared, ["source_no"], "shard_size", "_house", ["shard"]), most_repeats)
     given = stored(given.select("_src", "_none", "shard", "shard_size", "source_size", "target", "_words"))
     order = Window.partitionBy("_src", "_none", "shard").orderBy("_place", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))

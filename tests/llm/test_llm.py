@@ -114,6 +114,17 @@ def test_mix_is_near_its_targets(documents, odd, none):
     assert mixing.mixed_documents(none).collect() == []
 
 
+def test_small_source_of_short_texts_reaches_its_target(spark):
+    docs = spark.range(40_000).selectExpr(
+        "id AS doc_id", "if(id < 100, 'small', 'hot') AS source", "repeat('word ', if(id < 100, 10, 50)) AS text"
+    )
+    rows = mixing.mix(docs).filter("source_size = 1000").collect()
+    assert {r.target for r in rows} == {3000}
+    block = 3000 // mixing.BLOCK_SHARE
+    assert sum(r.taken for r in rows) >= 3000 - block
+    assert all(0 <= r.taken <= 3 * r.size and r.taken == r.size * r.passes + r.part for r in rows)
+
+
 def test_seats_are_the_highest_quotients(spark):
     rng = np.random.default_rng(1)
     rows = []
