@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from posolog.llm import exact_dedup, mixing
+from posolog.llm import collocations, exact_dedup, max_sketch, mixing
 from posolog.llm.cap_filters import near_vectors
 from posolog.llm.common import table
 from posolog.llm.html_text import main_texts
 from posolog.llm.line_dedup import without_recurring_lines
 from posolog.llm.packing import packed
+from posolog.llm.quality import quality_scores
 from posolog.llm.repeated_bytes import without_repeats
 from posolog.llm.simhash import simhash_components
 from posolog.llm.token_counts import token_counts
@@ -71,6 +72,19 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -90,8 +104,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_near_vectors,
         op10_main_text,
+        op11_lexical_search,
+        op12_collocations,
+        op13_quality,
         pipeline,
     )
 }
 
-CHECKS: dict[str, str] = {"op2_source_mix": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
+CHECKS: dict[str, str] = {
+    "op2_source_mix": mixing.SQL,
+    "op8_exact_dedup": exact_dedup.SQL,
+    "op11_lexical_search": max_sketch.SQL,
+    "op12_collocations": collocations.SQL,
+}
