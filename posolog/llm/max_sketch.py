@@ -1,12 +1,12 @@
 """Ranked lexical search over hashed max-sketches.
 
 A term's impact in a document, ``tf * 10^9 div (1000 tf + 8 m)``, does not depend on
-the query.  A document folds the impacts of all its terms into a sketch: a term is
-hashed to one of S places, and a place keeps the largest impact that falls on it (S is
-a power of two, at least twice the document's distinct terms).  A query folds its
-term weights into S places too, so that one matrix product of a block of sketches with
-the folded queries of a batch gives an upper bound for each pair: every term finds at
-least its own impact at its place.  Impacts are kept in one byte, rounded up.
+the query.  A document folds the impacts of all its terms into two sketches: a term is
+hashed to one of S places of each, and a place keeps the largest impact that falls on it
+(S is a power of two, at least ``LOAD`` times the document's distinct terms).  All terms
+of a batch of queries are looked up in a block of sketches at once; the smaller of the
+two values is no less than the term's own impact, so the sums over a query's terms,
+times their weights, are upper bounds.  Impacts are kept in one byte, rounded up.
 
 For each query a task takes the documents of a block by descending bound, scores them
 exactly, and stops at the first bound below its tenth best score so far (bounds equal
@@ -45,12 +45,14 @@ from posolog.llm.token_counts import Memory
 BEST = 10
 #: Distinct terms that the queries of a batch hold together.
 BATCH_TERMS = 20_000
-#: Sketch places that a task holds at a time (one byte each), and distinct terms.
-BLOCK_PLACES = 1 << 23
+#: Sketch places that a task holds at a time (one byte each), terms and documents.
+BLOCK_PLACES = 1 << 24
 BLOCK_TERMS = 1 << 20
+BLOCK_DOCUMENTS = 1 << 13
 LEAST_PLACES = 64
-#: Queries are folded for sketches up to this size; longer ones are looked up term by term.
-FOLDED_PLACES = 2048
+LOAD = 8
+#: Values looked up in sketches at a time.
+LOOKED_UP = 1 << 21
 TOP_IMPACT = 1_000_000
 
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x41, 0x5B)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -115,24 +117,27 @@ class Queries:
     weights: list[dict[bytes, int]]
 
     def __post_init__(self) -> None:
+        held = [n for n, w in enumerate(self.weights) if w]  # the others find nothing
+        self.items, self.weights = [self.items[n] for n in held], [self.weights[n] for n in held]
         self.sought = {t for w in self.weights for t in w}
-        self.query = np.repeat(np.arange(len(self.weights)), np.array([len(w) for w in self.weights], np.int64))
+        lengths = np.array([len(w) for w in self.weights], np.int64)
+        self.starts = np.cumsum(lengths) - lengths
         self.hash = np.array([zlib.crc32(t) for w in self.weights for t in w], np.int64)
         self.weight = np.array([x for w in self.weights for x in w.values()], np.float64)
-        self.folded: dict[int, np.ndarray] = {}
 
     def bounds(self, sketches: np.ndarray) -> np.ndarray:
-        """Upper bounds of all scores, by document and query."""
-        places = sketches.shape[1]
-        step = TOP_IMPACT / 255 * (1 + 1e-6 + 1.2e-7 * places)  # above single precision's rounding
-        at = self.hash & (places - 1)
-        if places > FOLDED_PLACES:
-            looked_up = [np.bincount(self.query, sketch[at] * self.weight, len(self.weights)) for sketch in sketches]
-            return np.array(looked_up) * step
-        if places not in self.folded:
-            self.folded[places] = np.zeros((places, len(self.weights)), np.float32)
-            np.add.at(self.folded[places], (at, self.query), self.weight)
-        return sketches.astype(np.float32) @ self.folded[places] * step
+        """Upper bounds of all scores, by document and query.
+
+        The sums are whole numbers below 2^53; only the last product is rounded.
+        """
+        one, two = places(self.hash, sketches.shape[2])
+        value = np.minimum(sketches[:, 0, one], sketches[:, 1, two])
+        return np.add.reduceat(value * self.weight, self.starts, axis=1) * (TOP_IMPACT / 255 * (1 + 1e-12))
+
+
+def places(hashes: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+    """Places of terms in the two sketches: low bits of the hash, high bits of a multiple."""
+    return hashes & (size - 1), (hashes * 0x9E3779B1 & 0xFFFFFFFF) * size >> 32
 
 
 class Block:
@@ -150,32 +155,32 @@ class Block:
 
     def add(self, doc_id, found: list[bytes], sought: set[bytes], hashed: Memory) -> None:
         counts = Counter(found)
-        places = max(LEAST_PLACES, 1 << (2 * len(counts) - 1).bit_length())
+        size = max(LEAST_PLACES, 1 << (LOAD * len(counts) - 1).bit_length())
         self.ids.append(doc_id)
-        self.sizes.append(places)
+        self.sizes.append(size)
         self.lengths.append(len(found))
         self.distinct.append(len(counts))
         self.hashes.extend(map(hashed.__getitem__, counts))
         self.counts.extend(counts.values())
         self.sought.append({t: counts[t] for t in counts.keys() & sought})
-        self.places += places
+        self.places += 2 * size
 
     def full(self) -> bool:
-        return self.places >= BLOCK_PLACES or len(self.hashes) >= BLOCK_TERMS
+        return self.places >= BLOCK_PLACES or len(self.hashes) >= BLOCK_TERMS or len(self.ids) >= BLOCK_DOCUMENTS
 
     def sketches(self, queries: Queries) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Documents of one size and their sketches, size by size."""
+        """Documents of one size and their sketches (document, sketch, place), size by size."""
         sizes, distinct = np.array(self.sizes), np.array(self.distinct)
         doc = np.repeat(np.arange(len(sizes)), distinct)
         held = impacts(np.array(self.counts), np.array(self.lengths)[doc], queries.documents, queries.all_terms)
         byte = (-(-held * 255 // TOP_IMPACT)).astype(np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        place = starts[doc] + (np.array(self.hashes) & (sizes[doc] - 1))
+        starts = 2 * (np.cumsum(sizes) - sizes)
         flat = np.zeros(self.places, np.uint8)
-        np.maximum.at(flat, place, byte)
+        for n, place in enumerate(places(np.array(self.hashes), sizes[doc])):
+            np.maximum.at(flat, starts[doc] + n * sizes[doc] + place, byte)
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            yield own, flat[starts[own][:, None] + np.arange(size)]
+            yield own, flat[starts[own][:, None] + np.arange(2 * size)].reshape(-1, 2, size)
 
 
 class Search:
@@ -195,19 +200,21 @@ class Search:
         return sum(weights[t] * ((1_000_000_000 * counts[t]) // (1000 * counts[t] + 8 * m)) for t in shared)
 
     def take(self, block: Block) -> None:
+        if not len(self.queries.hash):
+            return
+        rows = max(1, LOOKED_UP // len(self.queries.hash))
+        bounds = np.zeros((len(block.ids), len(self.queries.items)))
         for own, sketches in block.sketches(self.queries):
-            rows = max(1, (1 << 22) // sketches.shape[1])
             for at in range(0, len(own), rows):
-                bounds = self.queries.bounds(sketches[at : at + rows])
-                for q in np.flatnonzero((bounds >= self.floor).any(axis=0) & (bounds > 0).any(axis=0)):
-                    self._descend(int(q), bounds[:, q], own[at : at + rows], block)
+                bounds[own[at : at + rows]] = self.queries.bounds(sketches[at : at + rows])
+        for q in range(len(self.queries.items)):
+            self._descend(q, bounds[:, q], block)
 
-    def _descend(self, q: int, bounds: np.ndarray, own: np.ndarray, block: Block) -> None:
+    def _descend(self, q: int, bounds: np.ndarray, block: Block) -> None:
         open_ = np.flatnonzero((bounds >= self.floor[q]) & (bounds > 0))
-        for at in open_[np.argsort(-bounds[open_], kind="stable")]:
-            if bounds[at] < self.floor[q]:
+        for doc in open_[np.argsort(-bounds[open_], kind="stable")]:
+            if bounds[doc] < self.floor[q]:
                 return
-            doc = int(own[at])
             self.rescored += 1
             score = self.score(q, block.sought[doc], block.lengths[doc])
             if score > 0 and score >= self.floor[q]:
