@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -441,27 +442,57 @@ def test_near_vectors(spark):
              (1005, [float("nan")] + [1.0] * 31, 1), (1006, [None] + [1.0] * 31, 1), (1007, [1.0, 2.0], 1), (1008, [2.0, 4.0], 1), (7, rows[7][1], rows[7][2])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     usable = [(i, np.array(v) / np.linalg.norm(v), label) for i, v, label in rows if label is not None and v and None not in v and np.isfinite(v).all() and any(v)]
-    links = sum(len(a[1]) == len(b[1]) and a[2] == b[2] and float(a[1] @ b[1]) >= 0.98 for x, a in enumerate(usable) for b in usable[:x])
+    near = {i: [] for i, _, _ in rows}
+    links = 0
+    for x, (i, v, label) in enumerate(usable):
+        for j, w, other in usable[:x]:
+            if len(v) == len(w) and label == other and float(v @ w) >= 0.98:
+                links += 1
+                near[i].append(j)
+                near[j].append(i)
     for tile in (2048, 3):
         got = cap_filters.near_vectors(frame, tile=tile).collect()
         assert len(got) == len(rows)
         found = sum(r.n_links for r in got) / 2
-        assert 0.9 * links <= found <= links
+        assert 0.99 * links <= found <= links
         assert all(r.kept == (r.vec_id == r.component_id) for r in got)
         assert {r.n_links for r in got if 1001 <= r.vec_id <= 1006} == {0}
-        assert all(r.component_id <= r.vec_id for r in got)
+        # Per vector: never more links than there are, and components only along them.
+        assert all(r.n_links <= len(near[r.vec_id]) for r in got)
+        group = {}
+        for i in sorted(near):
+            queue = [i] if i not in group else []
+            while queue:
+                at = queue.pop()
+                if at not in group:
+                    group[at] = i
+                    queue += near[at]
+        assert sum(r.component_id == group[r.vec_id] for r in got) >= 0.99 * len(got)
+        assert all(r.component_id >= group[r.vec_id] for r in got)
     assert cap_filters.near_vectors(spark.createDataFrame([], frame.schema)).collect() == []
 
 
-def test_list_decoding_finds_every_filter():
-    vector = np.random.default_rng(7).standard_normal(20)
-    vector /= np.linalg.norm(vector)
-    blocks = cap_filters.code(20, 9)
-    at, scores = 0, np.zeros(1)
-    for block in blocks:
-        scores = (scores[:, None] + (block @ vector[at : at + block.shape[1]])[None, :]).ravel()
+@pytest.mark.parametrize("vectors, dims", [(10_000, 32), (51_282, 64), (1_000_000, 64), (1_000_000, 384)])
+def test_pairs_at_098_share_a_filter(vectors, dims):
+    rng = np.random.default_rng(8)
+    x, z = rng.standard_normal((2, 2000, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    words = cap_filters.code_words(vectors)
+    one, two = (cap_filters.decode(v, words, cap_filters.FILTERS_PER_VECTOR) for v in (x, 0.98 * x + math.sqrt(1 - 0.98**2) * z))
+    assert (one[:, :, None] == two[:, None, :]).any((1, 2)).mean() >= 0.99
+
+
+def test_list_decoding_finds_the_largest_products():
+    vectors = np.random.default_rng(7).standard_normal((9, 20))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    at, scores = 0, np.zeros((9, 1))
+    for block in cap_filters.code(20, 9):
+        scores = (scores[:, :, None] + (vectors[:, at : at + block.shape[1]] @ block.T)[:, None, :]).reshape(9, -1)
         at += block.shape[1]
-    assert cap_filters.decode(vector, 9, 0.25).tolist() == np.flatnonzero(scores > 0.25).tolist()
+    for k in (1, 16, 700):
+        assert (cap_filters.decode(vectors, 9, k) == np.sort(np.argsort(-scores, axis=1)[:, :k], axis=1)).all()
 
 
 def test_main_text(spark):
