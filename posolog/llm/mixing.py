@@ -270,7 +270,20 @@ sh AS (
   SELECT h.shard, h.shard_size, st.source, st.source_size, st.source_no, st.target, st.block, st.seats AS house
   FROM h JOIN st ON h.source IS NOT DISTINCT FROM st.source),
 {_seats_sql("gv", "sh", "source_no", "shard_size", "shard")},
-g AS (SELECT *, least(seats * block, shard_size * {MOST_REPEATS}) AS words FROM gv),
+g1 AS (
+  SELECT *, shard_size * {MOST_REPEATS} AS cap, seats * block AS won,
+    greatest(shard_size * {MOST_REPEATS} - seats * block, 0) AS room,
+    sum(greatest(seats * block - shard_size * {MOST_REPEATS}, 0)) OVER (PARTITION BY source_no) AS excess
+  FROM gv),
+g2 AS (
+  SELECT *, sum(room) OVER (PARTITION BY source_no) AS room_all,
+    sum(room) OVER (PARTITION BY source_no ORDER BY shard) AS room_upto
+  FROM g1),
+g AS (
+  SELECT *, (least(won, cap)
+    + coalesce(least(excess, room_all) * room_upto // nullif(room_all, 0), 0)
+    - coalesce(least(excess, room_all) * (room_upto - room) // nullif(room_all, 0), 0))::BIGINT AS words
+  FROM g2),
 o AS (
   SELECT p.doc_id, p.size, g.source_size, g.target, words, shard_size,
     coalesce(sum(size) OVER (PARTITION BY g.source_no, g.shard ORDER BY place, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
