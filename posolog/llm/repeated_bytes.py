@@ -359,10 +359,9 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "difference") -> DataFrame:
-    """(doc, a, b): byte ranges to remove; they overlap.  A null id is -2^63."""
-    spark = docs.sparkSession
-    rows = _rows(docs, id_col, text_col)
+def repeated_spans(rows: DataFrame, cover: str = "difference") -> DataFrame:
+    """(doc, a, b): byte ranges of ``rows`` (see ``_rows``) to remove; they overlap."""
+    spark = rows.sparkSession
     n = partitions(spark)
     bits = max(4, (4 * n - 1).bit_length())
     names = stored(
@@ -388,18 +387,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, doc, body: ``doc`` orders documents by id and is equal for equal texts of an id only.
+
+    Where an id (or null) stands for different texts, ids and texts are numbered anew: a
+    range partitioning by (id, text hash), written, and numbers that ascend with it.
+    """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    return docs.select(F.col(id_col).alias("doc_id"), key.alias("doc"), text_or_empty(text_col).cast("binary").alias("body"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key.alias("doc"), text_or_empty(text_col).cast("binary").alias("body"))
+    content = F.xxhash64("body")
+    several = rows.groupBy("doc").agg(F.min(content).alias("low"), F.max(content).alias("high")).filter("low <> high")
+    if several.isEmpty():
+        return rows
+    numbered = stored(
+        rows.select(F.col("doc").alias("of"), content.alias("content"))
+        .distinct()
+        .repartitionByRange("of", "content")
+        .sortWithinPartitions("of", "content")
+        .withColumn("number", F.monotonically_increasing_id())
+    )
+    same = (F.col("doc") == F.col("of")) & (content == F.col("content"))
+    return rows.join(numbered, same).select("doc_id", F.col("number").alias("doc"), "body")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: str = "difference") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row per row of ``docs``."""
+    rows = _rows(docs, id_col, text_col)
     spans = (
-        repeated_spans(docs, id_col, text_col, cover)
+        repeated_spans(rows, cover)
         .groupBy(F.col("doc").alias("of"))
         .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     )
-    rows = _rows(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     return (
         rows.join(spans, F.col("doc") == F.col("of"), "left")
