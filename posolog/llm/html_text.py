@@ -34,7 +34,9 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*+\"|'[^']*+'|[^>\"'])*+>|[^>]*+>)", re.S
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_VALUE = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+_HIDDEN = re.compile(r"""(?:^|[\s/])hidden(?=[\s/=>]|$)(?!\s*=\s*["']?false)""", re.I)
+_UNSEEN = re.compile(r"""(?:^|[\s/"'])(?:style\s*=\s*(?:"[^"]*?|'[^']*?|)display\s*:\s*none|aria-hidden\s*=\s*["']?true)""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？؛،]")
 
 # Fixed values of HTML: elements by their part in a page.
@@ -66,6 +68,7 @@ MARKED = re.compile(
     r"navigation|complementary|contentinfo|dialog)(?=$|[\s_-])",
     re.I,
 )
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|disqus|replies|reply|respond)(?=$|[\s_-])", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?header|page-?header)(?=$|[\s_-])", re.I)
 
 SHARE_OF_MEAN = 0.5
@@ -73,6 +76,15 @@ MINOR_SHARE = 0.5
 MOST_LINKED = 0.6
 #: What article and main elements add to the weight of a path that is wholly inside.
 ARTICLE_WEIGHT = 0.5
+#: Characters of a sentence beside the comments that tells them from a wrapper of the page.
+SENTENCE = 60
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether an element is hidden by an attribute, not by a word in another's value."""
+    if "hidden" not in attributes.lower() and "none" not in attributes.lower():
+        return False
+    return bool(_UNSEEN.search(attributes) or _HIDDEN.search(_VALUE.sub("=''", attributes)))
 
 
 class Block:
@@ -85,11 +97,12 @@ class Block:
 def blocks(page: str) -> tuple[list[Block], set[int]]:
     """Blocks of text in page order, and the numbers of article and main elements.
 
-    Marked elements with a minor share of the text are left out.
+    Marked elements with a minor share of the text are left out, and comments.
     """
     out: list[Block] = []
     places: set[int] = set()
     marked: set[int] = set()
+    commented: set[int] = set()
     stack: list[tuple[str, int, bool]] = []  # name, number, left out
     words: list[str] = []
     linked: list[str] = []
@@ -158,7 +171,7 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
         away = (
             bool(stack and stack[-1][2])
             or name in LEFT_OUT
-            or bool(_HIDDEN.search(attributes))
+            or _hidden(attributes)
         )
         if (
             name == "form"
@@ -166,6 +179,8 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
             or (not in_article and (name == "header" or HEADER.search(marks)))
         ):
             marked.add(number)
+        if marks and name not in ("html", "body", "article", "main") and COMMENTS.search(marks):
+            commented.add(number)
         if (name in ("article", "main") or "main" in marks.lower().split()) and not away:
             places.add(number)
         links += name == "a"
@@ -180,6 +195,12 @@ def blocks(page: str) -> tuple[list[Block], set[int]]:
     total = sum(len(b.text) for b in out)
     placed = any(places.intersection(b.ids) and not marked.intersection(b.ids) for b in out)
     minor = {n for n, sizes in held.items() if sum(sizes) < MINOR_SHARE * total or (placed and len(sizes) == 1)}
+    # Comments go whatever their share, unless they wrap the page's article.
+    for n in commented.difference(minor).intersection(held):
+        wrapped = any(n in b.ids and (places.intersection(b.ids[b.ids.index(n) :]) or b.path.endswith("/h1")) for b in out)
+        beside = (b for b in out if not marked.intersection(b.ids))
+        if not wrapped and any(len(b.text) >= SENTENCE and _PUNCTUATION.search(b.text) for b in beside):
+            minor.add(n)
     return [b for b in out if not minor.intersection(b.ids)], places
 
 
