@@ -77,12 +77,6 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).replace(_BREAK, b" \n ").split(b" ")
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    import xxhash
-
-    return int(np.int64((xxhash.xxh64_intdigest(word, seed=xxhash.xxh64_intdigest(lang.encode(), seed=42)) & ((1 << 62) - 1)) | (1 << 62)))
-
-
 def _pair_hash(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """62 mixed bits of a pair, with the mark of a hashed id."""
     with np.errstate(over="ignore"):
@@ -155,15 +149,22 @@ class Names:
         self.table = table
 
     def of(self, lang: str) -> Memory:
-        ranks = self.rank.get(lang, {})
+        import xxhash
+
+        ranks, table = self.rank.get(lang, {}), self.table.tobytes()
+        seed, mask = xxhash.xxh64_intdigest(lang.encode(), seed=42), (1 << 62) - 1
+        low = TABLE_BITS - 1
 
         def name(word: bytes) -> int:
-            if word in ranks:
-                return ranks[word]
-            if word in (_BREAK, b""):
+            """``_in_table`` for one word, without arrays: tasks meet many rare words once."""
+            rank = ranks.get(word)
+            if rank is not None:
+                return rank
+            if word == _BREAK:
                 return -1
-            hashed = np.array([_word_hash(lang, word)])
-            return int(hashed[0]) if _in_table(self.table, hashed)[0] else -1
+            hashed = (xxhash.xxh64_intdigest(word, seed=seed) & mask) | (1 << 62)
+            one, two = hashed & low, (hashed >> 31) & low
+            return hashed if table[one >> 3] >> (one & 7) & 1 and table[two >> 3] >> (two & 7) & 1 else -1
 
         return Memory(name)
 
