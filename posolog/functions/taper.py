@@ -1,7 +1,11 @@
-"""Taper schedules as an array of steps, read from the normalised text.
+"""Taper schedules, read from the normalised text.
 
 Two forms are recognised: steps spelled out one by one, and a starting dose with
 a fixed decrement.  A text that gives fewer than two steps has no schedule.
+
+A schedule is a plan of fixed size: the steps that the text spells out, or (start,
+decrement, days, number of steps).  ``step_of`` gives any of its steps; rows are made
+from it a few at a time by ``operators.parse``, never from an array of all steps.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from posolog.functions.values import squish, words
 
 
 # Days from year 1 to 9999: a decrement schedule that runs longer has no dates, so
-# the text has no schedule (its steps could not be built either).
+# the text has no schedule; nor has one whose steps last no day.
 CALENDAR_DAYS = 3_652_059
 
 
@@ -51,33 +55,31 @@ def _spelled_out_steps(text: Column) -> Column:
     return F.when(F.size(pieces) >= 2, F.transform(complete, daily))
 
 
-def _decrement_steps(text: Column) -> Column:
+def _decrement(text: Column) -> Column:
+    """Array of the one (start, by, days, count), or empty."""
     pattern = words(V.TAPER_DECREMENT)
     start = F.regexp_extract(text, V.TAPER_START, 1).try_cast("double")
     by = F.regexp_extract(text, pattern, 1).try_cast("double")
     every = F.coalesce(F.regexp_extract(text, pattern, 2).try_cast("double"), F.lit(1.0))
     days = every * unit_days(F.regexp_extract(text, pattern, 3))
-
-    def steps(found: Column) -> Column:
-        last = F.floor((found["start"] - found["by"]) / found["by"] + F.lit(1e-10))
-        return F.transform(
-            F.sequence(F.lit(0), last.try_cast("int")),
-            lambda i: F.struct(
-                F.greatest(found["start"] - i * found["by"], found["by"]).alias("dose"),
-                F.lit(1.0).alias("freq"),
-                found["days"].alias("days"),
-                (i * found["days"]).alias("before"),
-            ),
-        )
-
     # A one-element array names the three numbers so each is read once.
     found = F.filter(
         F.array(F.struct(start.alias("start"), by.alias("by"), days.alias("days"))),
         lambda f: (f["by"] > 0)
         & (f["by"] < f["start"])
-        & ~F.coalesce(f["start"] / f["by"] * f["days"] > CALENDAR_DAYS, F.lit(False)),
+        & (f["days"] > 0)
+        & (f["start"] / f["by"] * f["days"] <= CALENDAR_DAYS),
+    )
+    counted = F.transform(
+        found,
+        lambda f: F.struct(
+            f["start"].alias("start"),
+            f["by"].alias("by"),
+            f["days"].alias("days"),
+            (F.floor((f["start"] - f["by"]) / f["by"] + F.lit(1e-10)) + 1).cast("int").alias("count"),
+        ),
     )
-    return F.flatten(F.transform(found, steps))
+    return F.filter(counted, lambda f: f["count"] >= 2)
 
 
 def _started(steps: Column) -> Column:
@@ -94,35 +96,56 @@ def _started(steps: Column) -> Column:
     return F.transform(steps, place)
 
 
-def _numbered(steps: Column) -> Column:
-    """Number the steps and place them on the day axis."""
+def taper_plan(sig: Column) -> Column:
+    """``struct<steps, falling>`` of which one is NULL, or NULL when not decomposable."""
+    text = normalised(sig)
+    mentions = F.size(F.regexp_extract_all(text, F.lit(V.TAPER_MG_MENTION), F.lit(0)))
+    gate = text.rlike(V.TAPER_GATE_WORD) | (mentions >= 2)
+    # Arrays of at most one reading name each once; the spelled-out one wins.
+    spelled = F.filter(F.array(_started(_spelled_out_steps(text))), lambda s: F.size(s) >= 2)
+    plans = F.concat(
+        F.transform(spelled, lambda s: F.struct(s.alias("steps"), F.lit(None).cast(_FALLING).alias("falling"))),
+        F.transform(_decrement(text), lambda f: F.struct(F.lit(None).cast(_STEPS).alias("steps"), f.alias("falling"))),
+    )
+    return F.when(gate, F.get(plans, F.lit(0)))
 
-    def place(step: Column, i: Column) -> Column:
-        before = step["before"]
-        return F.struct(
-            (i + 1).alias("step"),
-            step["dose"].alias("daily_dose_mg"),
-            step["freq"].alias("freq_per_day"),
-            step["days"].alias("duration_days"),
-            before.alias("step_start_day"),
-            (before + step["days"] - 1).alias("step_end_day"),
-        )
 
-    return F.transform(steps, place)
+_STEPS = "array<struct<dose:double,freq:double,days:double,before:double>>"
+_FALLING = "struct<start:double,by:double,days:double,count:int>"
 
 
-def taper_schedule(sig: Column) -> Column:
-    """``array<struct<step, daily_dose_mg, ...>>`` or NULL when not decomposable."""
-    text = normalised(sig)
-    mentions = F.size(F.regexp_extract_all(text, F.lit(V.TAPER_MG_MENTION), F.lit(0)))
-    gate = text.rlike(V.TAPER_GATE_WORD) | (mentions >= 2)
+def step_count(plan: Column) -> Column:
+    """Steps of a plan; NULL without one."""
+    return F.coalesce(plan["falling"]["count"], F.when(plan["steps"].isNotNull(), F.size(plan["steps"])))
+
 
-    def at_least_two(steps: Column) -> Column:
-        return F.filter(F.array(steps), lambda s: F.size(s) >= 2)
+def step_of(plan: Column, i: Column) -> Column:
+    """Step ``i`` (from 0) of a plan, on the day axis."""
+    falling, spelled = plan["falling"], F.get(plan["steps"], i)
+    falls = falling.isNotNull()
+
+    def either(fallen: Column, field: str) -> Column:
+        return F.when(falls, fallen).otherwise(spelled[field])
+
+    days = either(falling["days"], "days")
+    before = either(i * falling["days"], "before")
+    return F.struct(
+        (i + 1).cast("int").alias("step"),
+        either(F.greatest(falling["start"] - i * falling["by"], falling["by"]), "dose").alias("daily_dose_mg"),
+        either(F.lit(1.0), "freq").alias("freq_per_day"),
+        days.alias("duration_days"),
+        before.alias("step_start_day"),
+        (before + days - 1).alias("step_end_day"),
+    )
+
+
+def taper_schedule(sig: Column) -> Column:
+    """``array<struct<step, daily_dose_mg, ...>>`` or NULL when not decomposable.
 
-    # concat of the two readings keeps their order; the first one left wins.
-    readings = F.concat(
-        at_least_two(_started(_spelled_out_steps(text))), at_least_two(_decrement_steps(text))
+    One value holds all steps; ``operators.parse.taper_steps`` gives rows instead.
+    """
+    plans = F.filter(F.array(taper_plan(sig)), lambda p: p.isNotNull())
+    schedules = F.transform(
+        plans, lambda p: F.transform(F.sequence(F.lit(0), step_count(p) - 1), lambda i: step_of(p, i))
     )
-    best = F.get(F.transform(readings, _numbered), F.lit(0))
-    return F.when(gate, best)
+    return F.get(schedules, F.lit(0))

@@ -349,11 +349,15 @@ def day_agreement(
     ``by`` names columns of the computed episodes, such as a method label, that
     are judged separately in the same pass.
 
-    Only days inside an episode are expanded; they are reduced per patient and
-    day in one hash aggregation, which combines before its shuffle.  Where
-    episodes overlap the first one gives the day's dose.  The days outside every
-    episode follow from the length of the windows.  ``computed`` is read more than
-    once, so pass a written table rather than a long plan.
+    No day is expanded: a sweep over the boundaries of a patient's episodes cuts the
+    window into segments in which the same episodes hold, and a segment counts as
+    many days as it has.  Where episodes overlap the first one gives the dose (of
+    gold the earliest; computed ones by drug, then start).  An episode that an
+    earlier one of its layer (all gold, or a drug) covers in part holds from the day
+    after that one, which is a running maximum; so a layer's pieces are disjoint, and
+    rows grow with episodes times drugs, whatever their lengths.  The days outside
+    every episode follow from the length of the windows.  ``computed`` is read more
+    than once, so pass a written table rather than a long plan.
     """
     if threshold_mg is None and threshold_pct is None:
         raise ValueError("threshold_mg and threshold_pct must not both be None")
@@ -369,22 +373,15 @@ def day_agreement(
         .where("patient IS NOT NULL")
         .groupBy("patient", "start", "end")
         .agg(F.when(F.count("dose") == F.count("*"), F.min("dose")).alias("dose"))
-        .withColumn("order", F.struct("start", "end"))
-    )
-    # One row per episode here, so a person's rows are bounded by the calendar.
-    in_order = Window.partitionBy(*by, "patient").orderBy("drug", "start", "end", "dose")
-    found = (
-        computed.select(
-            *by,
-            F.col("person_id").alias("patient"),
-            drug.alias("drug"),
-            day(computed, "episode_start").alias("start"),
-            day(computed, "episode_end").alias("end"),
-            number(computed, computed_dose_col).alias("dose"),
-        )
-        .where("patient IS NOT NULL")
-        .withColumn("order", F.row_number().over(in_order).cast("long"))
     )
+    found = computed.select(
+        *by,
+        F.col("person_id").alias("patient"),
+        drug.alias("drug"),
+        day(computed, "episode_start").alias("start"),
+        day(computed, "episode_end").alias("end"),
+        number(computed, computed_dose_col).alias("dose"),
+    ).where("patient IS NOT NULL")
     windows = (
         reviewed.groupBy("patient")
         .agg(F.min("start").alias("w_start"), F.max("end").alias("w_end"))
@@ -392,34 +389,10 @@ def day_agreement(
         .join(found.select(*by, "patient").distinct(), "patient")
         .select(*by, "patient", "w_start", "w_end")
     )
-
-    orders = {"gold": "struct<start:date,end:date>", "comp": "bigint"}
-
-    def days(source: DataFrame, side: str) -> DataFrame:
-        """Days of the episodes, clipped to the window before they are expanded."""
-        first, last = F.greatest("start", "w_start"), F.least("end", "w_end")
-        on = [c for c in (*by, "patient") if c in source.columns]
-        clipped = source.where("start <= end").join(windows, on).where(first <= last)
-        none = F.lit(None)
-        return clipped.select(
-            *by,
-            "patient",
-            F.explode(F.sequence(first, last)).alias("day"),
-            *[
-                (F.col(c) if side == s else none.cast(t)).alias(f"{s}_{c}")
-                for s in ("gold", "comp")
-                for c, t in (("dose", "double"), ("order", orders[s]))
-            ],
-        )
-
-    per_day = (
-        days(reviewed, "gold")
-        .unionByName(days(found, "comp"))
-        .groupBy(*by, "patient", "day")
-        .agg(
-            F.min_by("gold_dose", "gold_order").alias("gold_dose"),
-            F.min_by("comp_dose", "comp_order").alias("comp_dose"),
-        )
+    gold_side = reviewed.join(windows, "patient").withColumn("layer", F.lit(None).cast("string"))
+    comp_side = found.withColumnRenamed("drug", "layer").join(windows, [*by, "patient"])
+    segments = _segments(
+        _pieces(gold_side, by, "gold").unionByName(_pieces(comp_side, by, "comp")), by
     )
     gold_dose, comp_dose = F.col("gold_dose"), F.col("comp_dose")
     difference = F.abs(comp_dose - gold_dose)
@@ -432,9 +405,9 @@ def day_agreement(
     g, c = gold_dose.isNotNull(), comp_dose.isNotNull()
 
     def total(condition: Column) -> Column:
-        return F.count(F.when(condition, 1))
+        return F.coalesce(F.sum(F.when(condition, F.col("days"))), F.lit(0).cast("long"))
 
-    episode_days = per_day.groupBy(*by).agg(
+    episode_days = segments.groupBy(*by).agg(
         total(g & c & ok).alias("TP"),
         total(~g & c).alias("FP"),
         total(g & ~(c & ok)).alias("FN"),
@@ -454,6 +427,69 @@ def day_agreement(
     return agreement_rates(counts, _threshold_label(threshold_mg, threshold_pct), by)
 
 
+def _pieces(episodes: DataFrame, by: Sequence[str], side: str) -> DataFrame:
+    """Part of each episode in the patient's window that no earlier one of its layer holds.
+
+    Days are numbers here: ``since`` is the first, ``until`` the day after the last.
+    """
+    in_order = Window.partitionBy(*by, "patient", "layer").orderBy("start", "end", "dose")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    since = F.greatest(F.unix_date("start"), F.unix_date("w_start"), F.col("covered") + 1)
+    until = F.least(F.unix_date("end"), F.unix_date("w_end")) + 1
+    return (
+        episodes.where("start <= end")
+        .withColumn("covered", F.unix_date(F.max("end").over(earlier)))
+        .select(
+            *by,
+            "patient",
+            F.lit(side).alias("side"),
+            "layer",
+            since.alias("since"),
+            until.alias("until"),
+            "dose",
+        )
+        .where("since < until")
+    )
+
+
+def _segments(pieces: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, patient, days, gold_dose, comp_dose) between neighbouring boundaries of pieces.
+
+    Boundaries are numbered per patient; a piece holds in the segments from its first
+    to before its last boundary.
+    """
+    patient = [*by, "patient"]
+    ends = pieces.select("*", F.explode(F.array("since", "until")).alias("at"))
+    downwards = Window.partitionBy(*patient).orderBy(F.desc("at"))
+    numbered = ends.withColumn("number", F.dense_rank().over(downwards))
+    piece = [*patient, "side", "layer", "since", "until"]
+    held = (
+        numbered.groupBy(*piece)
+        .agg(F.first("dose").alias("dose"), F.max("number").alias("first"), F.min("number").alias("last"))
+        .select(
+            *patient,
+            F.explode(F.sequence(F.col("last") + 1, F.col("first"))).alias("number"),
+            "side",
+            "layer",
+            "dose",
+        )
+    )
+    next_at = F.lag("at").over(Window.partitionBy(*patient).orderBy("number"))
+    lengths = (
+        numbered.groupBy(*patient, "number")
+        .agg(F.first("at").alias("at"))
+        .withColumn("days", (next_at - F.col("at")).cast("long"))
+        .drop("at")
+    )
+    # The layer orders the computed side; a NULL drug comes first, as in a sort.
+    order = F.struct(F.col("layer").isNotNull().alias("named"), "layer")
+    doses = held.groupBy(*patient, "number").agg(
+        F.first(F.when(F.col("side") == "gold", F.col("dose")), ignorenulls=True).alias("gold_dose"),
+        F.min_by(F.when(F.col("side") == "comp", F.col("dose")), F.when(F.col("side") == "comp", order)).alias("comp_dose"),
+    )
+    return doses.join(lengths, [*patient, "number"])
+
+
 def agreement_rates(counts: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Rates from TP, FP, FN, TN; one NULL row when there was nothing to compare."""
     some = F.col("__days") > 0

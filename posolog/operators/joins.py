@@ -8,24 +8,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE_DAYS = 90
+#: A slice of one level holds this many (as a power of two) of the level below.
+WIDER_BITS = 6
+LEVELS = 3
 
 
-def _slice(day: Column, slice_days: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(slice_days))
+def _between(low: Column, high: Column, level: int) -> Column:
+    """Codes of the slices ``low`` to ``high`` of a level; none where ``high`` is less."""
+    first = F.lit(level << 56)
+    numbers = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(numbers, lambda n: first + n)
 
 
-def _slices(start: Column, end: Column, slice_days: int, last: Column) -> Column:
-    """Numbers of the fixed-width slices between two days, in either order.
+def _cover(low: Column, high: Column) -> Column:
+    """The fewest slices of all levels that make up the finest slices ``low`` to ``high``.
 
-    A pair meets where the later interval begins, so no slice after ``last``, the
-    key's last beginning on the other side, is of use: an open end costs nothing.
+    Each level holds the ends that do not fill a wider slice, the last one all the
+    rest, so that even an open end (the year 9999) is no more than some 300 slices.
     """
-    low = F.least(start, end)
-    high = F.least(F.greatest(start, end), F.greatest(low, last))
-    return F.when(
-        start.isNotNull() & end.isNotNull(),
-        F.sequence(_slice(low, slice_days), _slice(high, slice_days)),
-    )
+    parts = []
+    within = (1 << WIDER_BITS) - 1
+    for level in range(LEVELS - 1):
+        same = F.shiftright(low, WIDER_BITS) == F.shiftright(high, WIDER_BITS)
+        parts += [
+            _between(low, F.when(same, high).otherwise(F.least(high, low.bitwiseOR(F.lit(within)))), level),
+            _between(F.when(same, high + 1).otherwise(F.greatest(low, high.bitwiseAND(F.lit(~within)))), high, level),
+        ]
+        low, high = F.shiftright(low, WIDER_BITS) + 1, F.shiftright(high, WIDER_BITS) - 1
+    return F.concat(*parts, _between(low, high, LEVELS - 1))
+
+
+def _around(at: Column) -> Column:
+    """The slice of each level that holds the finest slice ``at``."""
+    return F.array(*[F.lit(n << 56) + F.shiftright(at, n * WIDER_BITS) for n in range(LEVELS)])
+
+
+def _meetings(start: Column, end: Column, slice_days: int, holds: int) -> Column:
+    """(role, slice) under which an interval may meet one of the other side.
+
+    Of two intervals that overlap one holds the other's beginning.  In the role
+    ``holds`` an interval stands for its days, in the other for its beginning.
+    """
+    low, high = F.least(start, end), F.greatest(start, end)
+    numbers = [F.floor(F.unix_date(day) / F.lit(slice_days)).cast("bigint") for day in (low, high)]
+
+    def under(role: int, slices: Column) -> Column:
+        return F.transform(slices, lambda s: F.struct(F.lit(role).alias("role"), s.alias("slice")))
+
+    both = F.concat(under(holds, _cover(*numbers)), under(1 - holds, _around(numbers[0])))
+    return F.when(start.isNotNull() & end.isNotNull(), both)
 
 
 def overlap_join(
@@ -39,10 +70,13 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs with equal keys, each side starting no later than the other ends.
 
-    Both sides are cut into slices of the day axis and joined on keys and slice,
-    so one key's rows spread over many partitions and only neighbours in time
-    are compared.  A pair is kept in the slice where the later of the two
-    intervals begins, hence exactly once.
+    Both sides are cut into slices of the day axis and joined on keys and slice, so
+    one key's rows spread over many partitions and only neighbours in time are
+    compared.  Slices have several widths, each ``2 ** WIDER_BITS`` times the one
+    below.  An interval is sent to the few slices that make it up and its beginning to
+    the slice of each width around it; of two that overlap, the one that holds the
+    other's beginning meets it in exactly one slice, so a pair appears once.  Neither
+    side has to know the other's days: each is read once, and an open end is cheap.
 
     With ``how='left'`` a left row may also appear unmatched once per slice: the
     caller aggregates per left row, which ignores those.  Column names of the two
@@ -51,23 +85,13 @@ def overlap_join(
     ls, le = (F.col(c) for c in left_interval)
     rs, re = (F.col(c) for c in right_interval)
     explode = F.explode_outer if how == "left" else F.explode
-    left_keys, right_keys = ([pair[side] for pair in keys] for side in (0, 1))
-
-    def last_begin(side: DataFrame, own: list[str], names: list[str], begin: Column) -> DataFrame:
-        named = [F.col(o).alias(n) for o, n in zip(own, names, strict=True)]
-        return side.groupBy(*named).agg(F.max(begin).alias("__last"))
-
-    until = last_begin(right, right_keys, left_keys, F.least(rs, re))
-    cut_left = left.join(until, left_keys, "left").select(
-        *left.columns, explode(_slices(ls, le, slice_days, F.col("__last"))).alias("__l_slice")
-    )
-    until = last_begin(left, left_keys, right_keys, F.least(ls, le))
-    cut_right = right.join(until, right_keys, "left").select(
-        *right.columns, F.explode(_slices(rs, re, slice_days, F.col("__last"))).alias("__r_slice")
-    )
-    home = _slice(F.greatest(F.least(ls, le), F.least(rs, re)), slice_days)
-    on = F.col("__l_slice") == F.col("__r_slice")
+    cut_left = left.select(*left.columns, explode(_meetings(ls, le, slice_days, 0)).alias("__l"))
+    cut_right = right.select(*right.columns, F.explode(_meetings(rs, re, slice_days, 1)).alias("__r"))
+    cut_left = cut_left.select(*left.columns, F.col("__l.role").alias("__l_role"), F.col("__l.slice").alias("__l_slice"))
+    cut_right = cut_right.select(*right.columns, F.col("__r.role").alias("__r_role"), F.col("__r.slice").alias("__r_slice"))
+    on = (F.col("__l_slice") == F.col("__r_slice")) & (F.col("__l_role") == F.col("__r_role"))
     for l, r in keys:
         on = on & (F.col(l) == F.col(r))
-    on = on & (rs <= le) & (re >= ls) & (F.col("__l_slice") == home)
-    return cut_left.join(cut_right, on, how).drop("__l_slice", "__r_slice")
+    l_begin, r_begin = F.least(ls, le), F.least(rs, re)
+    on = on & (rs <= le) & (re >= ls) & ((l_begin <= r_begin) == (F.col("__l_role") == 0))
+    return cut_left.join(cut_right, on, how).drop("__l_role", "__l_slice", "__r_role", "__r_slice")

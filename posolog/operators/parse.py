@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posolog.functions.sig import PARSED_FIELDS, add_parsed_sig
-from posolog.functions.taper import taper_schedule
+from posolog.functions.taper import step_count, step_of, taper_plan, taper_schedule
+from posolog.functions.values import evaluated
 from posolog.schema import require_columns
 
 
@@ -61,6 +62,34 @@ def add_taper_schedule(
     return df.withColumn(out_col, taper_schedule(F.col(sig_col)))
 
 
+#: Steps that a row holds at a time while it is expanded.
+STEPS_AT_ONCE = 256
+
+
+def _step_rows(df: DataFrame, plan: Column) -> DataFrame:
+    """A row per step of ``plan`` with ``__step``; without a plan one row with NULL.
+
+    Steps are numbered in two goes, so a row never holds more than the numbers of
+    its portions and of one portion, however long its schedule is.
+    """
+    planned = evaluated(df, {"__plan": plan})
+    last = step_count(F.col("__plan")) - 1
+    portions = F.sequence(F.lit(0), F.floor(last / STEPS_AT_ONCE).cast("int"))
+    dealt = planned.select("*", F.explode_outer(portions).alias("__portion"))
+    first = F.col("__portion") * STEPS_AT_ONCE
+    numbers = F.sequence(first, F.least(first + (STEPS_AT_ONCE - 1), last))
+    rows = dealt.select("*", F.explode_outer(numbers).alias("__number"))
+    step = F.when(F.col("__number").isNotNull(), step_of(F.col("__plan"), F.col("__number")))
+    return rows.withColumn("__step", step).drop("__plan", "__portion", "__number")
+
+
+def taper_steps(df: DataFrame, sig_col: str = "sig") -> DataFrame:
+    """The rows with a schedule, once per step, with the fields of the step."""
+    require_columns(df, [sig_col])
+    rows = _step_rows(df, taper_plan(F.col(sig_col))).where("__step IS NOT NULL")
+    return rows.select(*df.columns, "__step.*")
+
+
 def expand_tapers(df: DataFrame, sig_col: str = "sig") -> DataFrame:
     """One row per taper step for rows with status ``taper``.
 
@@ -70,9 +99,8 @@ def expand_tapers(df: DataFrame, sig_col: str = "sig") -> DataFrame:
     require_columns(df, [sig_col, "parsed_status"])
     overridden = ("daily_dose_mg", "freq_per_day", "duration_days")
     is_taper = F.col("parsed_status") == "taper"
-    steps = F.when(is_taper, taper_schedule(F.col(sig_col)))
     step = F.col("__step")
-    exploded = df.select("*", F.explode_outer(steps).alias("__step"))
+    exploded = _step_rows(df, F.when(is_taper, taper_plan(F.col(sig_col))))
     return exploded.withColumns(
         {
             **{c: F.coalesce(step[c], F.col(c)) for c in overridden},

@@ -33,7 +33,7 @@ from posolog.operators.evaluate import (
     summarise,
 )
 from posolog.operators.filters import known_steroids, oral_only, with_drug_name, with_route_class
-from posolog.operators.parse import add_taper_schedule, expand_tapers, parse_sig
+from posolog.operators.parse import expand_tapers, parse_sig, taper_steps
 from posolog.plans import checks as C
 from posolog.plans import test_tables as TT
 from posolog.plans.pipeline import run_pipeline
@@ -269,8 +269,7 @@ def _schedule_check() -> str:
 
 @query(_schedule_check)
 def taper_schedule_steps(spark, sf_dir):
-    scheduled = add_taper_schedule(_exposures(spark, sf_dir))
-    return scheduled.select("person_id", "sig", F.inline("taper_schedule"))
+    return taper_steps(_exposures(spark, sf_dir).select("person_id", "sig"))
 
 
 def _expand_check() -> str:

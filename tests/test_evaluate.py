@@ -131,3 +131,49 @@ def test_gold_conversion(spark):
     assert got == {1: ("methylprednisolone", 10.0, "ok"), 2: (None, 8.0, "unknown_drug")}
     first = gold_to_pred_equiv(gold, records, "earliest").where("patient_id = 1").first()
     assert first.drug_name_std == "prednisone"
+
+
+def test_day_agreement_equals_days_one_by_one(spark):
+    """The sweep over boundaries counts what a walk over the days counts."""
+    rng = random.Random(11)
+    epoch = D(2020, 1, 1)
+    dose = lambda: rng.choice([None, 0.0, 5.0, 20.0, 40.0])
+    span = lambda: (lambda s: (epoch + dt.timedelta(s), epoch + dt.timedelta(s + rng.randint(-2, 12))))(rng.randint(0, 40))
+    gold = [(p, *span(), dose()) for p in range(12) for _ in range(rng.randint(1, 5))]
+    computed = [(p, rng.choice(["a", "b", None]), *span(), dose()) for p in range(2, 14) for _ in range(rng.randint(0, 9))]
+    gold.append((3, epoch, D(9999, 12, 31), 20.0))
+    computed += [(3, "c", epoch + dt.timedelta(50), D(9999, 12, 31), 25.0), (3, None, D(2021, 1, 1), D(2021, 1, 3), 90.0)]
+
+    def first_dose(rows, at):
+        active = [r for r in rows if r[0] <= at <= r[1]]
+        return min(active, key=lambda r: r[2])[3] if active else None
+
+    counts = dict.fromkeys(("TP", "FP", "FN", "TN"), 0)
+    for p in {g[0] for g in gold} & {c[0] for c in computed}:
+        known = {}
+        for _, s, e, d in (g for g in gold if g[0] == p):
+            known.setdefault((s, e), []).append(d)
+        g = [(s, e, (s, e), None if None in ds else min(ds)) for (s, e), ds in known.items()]
+        c = [(s, e, (n is not None, n or "", s, e, d is not None, d or 0.0), d) for q, n, s, e, d in computed if q == p]
+        at, last = min(r[0] for r in g), max(r[1] for r in g)
+        while at <= last:
+            # Nothing begins or ends after 2022 but on the last day.
+            step = 1 if at < D(2022, 1, 1) else (last - at).days + 1
+            gd, cd = first_dose(g, at), first_dose(c, at)
+            if gd is None and cd is None:
+                counts["TN"] += step
+            elif gd is None:
+                counts["FP"] += step
+            elif cd is not None and abs(cd - gd) <= 10:
+                counts["TP"] += step
+            else:
+                counts["FN"] += step
+            if (last - at).days < step:
+                break
+            at += dt.timedelta(step)
+    schema = "episode_start date, episode_end date, median_daily_dose double"
+    g_frame = spark.createDataFrame(gold, f"patient_id long, {schema}")
+    c_frame = spark.createDataFrame(computed, f"person_id long, drug_name_std string, {schema}")
+    row = day_agreement(c_frame, g_frame).first().asDict()
+    assert {k: row[k] for k in counts} == counts
+    assert counts["TP"] > 2_900_000  # days of an open end, none of them a row
