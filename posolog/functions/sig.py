@@ -172,15 +172,38 @@ def duration(text: Column) -> Column:
     return F.when(contains_any(text, ["for", "x"]), days)
 
 
+#: Columns of ``add_both_readings``: structs of the parsed fields.
+BASIC_READING, ADVANCED_READING = "sig_basic", "sig_advanced"
+
+
 def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataFrame:
     """Append the parsed fields of ``sig_col``.
 
-    Input columns with the name of a parsed field are replaced.  Each step is
-    ``evaluated`` by itself: no rule runs twice for one row, a filter on a field
-    is not rewritten into copies of the rules, and the generated code of a step
-    stays small enough for the JVM to compile it.
+    Input columns with the name of a parsed field are replaced.
     """
     keep = [c for c in df.columns if c not in PARSED_FIELDS]
+    out, fields = _read(df.select(*keep), sig_col, [advanced])
+    return out.select(*keep, F.inline(F.array(fields[0])))  # see values.evaluated
+
+
+def add_both_readings(df: DataFrame, sig_col: str) -> DataFrame:
+    """Append the basic and the advanced reading of ``sig_col``, each as a struct.
+
+    The readings differ in the tablets only, so a text is read once for both.
+    """
+    keep = [c for c in df.columns if c not in (BASIC_READING, ADVANCED_READING)]
+    out, (basic, advanced) = _read(df.select(*keep), sig_col, [False, True])
+    both = F.struct(basic.alias(BASIC_READING), advanced.alias(ADVANCED_READING))
+    return out.select(*keep, F.inline(F.array(both)))
+
+
+def _read(df: DataFrame, sig_col: str, readings: list[bool]) -> tuple[DataFrame, list[Column]]:
+    """The columns the rules give, and a struct of parsed fields a reading (advanced or not).
+
+    Each step is ``evaluated`` by itself: no rule runs twice for one row, a filter on
+    a field is not rewritten into copies of the rules, and the generated code of a
+    step stays small enough for the JVM to compile it.
+    """
     text, raw = F.col("__text"), F.col(sig_col).cast("string")
 
     def step(frame: DataFrame, **columns: Column) -> DataFrame:
@@ -194,18 +217,20 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
 
     total, per_dose = F.col("__total"), F.col("__per_dose")
     plain, per_day, bare = F.col("__plain"), F.col("__per_day"), F.col("__bare")
-    admin, freq, dose = F.col("__admin"), F.col("__freq"), F.col("__dose")
+    freq = F.col("__freq")
 
-    out = cheap(df.select(*keep), text=F.when(~is_blank(raw), F.lower(raw)))
+    out = cheap(df, text=F.when(~is_blank(raw), F.lower(raw)))
     out = step(out, text=squish(text))
     out = step(out, text=words_replaced(text))
     out = step(out, text=remarks_removed(text))
-    if advanced:
+    if any(readings):
         out = step(out, fraction=fraction_text(text))
-        tablets = tablets_advanced(text, F.col("__fraction"))
-    else:
-        tablets = tablets_basic(text)
-    out = step(out, tablets=F.when(text.isNotNull(), tablets), duration=duration(text))
+    tablets = [
+        tablets_advanced(text, F.col("__fraction")) if advanced else tablets_basic(text)
+        for advanced in readings
+    ]
+    named_tablets = {f"tablets{n}": F.when(text.isNotNull(), t) for n, t in enumerate(tablets)}
+    out = step(out, **named_tablets, duration=duration(text))
     rules = _frequency_rules(text)
     out = step(out, freq=F.coalesce(*rules[:7]))
     out = step(out, freq=F.coalesce(freq, *rules[7:12]))
@@ -226,34 +251,34 @@ def add_parsed_sig(df: DataFrame, sig_col: str, advanced: bool = False) -> DataF
     out = step(
         out, bare=F.when(unnamed & per_day.isNull(), mg(V.MG_BARE)), once=once_a_day
     )
-    out = cheap(
-        out,
-        admin=F.when(total.isNotNull() | per_day.isNotNull(), None).otherwise(
-            F.coalesce(per_dose, F.coalesce(plain, bare) * F.col("__tablets"))
-        ),
-    )
-    out = cheap(
-        out,
-        dose=F.coalesce(total, per_day, admin * freq, F.when(F.col("__once"), admin)),
-    )
-    status = (
-        F.when(text.isNull(), "empty")
-        .when(F.col("__free"), "free_text")
-        .when(F.col("__taper"), "taper")
-        .when(F.col("__prn"), "prn")
-        .when(dose.isNotNull(), "ok")
-        .otherwise("no_parse")
-    )
-    fields = F.struct(
-        F.col("__tablets").alias("tablets"),
-        freq.alias("freq_per_day"),
-        admin.alias("mg_per_admin"),
-        (total.isNotNull() | per_day.isNotNull()).alias("mg_total_flag"),
-        F.col("__duration").alias("duration_days"),
-        F.col("__taper").alias("taper_flag"),
-        F.col("__prn").alias("prn_flag"),
-        F.col("__free").alias("free_text_flag"),
-        dose.alias("daily_dose_mg"),
-        status.alias("parsed_status"),
-    )
-    return out.select(*keep, F.inline(F.array(fields)))  # see values.evaluated
+    fields = []
+    whole = total.isNotNull() | per_day.isNotNull()
+    for n in range(len(readings)):
+        admin, dose = F.col(f"__admin{n}"), F.col(f"__dose{n}")
+        each = F.coalesce(per_dose, F.coalesce(plain, bare) * F.col(f"__tablets{n}"))
+        out = cheap(out, **{f"admin{n}": F.when(~whole, each)})
+        daily = F.coalesce(total, per_day, admin * freq, F.when(F.col("__once"), admin))
+        out = cheap(out, **{f"dose{n}": daily})
+        status = (
+            F.when(text.isNull(), "empty")
+            .when(F.col("__free"), "free_text")
+            .when(F.col("__taper"), "taper")
+            .when(F.col("__prn"), "prn")
+            .when(dose.isNotNull(), "ok")
+            .otherwise("no_parse")
+        )
+        fields.append(
+            F.struct(
+                F.col(f"__tablets{n}").alias("tablets"),
+                freq.alias("freq_per_day"),
+                admin.alias("mg_per_admin"),
+                whole.alias("mg_total_flag"),
+                F.col("__duration").alias("duration_days"),
+                F.col("__taper").alias("taper_flag"),
+                F.col("__prn").alias("prn_flag"),
+                F.col("__free").alias("free_text_flag"),
+                dose.alias("daily_dose_mg"),
+                status.alias("parsed_status"),
+            )
+        )
+    return out, fields

@@ -24,7 +24,7 @@ from posolog.operators.filters import (
     plausible,
     with_drug_name,
 )
-from posolog.operators.parse import expand_tapers, parse_sig
+from posolog.operators.parse import expand_tapers, parse_sig, take_reading
 from posolog.schema import first_present, optional, require_columns
 
 log = logging.getLogger(__name__)
@@ -253,7 +253,7 @@ def _nlp(
     # Parsed columns replace the source's; its dose stays readable beside them.
     if "daily_dose_mg" in df.columns:
         df = df.withColumnRenamed("daily_dose_mg", "daily_dose_mg_src")
-    df = parse_sig(df, sig_col, advanced=advanced)
+    df = take_reading(df, sig_col, advanced)
     df = _strength_fallback(df)
     if advanced:
         df = _cap_parsed(df, max_daily_dose_mg)

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from posolog.functions.sig import PARSED_FIELDS, add_parsed_sig
+from posolog.functions.sig import (
+    ADVANCED_READING,
+    BASIC_READING,
+    PARSED_FIELDS,
+    add_both_readings,
+    add_parsed_sig,
+)
 from posolog.functions.taper import step_count, step_of, taper_plan, taper_schedule
 from posolog.functions.values import evaluated
 from posolog.schema import require_columns
@@ -48,6 +54,29 @@ def parse_sig(
     ).select(*keep, *PARSED_FIELDS)
 
 
+def parse_both(df: DataFrame, sig_col: str = "sig") -> DataFrame:
+    """Read each text once for the basic and the advanced method.
+
+    The readings stay in two struct columns, which the text methods take in place of
+    a parse of their own; ``without_readings`` drops them.
+    """
+    require_columns(df, [sig_col])
+    return add_both_readings(df, sig_col)
+
+
+def without_readings(df: DataFrame) -> DataFrame:
+    return df.drop(BASIC_READING, ADVANCED_READING)
+
+
+def take_reading(df: DataFrame, sig_col: str, advanced: bool) -> DataFrame:
+    """The parsed fields, from ``parse_both`` where it was run, else by parsing."""
+    reading = ADVANCED_READING if advanced else BASIC_READING
+    if reading not in df.columns:
+        return parse_sig(df, sig_col, advanced=advanced)
+    keep = [c for c in df.columns if c not in (*PARSED_FIELDS, BASIC_READING, ADVANCED_READING)]
+    return df.select(*keep, f"{reading}.*")
+
+
 def parse_sig_advanced(
     df: DataFrame, sig_col: str = "sig", dictionary: bool = False
 ) -> DataFrame:

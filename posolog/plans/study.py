@@ -30,6 +30,7 @@ from posolog.operators.evaluate import (
     summarise,
 )
 from posolog.operators.filters import known_steroids, oral_only, with_drug_name
+from posolog.operators.parse import parse_both, without_readings
 from posolog.session import written
 from posolog.sources.files import write_tables
 
@@ -43,7 +44,10 @@ def method_records(exposures: DataFrame, m2_sig_parse: str = "warn") -> dict[str
 
 
 def _doses_of(oral: DataFrame, m2_sig_parse: str = "warn") -> dict[str, DataFrame]:
-    baseline = calc_daily_dose_baseline(oral, m2_sig_parse=m2_sig_parse, filter_oral=False)
+    """``oral`` may hold the readings of ``parse_both``; else each text method parses."""
+    baseline = calc_daily_dose_baseline(
+        without_readings(oral), m2_sig_parse=m2_sig_parse, filter_oral=False
+    )
     nlp = calc_daily_dose_nlp(oral, filter_oral=False)
     advanced = calc_daily_dose_nlp_advanced(oral, filter_oral=False, expand_tapers=False)
     return {
@@ -91,12 +95,14 @@ def study_tables(
 ) -> StudyTables:
     """Records, episodes, converted gold standard and comparison of all methods.
 
-    The oral steroid rows are written before the methods branch, so names and
-    routes are read once; texts are then read by each method from that copy.
+    The oral steroid rows are written before the methods branch, with both readings
+    of their texts: names, routes and texts are read once.
     """
     raw = with_drug_name(exposures)
-    oral = written(oral_only(known_steroids(raw)))
-    records = _doses_of(oral)
+    rows = oral_only(known_steroids(raw))
+    read = written(parse_both(rows) if "sig" in rows.columns else rows)
+    records = _doses_of(read)
+    oral = without_readings(read)
     episodes = written(stacked_episodes(records, gap_days), ["method"])
     reviewed = written(gold_to_pred_equiv(gold, oral))
     comparison = written(

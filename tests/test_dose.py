@@ -165,3 +165,24 @@ def test_advanced(table):
     steps = {(r.taper_step, r.daily_dose_mg, r.parsed_status) for r in adv(table(taper)).collect()}
     assert steps == {(1, 60.0, "taper_ok"), (2, 3000.0, "taper_ok")}
     assert adv(table(taper), expand_tapers=False).count() == 1
+
+
+def test_one_reading_for_both_text_methods(spark):
+    """``parse_both`` holds what the two parses give, and the methods take it over."""
+    from posolog.operators.dose import calc_daily_dose_nlp, calc_daily_dose_nlp_advanced
+    from posolog.operators.parse import parse_both, parse_sig, take_reading, without_readings
+    from posolog.plans.test_tables import SIG_TEMPLATES
+
+    texts = [t and t.format(t=2, m=10, u=20, v=40) for t in SIG_TEMPLATES] + ["two and a half tablets (5 mg) bid", "½ tab 10 mg daily", ""]
+    frame = spark.createDataFrame(
+        [(i, t, "prednisone 5 MG oral tablet", "Oral", 7.0) for i, t in enumerate(texts)],
+        "person_id long, sig string, drug_concept_name string, route_concept_name string, daily_dose_mg double",
+    ).selectExpr("*", "DATE'2020-01-01' AS drug_exposure_start_date", "DATE'2020-01-10' AS drug_exposure_end_date")
+    read = parse_both(frame)
+    assert without_readings(read).columns == frame.columns
+    rows = lambda df: sorted(map(str, (r.asDict() for r in df.collect())))
+    for advanced, method in ((False, calc_daily_dose_nlp), (True, calc_daily_dose_nlp_advanced)):
+        assert rows(take_reading(read, "sig", advanced)) == rows(parse_sig(frame, "sig", advanced=advanced))
+        taken, parsed = method(read), method(frame)
+        assert taken.columns == parsed.columns
+        assert rows(taken) == rows(parsed)
