@@ -1,7 +1,9 @@
 """Cohorts: sets of persons chosen by events, exposures and age.
 
 A cohort is a one-column DataFrame.  It never visits the driver: extraction uses
-it in a semi join, and cohorts combine with ``intersect`` and ``left_semi``.
+it in a semi join, and cohorts combine with ``intersect`` and ``left_semi``.  The
+concept sets of any number of definitions are one lookup, and each event table is
+scanned once for all of them.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
@@ -75,99 +77,195 @@ def concept_set(
     return out.distinct()
 
 
-def _concepts_of(tables: Tables, spec: Mapping[str, Any]) -> DataFrame:
-    """Concept set of a definition's entry, with its optional second list.
+def concept_sets(tables: Tables, specs: Sequence[Mapping[str, Any]]) -> DataFrame:
+    """(number, concept_id) of several definitions' concept sets, in one read.
 
-    ``exact_concept_ids`` are added without their descendants.
+    The same rules as ``concept_set``; ``exact_concept_ids`` are added without
+    their descendants.  The vocabulary is read once for the listed and once for the
+    expanded concepts, whatever the number of sets.
     """
-    found = concept_set(
-        tables,
-        spec["concept_ids"],
-        bool(spec.get("include_descendants")),
-        spec.get("descendant_of"),
-        spec.get("exclude_descendants") or (),
-        bool(spec.get("valid_only")),
+    listed_ids, ancestor_ids = set(), set()
+    listed, expanded = [], []
+    concept, ancestor = F.col("concept_id"), F.col("ancestor_concept_id")
+    valid = F.col("invalid_reason").isNull()
+    for number, spec in enumerate(specs):
+        ids = {int(i) for i in spec["concept_ids"]}
+        exact = {int(i) for i in spec.get("exact_concept_ids") or ()}
+        named = concept.isin(sorted(ids)) & (valid if spec.get("valid_only") else F.lit(True))
+        if exact:
+            named = named | concept.isin(sorted(exact))
+        listed.append(F.when(named, F.lit(number)))
+        listed_ids |= ids | exact
+        above = spec.get("descendant_of")
+        above = {int(i) for i in above} if above is not None else ids
+        if above and (spec.get("include_descendants") or spec.get("descendant_of") is not None):
+            below = ancestor.isin(sorted(above))
+            excluded = sorted({int(i) for i in spec.get("exclude_descendants") or ()})
+            if excluded:
+                below = below & ~F.col("descendant_concept_id").isin(excluded)
+            expanded.append(F.when(below, F.lit(number)))
+            ancestor_ids |= above
+
+    def numbers(found: Sequence[Column]) -> Column:
+        return F.explode(F.array_compact(F.array(*found))).alias("number")
+
+    out = (
+        tables["concept"].where(concept.isin(sorted(listed_ids))).select(numbers(listed), "concept_id")
     )
-    if spec.get("exact_concept_ids"):
-        found = found.union(concept_set(tables, spec["exact_concept_ids"])).distinct()
-    return found
-
+    if expanded:
+        children = (
+            tables["concept_ancestor"]
+            .where(ancestor.isin(sorted(ancestor_ids)))
+            .select(numbers(expanded), F.col("descendant_concept_id").alias("concept_id"))
+        )
+        living = tables["concept"].where(valid).select("concept_id")
+        out = out.union(children.join(living, "concept_id", "left_semi").select(*out.columns))
+    return out.distinct()
 
-def _lookup(tables: Tables, spec: Mapping[str, Any], concept_col: str) -> DataFrame:
-    """Concept set to filter an event table with.
 
-    Whether the semi join broadcasts it follows from its measured size; where it
-    is shuffled, adaptive execution splits the partition of a common concept.
-    """
-    return _concepts_of(tables, spec).withColumnRenamed("concept_id", concept_col)
+class _Events:
+    """Concept sets wanted of event tables; sets of one table share its scan."""
 
+    def __init__(self) -> None:
+        self.specs: list[Mapping[str, Any]] = []
+        self.sources: dict[tuple[str, str, str], list[int]] = {}
+        self.dated: list[int] = []
 
-def _events(tables: Tables, spec: Mapping[str, Any], domain: str) -> DataFrame:
-    """Distinct (person, day) of the events that match a definition's concepts.
+    def want(self, spec: Mapping[str, Any], domain: str, dated: bool = True) -> int:
+        """Number of the set; later ``also`` may add tables to it."""
+        self.specs.append(spec)
+        number = len(self.specs) - 1
+        if dated:
+            self.dated.append(number)
+            self.also(number, spec.get("domain") or domain, spec)
+        else:
+            self.also(number, domain, {})
+        return number
+
+    def also(self, number: int, domain: str, fields: Mapping[str, Any]) -> None:
+        date_col, concept_col = V.EVENT_COLUMNS.get(domain, V.OTHER_EVENT_COLUMNS)
+        source = (domain, fields.get("date_field") or date_col, fields.get("concept_field") or concept_col)
+        self.sources.setdefault(source, []).append(number)
+
+    def rows(self, tables: Tables) -> DataFrame:
+        """Distinct (person_id, number, day); the day is NULL where none is asked for.
+
+        The distinct combines before its shuffle, so a person with very many events
+        shrinks to one row per set and calendar day.
+        """
+        scans = None
+        of_set: list[list[int]] = [[] for _ in self.specs]
+        for source, ((domain, date_col, concept_col), wanted) in enumerate(self.sources.items()):
+            dated = any(number in self.dated for number in wanted)
+            day = F.col(date_col).cast("date") if dated else F.lit(None).cast("date")
+            scan = tables[domain].select(
+                "person_id",
+                F.col(concept_col).cast("bigint").alias("concept_id"),
+                day.alias("day"),
+                F.lit(source).alias("source"),
+            )
+            scans = scan if scans is None else scans.union(scan)
+            for number in wanted:
+                of_set[number].append(source)
+        # Whether the join broadcasts the lookup follows from its measured size; where
+        # it is shuffled, adaptive execution splits the partition of a common concept.
+        places = F.array(*[F.array(*map(F.lit, sources)) for sources in of_set])
+        lookup = concept_sets(tables, self.specs).select(
+            "number", "concept_id", F.explode(F.get(places, F.col("number"))).alias("source")
+        )
+        asked = F.col("number").isin(self.dated)
+        return (
+            scans.join(lookup, ["source", "concept_id"])
+            .select("person_id", "number", F.when(asked, F.col("day")).alias("day"))
+            .distinct()
+        )
 
-    One row per person and day is all the later steps need, and the distinct
-    combines before its shuffle, so a person with very many events shrinks to at
-    most one row per calendar day.
-    """
-    domain = spec.get("domain") or domain
-    date_col, concept_col = V.EVENT_COLUMNS.get(domain, V.OTHER_EVENT_COLUMNS)
-    date_col = spec.get("date_field") or date_col
-    concept_col = spec.get("concept_field") or concept_col
-    wanted = _lookup(tables, spec, concept_col)
-    return (
-        tables[domain]
-        .select("person_id", concept_col, F.col(date_col).cast("date").alias("event_date"))
-        .join(wanted, concept_col, "left_semi")
-        .select("person_id", "event_date")
-        .distinct()
-    )
 
+def cohort_flags(
+    tables: Tables,
+    cohorts: Mapping[str, Mapping[str, Any] | str | Path],
+    evidence: Mapping[str, tuple[Mapping[str, Any], Sequence[str]]] | None = None,
+) -> DataFrame:
+    """Persons with any event of the definitions, and a boolean per definition.
 
-def index_events(tables: Tables, spec: Mapping[str, Any]) -> DataFrame:
-    """First qualifying event per person with the bounds of its periods."""
-    events = _events(tables, spec, "condition_occurrence")
-    periods = tables["observation_period"].select(
-        "person_id",
-        F.col("observation_period_start_date").cast("date").alias("op_start"),
-        F.col("observation_period_end_date").cast("date").alias("op_end"),
-    )
-    inside = events.join(periods, "person_id").where(
-        F.col("event_date").between(F.col("op_start"), F.col("op_end"))
-    )
-    return inside.groupBy("person_id").agg(
-        F.min("event_date").alias("index_date"),
-        F.min("op_start").alias("op_start"),
-        F.max("op_end").alias("op_end"),
+    ``cohorts`` are full definitions; ``evidence`` names concept sets with the event
+    tables of which any one event will do.  Every event table is scanned once for
+    all of them.  The first qualifying event and the bounds of the periods that hold
+    one are window minima over a person's few rows; flags are read off in the
+    aggregate behind the window, on the same exchange.
+    """
+    events = _Events()
+    plans = []
+    for name, config in cohorts.items():
+        config = load_config(config) if isinstance(config, (str, Path)) else check_config(config)
+        index = events.want(config["index_event"], "condition_occurrence")
+        needs = [
+            (events.want(need, "drug_exposure"), need.get("timing") or "on_or_after_index")
+            for need in config.get("required_exposures") or []
+        ]
+        ages = [int(rule["value"]) for rule in config.get("inclusion_rules") or []]
+        plans.append((name, index, needs, ages))
+    shown = {}
+    for name, (spec, domains) in (evidence or {}).items():
+        first, *rest = domains
+        shown[name] = events.want(spec, first, dated=False)
+        for domain in rest:
+            events.also(shown[name], domain, {})
+
+    rows = events.rows(tables)
+    number, day = F.col("number"), F.col("day")
+    steps, aggregates = {}, {}
+    by_person = Window.partitionBy("person_id")
+    if plans:
+        periods = tables["observation_period"].select(
+            F.col("person_id").alias("op_person"),
+            F.col("observation_period_start_date").cast("date").alias("op_start"),
+            F.col("observation_period_end_date").cast("date").alias("op_end"),
+        )
+        inside = (
+            (F.col("person_id") == F.col("op_person"))
+            & number.isin([index for _, index, _, _ in plans])
+            & day.between(F.col("op_start"), F.col("op_end"))
+        )
+        rows = rows.join(periods, inside, "left")
+    for at, (_, index, needs, ages) in enumerate(plans):
+        found = (number == index) & F.col("op_person").isNotNull()
+        low, high, first = f"low_{at}", f"high_{at}", f"first_{at}"
+        steps[first] = F.min(F.when(found, day)).over(by_person)
+        steps[low] = F.min(F.when(found, F.col("op_start"))).over(by_person)
+        steps[high] = F.max(F.when(found, F.col("op_end"))).over(by_person)
+        aggregates[first] = F.max(first)
+        for need, timing in needs:
+            if timing == "on_or_after_index":
+                in_time = day >= F.col(first)
+            else:
+                in_time = day.between(F.col(low), F.col(high))
+            aggregates[f"need_{need}"] = F.bool_or((number == need) & in_time)
+    for name, wanted in shown.items():
+        aggregates[f"shown_{wanted}"] = F.bool_or(number == wanted)
+    persons = rows.withColumns(steps).groupBy("person_id").agg(
+        *[column.alias(name) for name, column in aggregates.items()]
     )
+    if any(ages for _, _, _, ages in plans):
+        people = tables["person"].groupBy("person_id").agg(F.min("year_of_birth").alias("year_of_birth"))
+        persons = persons.join(people, "person_id", "left")
+
+    flags = []
+    for at, (name, _, needs, ages) in enumerate(plans):
+        member = F.col(f"first_{at}").isNotNull()
+        for need, _ in needs:
+            member = member & F.col(f"need_{need}")
+        for age in ages:
+            member = member & (age_at(F.col(f"first_{at}"), F.col("year_of_birth")) >= age)
+        flags.append(F.coalesce(member, F.lit(False)).alias(name))
+    for name, wanted in shown.items():
+        flags.append(F.coalesce(F.col(f"shown_{wanted}"), F.lit(False)).alias(name))
+    return persons.select("person_id", *flags)
 
 
 def build_cohort(tables: Tables, config: Mapping[str, Any] | str | Path) -> DataFrame:
     """Persons who satisfy a cohort definition."""
-    config = load_config(config) if isinstance(config, (str, Path)) else check_config(config)
-    cohort = index_events(tables, config["index_event"])
-    for required in config.get("required_exposures") or []:
-        exposures = _events(tables, required, "drug_exposure")
-        if (required.get("timing") or "on_or_after_index") == "on_or_after_index":
-            # Some exposure on or after a day exists when the last one is.
-            last = exposures.groupBy("person_id").agg(F.max("event_date").alias("last"))
-            cohort = (
-                cohort.join(last, "person_id")
-                .where(F.col("last") >= F.col("index_date"))
-                .drop("last")
-            )
-        else:
-            e = exposures.select(F.col("person_id").alias("e_person"), "event_date")
-            cohort = cohort.join(
-                e,
-                (F.col("person_id") == F.col("e_person"))
-                & F.col("event_date").between(F.col("op_start"), F.col("op_end")),
-                "left_semi",
-            )
-    for rule in config.get("inclusion_rules") or []:
-        people = tables["person"].select("person_id", "year_of_birth")
-        old_enough = age_at(F.col("index_date"), F.col("year_of_birth")) >= int(rule["value"])
-        cohort = cohort.join(people, "person_id").where(old_enough).drop("year_of_birth")
-    return cohort.select("person_id").distinct()
+    return cohort_flags(tables, {"member": config}).where("member").select("person_id")
 
 
 def persons_with_concepts(
@@ -181,15 +279,37 @@ def persons_with_concepts(
     With several domains the evidence is united; ``person_ids`` restricts the
     result to another cohort.
     """
-    found = None
-    for domain in domains:
-        _, concept_col = V.EVENT_COLUMNS.get(domain, V.OTHER_EVENT_COLUMNS)
-        wanted = _lookup(tables, spec, concept_col)
-        rows = tables[domain].join(wanted, concept_col, "left_semi").select("person_id")
-        found = rows if found is None else found.union(rows)
+    found = cohort_flags(tables, {}, {"shown": (spec, domains)}).where("shown").select("person_id")
     if person_ids is not None:
         found = found.join(person_ids.select("person_id"), "person_id", "left_semi")
-    return found.distinct()
+    return found
+
+
+def tier_members(
+    tables: Tables,
+    base: Mapping[str, Any] | str | Path,
+    infection: Mapping[str, Any],
+    vaccine: Mapping[str, Any],
+) -> DataFrame:
+    """(tier, person_id): a cohort, the infections within it, the vaccinated of those.
+
+    All tiers come from one pass over the event tables.
+    """
+    flags = cohort_flags(
+        tables,
+        {"base": base},
+        {
+            "infection": (infection, ("condition_occurrence",)),
+            "vaccinated": (vaccine, ("drug_exposure", "procedure_occurrence")),
+        },
+    )
+    infected = F.col("base") & F.col("infection")
+    tiers = F.array(
+        F.when(F.col("base"), F.lit("base")),
+        F.when(infected, F.lit("infection")),
+        F.when(infected & F.col("vaccinated"), F.lit("vaccinated")),
+    )
+    return flags.select(F.explode(F.array_compact(tiers)).alias("tier"), "person_id")
 
 
 def rheumatic_dmard(tables: Tables) -> DataFrame:
@@ -221,12 +341,15 @@ def zoster_vaccine(tables: Tables, person_ids: DataFrame | None = None) -> DataF
 
 def cohort_tiers(tables: Tables) -> dict[str, DataFrame]:
     """Base cohort, infections within it, and vaccinated persons within those."""
-    base = rheumatic_dmard(tables)
-    infected = zoster_infection(tables, base)
+    members = tier_members(
+        tables,
+        "rheumatic_dmard",
+        load_config("zoster_infection")["index_event"],
+        load_config("zoster_vaccine")["index_event"],
+    )
     return {
-        "base": base,
-        "infection": infected,
-        "vaccinated": zoster_vaccine(tables, infected),
+        tier: members.where(F.col("tier") == tier).select("person_id")
+        for tier in ("base", "infection", "vaccinated")
     }
 
 

@@ -1131,12 +1131,7 @@ _INFECTION = {"concept_ids": _brand(20, 21), "descendant_of": _brand(20)}
     "infection UNION ALL SELECT 'vaccinated', person_id FROM vaccinated"))
 def cohort_tiers(spark, sf_dir):
     tables = TT.clinical(spark, sf_dir, *_COHORT_TABLES)
-    base = K.build_cohort(tables, CONFIG)
-    infection = K.persons_with_concepts(tables, _INFECTION, person_ids=base)
-    vaccinated = K.persons_with_concepts(
-        tables, _EVIDENCE, ("drug_exposure", "procedure_occurrence"), infection
-    )
-    return A.stack({"base": base, "infection": infection, "vaccinated": vaccinated}, "tier")
+    return K.tier_members(tables, CONFIG, _INFECTION, _EVIDENCE)
 
 
 @query(lambda: _config_sql(_cohort_sql()).add("a", _config_members()).add("b", _evidence_sql()).select(
