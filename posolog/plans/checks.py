@@ -183,12 +183,13 @@ def expanded(q: With, source: str, name: str) -> With:
                  f"'taper_ok' END AS status) FROM {name}1")
 
 
-def episodes(q: With, source: str, name: str, dose: str, gap: int = 30, by: str = "") -> With:
+def episodes(q: With, source: str, name: str, dose: str, gap: int = 30, by: str = "",
+             factor: str = FACTOR) -> With:
     """Gap-bridged episodes of ``source`` rows, doses as prednisone-equivalents."""
     key = f"{by}person_id, drug_name_std"
     q.add(f"{name}1", f"SELECT {key}, drug_exposure_start_date AS s, CASE WHEN "
           "drug_exposure_end_date >= drug_exposure_start_date THEN drug_exposure_end_date ELSE "
-          f"drug_exposure_start_date END AS e, {dose} * {FACTOR} AS dose FROM {source}")
+          f"drug_exposure_start_date END AS e, {dose} * {factor} AS dose FROM {source}")
     q.add(f"{name}2", f"SELECT *, max(e) OVER (PARTITION BY {key} ORDER BY s, e ROWS BETWEEN "
           f"UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM {name}1")
     q.add(f"{name}3", f"SELECT *, sum(CASE WHEN pe IS NULL OR s - pe > {gap} THEN 1 ELSE 0 END) OVER "

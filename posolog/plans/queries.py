@@ -6,12 +6,14 @@ check is SQL for another engine, built in ``checks``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from posolog.functions import fixed_values as V
 from posolog.functions.stats import exact_quantiles
 from posolog.operators import analysis as A
 from posolog.operators import cohort as K
@@ -44,7 +46,7 @@ from posolog.plans.study import (
     stacked_episodes,
     study_tables,
 )
-from posolog.session import written
+from posolog.session import shared_folder, written
 from posolog.sources.exposure import (
     ClinicalTables,
     apply_sig_source,
@@ -52,6 +54,7 @@ from posolog.sources.exposure import (
     select_exposures,
     with_exposure_id,
 )
+from posolog.sources.files import read_exposure_csv, unreadable_cells, write_ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,6 +133,17 @@ def extract_exposure(spark, sf_dir):
     ).select(*_EXTRACT)
 
 
+@query(lambda: _clinical_sql(C.With(), "fact").select(
+    "SELECT year(drug_exposure_start_date) AS year, count(*) AS n, count(drug_exposure_end_date) AS "
+    "n_ended FROM fact WHERE drug_exposure_start_date >= DATE '1900-01-01' AND "
+    "drug_exposure_start_date <= current_date GROUP BY ALL"))
+def extract_default_window(spark, sf_dir):
+    """Without dates given, rows from the first known start date to today."""
+    return extract_exposures(_clinical_tables(spark, sf_dir)).groupBy(
+        F.year("drug_exposure_start_date").alias("year")
+    ).agg(F.count("*").alias("n"), F.count("drug_exposure_end_date").alias("n_ended"))
+
+
 _CONCEPT_FILTER = "SELECT p_partkey FROM part WHERE p_brand IN ('Brand#3', 'Brand#7', 'Brand#11')"
 _PERSON_FILTER = "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'"
 
@@ -367,6 +381,67 @@ def dose_baseline_empty_tablets(spark, sf_dir):
     return calc_daily_dose_baseline(rows).select(*_BASE)
 
 
+def _as_of_check() -> str:
+    q = C.parsed(C.oral(C.rows()), "o", "p")
+    q.add("pe", "SELECT * REPLACE (DATE '1999-12-31' AS drug_exposure_end_date) FROM p")
+    C.candidates(q, "pe", "c", "daily")
+    return C.cascade(q, "c", "b").select(_baseline_select("b"))
+
+
+@query(_as_of_check)
+def dose_baseline_as_of(spark, sf_dir):
+    """A source without end dates: the as-of date ends every exposure."""
+    rows = _exposures(spark, sf_dir).drop("drug_exposure_end_date")
+    return calc_daily_dose_baseline(rows, as_of="1999-12-31").select(*_BASE)
+
+
+def _as_csv(rows: DataFrame, formats: tuple[str, ...]) -> str:
+    """Write rows as CSV with start dates in several formats; returns the path."""
+    start, by = F.col("drug_exposure_start_date"), F.col("drug_exposure_id") % len(formats)
+    text = F.date_format(start, formats[0])
+    for i, pattern in enumerate(formats):
+        text = F.when(by == i, F.date_format(start, pattern)).otherwise(text)
+    path = f"{shared_folder(rows.sparkSession)}/posolog-csv/{uuid.uuid4().hex}"
+    rows.withColumn("drug_exposure_start_date", text).write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return path
+
+
+def _csv_check() -> str:
+    q = C.baseline(False)
+    # An empty route cell holds nothing, so the drug text decides.
+    q.parts["x"] = q.parts["x"].replace("WHEN 1 THEN 'other' ELSE", "ELSE")
+    return q.select(_baseline_select("b"))
+
+
+@query(_csv_check)
+def dose_baseline_from_csv(spark, sf_dir):
+    """The same doses from text: four date formats, numbers as text, empty cells."""
+    path = _as_csv(_exposures(spark, sf_dir), V.DATE_FORMATS)
+    return calc_daily_dose_baseline(read_exposure_csv(spark, path)).select(*_BASE)
+
+
+@query("SELECT 'quantity' AS \"column\", 'n/a' AS cell, 'not a number' AS reason, count(*) AS n FROM lineitem "
+       "JOIN orders ON l_orderkey = o_orderkey WHERE (l_orderkey * 8 + l_linenumber) % 11 = 0 UNION ALL "
+       "SELECT 'days_supply', CAST(l_linenumber AS VARCHAR) || ' days', 'not a number', count(*) FROM "
+       "lineitem JOIN orders ON l_orderkey = o_orderkey WHERE (l_orderkey * 8 + l_linenumber) % 7 = 0 "
+       "GROUP BY l_linenumber UNION ALL SELECT 'drug_exposure_start_date', strftime(CAST(l_shipdate AS "
+       "DATE), '%d.%m.%Y'), 'not a date', count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+       "WHERE (l_orderkey * 8 + l_linenumber) % 2 = 1 GROUP BY CAST(l_shipdate AS DATE)")
+def csv_unreadable_cells(spark, sf_dir):
+    """Cells that no number or date can be read from, kept with their text."""
+    i = F.col("drug_exposure_id")
+    text = {"quantity": F.col("quantity").cast("string"), "days_supply": F.col("days_supply").cast("string")}
+    rows = _exposures(spark, sf_dir).withColumns({
+        "quantity": F.when(i % 11 == 0, "n/a").otherwise(text["quantity"]),
+        "days_supply": F.when(i % 7 == 0, F.concat((i % 8).cast("string"), F.lit(" days"))).otherwise(
+            text["days_supply"]),
+    })
+    bad = unreadable_cells(spark, _as_csv(rows, ("yyyy-MM-dd", "dd.MM.yyyy")))
+    return bad.groupBy("column", "cell", "reason").agg(F.count("*").alias("n"))
+
+
 _NLP = [
     "person_id", "drug_exposure_start_date", "drug_name_std", "sig", "tablets", "freq_per_day",
     "mg_per_admin", "daily_dose_mg", "parsed_status",
@@ -399,6 +474,22 @@ def dose_nlp_given_dose(spark, sf_dir):
     return calc_daily_dose_nlp(_exposures(spark, sf_dir, True)).select(*_NLP)
 
 
+def _original_fallback_check() -> str:
+    q = C.nlp(C.oral(C.rows()), "n")
+    q.parts["ns"] = ("SELECT * REPLACE (coalesce(daily, CASE WHEN quantity > 30 THEN quantity * 2 END) AS "
+                     f"daily) FROM ({q.parts['ns']}) AS before")
+    return q.select(f"SELECT {_NLP_SELECT} FROM n")
+
+
+@query(_original_fallback_check)
+def dose_nlp_original_fallback(spark, sf_dir):
+    """A dose the site carries fills what the text leaves open."""
+    rows = _exposures(spark, sf_dir).withColumn(
+        "daily_dose_mg_orig", F.when(F.col("quantity") > 30, F.col("quantity") * 2)
+    )
+    return calc_daily_dose_nlp(rows, baseline_fallback=True).select(*_NLP)
+
+
 @query(_nlp_check(advanced=True))
 def dose_nlp_advanced(spark, sf_dir):
     return calc_daily_dose_nlp_advanced(_exposures(spark, sf_dir), expand_tapers=False).select(
@@ -465,6 +556,17 @@ def pred_equiv_custom_table(spark, sf_dir):
     )
 
 
+@query(lambda: C.rows().select(
+    f"SELECT person_id, drug_concept_name, {r(f'quantity * {C.FACTOR}', 'pred_equiv_mg')}, "
+    f"{_ALL_FACTORS} AS pred_equiv_status FROM x"))
+def pred_equiv_unnamed(spark, sf_dir):
+    """Without standard names the first name column there is gives the factor."""
+    rows = _exposures(spark, sf_dir).drop("drug_source_value")
+    return convert_pred_equiv(rows, dose_col="quantity").select(
+        "person_id", "drug_concept_name", "pred_equiv_mg", "pred_equiv_status"
+    )
+
+
 # ---------------------------------------------------------------------- episodes ---
 def _pipeline_check(method: str, gap: int = 30) -> Callable[[], str]:
     def build() -> str:
@@ -513,6 +615,49 @@ def episodes_without_end_or_dose(spark, sf_dir):
     return build_episodes(rows, gap_days=60)
 
 
+@query(lambda: C.episodes(C.rows(), "x", "ep", "quantity", 30, factor="1").select(
+    f"SELECT {C.EPISODE_SELECT} FROM ep"))
+def episodes_unnamed(spark, sf_dir):
+    """Rows without standard names are named on the way."""
+    return build_episodes(
+        _exposures(spark, sf_dir), end_col="drug_exposure_end_date", dose_col="quantity"
+    )
+
+
+@query(lambda: C.episodes(C.baseline(False), "b", "ep", "dose").select(
+    "SELECT count(*) AS n_rows, 0 AS n_inside, 0 AS n_between FROM ep"))
+def ordered_episodes(spark, sf_dir):
+    """Episodes written in order and read back: no row stands before a smaller one."""
+    keys = ["person_id", "drug_name_std", "episode_start"]
+    path = write_ordered(
+        run_pipeline(_exposures(spark, sf_dir)),
+        f"{shared_folder(spark)}/posolog-ordered/{uuid.uuid4().hex}",
+        *keys,
+    )
+    rows = spark.read.parquet(path).select(
+        F.struct(*keys).alias("key"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.row_index").alias("at"),
+    )
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    files = (
+        rows.withColumn("late", (before > F.col("key")).cast("long"))
+        .groupBy("file")
+        .agg(
+            F.count("*").alias("n"),
+            F.sum("late").alias("inside"),
+            F.min("key").alias("low"),
+            F.max("key").alias("high"),
+        )
+    )  # one row a file
+    last = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("file"))
+    return files.withColumn("between", (last > F.col("low")).cast("long")).agg(
+        F.sum("n").alias("n_rows"),
+        F.coalesce(F.sum("inside"), F.lit(0)).alias("n_inside"),
+        F.coalesce(F.sum("between"), F.lit(0)).alias("n_between"),
+    )
+
+
 def _exposure_level_check() -> str:
     return C.baseline(False).select(
         f"SELECT person_id, drug_exposure_start_date, drug_name_std, {r('dose', 'daily_dose_mg_imputed')}, "
@@ -520,6 +665,17 @@ def _exposure_level_check() -> str:
     )
 
 
+@query(_exposure_level_check)
+def pipeline_texts_first(spark, sf_dir):
+    """Every text is parsed before the baseline cascade."""
+    return run_pipeline(
+        _exposures(spark, sf_dir), m2_sig_parse="nlp_first", return_level="exposure"
+    ).select(
+        "person_id", "drug_exposure_start_date", "drug_name_std", "daily_dose_mg_imputed",
+        "pred_equiv_mg", "pred_equiv_status",
+    )
+
+
 @query(_exposure_level_check)
 def pipeline_exposure_level(spark, sf_dir):
     return run_pipeline(_exposures(spark, sf_dir), return_level="exposure").select(
@@ -1167,3 +1323,109 @@ def cohort_pipeline(spark, sf_dir):
     """The whole chain: a cohort restricts the exposures of the pipeline."""
     members = K.build_cohort(TT.clinical(spark, sf_dir, *_COHORT_TABLES), CONFIG)
     return run_pipeline(_exposures(spark, sf_dir), "baseline", person_ids=members)
+
+
+# Bundled cohorts, on tables whose events carry their concept ids.
+def _bundled(name: str) -> dict:
+    return K.load_config(name)
+
+
+def _bundled_codes() -> list[int]:
+    found: set[int] = set()
+    for name in ("rheumatic_dmard", "zoster_antivirals", "zoster_infection", "zoster_vaccine"):
+        config = _bundled(name)
+        for spec in (config["index_event"], *config.get("required_exposures", [])):
+            for part in ("concept_ids", "exact_concept_ids", "exclude_descendants"):
+                found.update(spec.get(part) or [])
+    return sorted(found)
+
+
+def _coded(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return TT.coded(spark, sf_dir, _bundled_codes())
+
+
+def _coded_sql() -> C.With:
+    q = C.With()
+    for name, sql in TT.coded_sql(_bundled_codes()).items():
+        q.add(name, TT.plain(sql))
+    return q
+
+
+def _antiviral_check(everything: bool) -> Callable[[], str]:
+    def build() -> str:
+        config = _bundled("zoster_antivirals")
+        index, (first, second) = config["index_event"], config["required_exposures"]
+        above = index["concept_ids"] if everything else index["descendant_of"]
+        q = _first_events(_coded_sql(), _set_sql(index["concept_ids"], above))
+        return q.select(_adults_with(
+            (_set_sql(first["concept_ids"], first["concept_ids"]), _LATER),
+            (_set_sql(second["concept_ids"], second["concept_ids"]), _ANY)))
+    return build
+
+
+@query(_antiviral_check(False))
+def cohort_zoster_antivirals(spark, sf_dir):
+    return K.zoster_antivirals(_coded(spark, sf_dir))
+
+
+@query(_antiviral_check(True))
+def cohort_zoster_antivirals_expanded(spark, sf_dir):
+    return K.build_cohort(_coded(spark, sf_dir), "zoster_antivirals_all_descendants")
+
+
+def _rheumatic_sql(q: C.With) -> str:
+    config = _bundled("rheumatic_dmard")
+    index, (drug,) = config["index_event"], config["required_exposures"]
+    _first_events(q, _set_sql(index["concept_ids"], index["descendant_of"]) + " UNION SELECT concept_id "
+                  f"FROM concept WHERE concept_id IN ({_ids(index['exact_concept_ids'])})")
+    return _adults_with((_set_sql(drug["concept_ids"], drug["concept_ids"]), _ANY))
+
+
+def _rheumatic_check() -> str:
+    q = _coded_sql()
+    return q.select(_rheumatic_sql(q))
+
+
+@query(_rheumatic_check)
+def cohort_rheumatic_dmard(spark, sf_dir):
+    return K.rheumatic_dmard(_coded(spark, sf_dir))
+
+
+def _infection_sql() -> str:
+    index = _bundled("zoster_infection")["index_event"]
+    return ("SELECT DISTINCT person_id FROM condition_occurrence WHERE condition_concept_id IN "
+            f"({_set_sql(index['concept_ids'], index['descendant_of'])})")
+
+
+def _vaccine_sql() -> str:
+    index = _bundled("zoster_vaccine")["index_event"]
+    listed = index["concept_ids"]
+    concepts = (f"SELECT concept_id FROM ({_set_sql(listed, listed, index['exclude_descendants'])}) AS s "
+                "WHERE concept_id IN (SELECT concept_id FROM concept WHERE invalid_reason IS NULL)")
+    return (f"SELECT person_id FROM drug_exposure WHERE drug_concept_id IN ({concepts}) UNION SELECT "
+            f"person_id FROM procedure_occurrence WHERE procedure_concept_id IN ({concepts})")
+
+
+@query(lambda: _coded_sql().select(_infection_sql()))
+def cohort_zoster_infection(spark, sf_dir):
+    return K.zoster_infection(_coded(spark, sf_dir))
+
+
+@query(lambda: _coded_sql().select(_vaccine_sql()))
+def cohort_zoster_vaccine(spark, sf_dir):
+    return K.zoster_vaccine(_coded(spark, sf_dir))
+
+
+def _bundled_tiers_check() -> str:
+    q = _coded_sql()
+    base = _rheumatic_sql(q)
+    q.add("base", base)
+    q.add("infection", f"SELECT person_id FROM base INTERSECT ({_infection_sql()})")
+    q.add("vaccinated", f"SELECT person_id FROM infection INTERSECT ({_vaccine_sql()})")
+    return q.select(" UNION ALL ".join(
+        f"SELECT '{tier}' AS tier, person_id FROM {tier}" for tier in ("base", "infection", "vaccinated")))
+
+
+@query(_bundled_tiers_check)
+def cohort_bundled_tiers(spark, sf_dir):
+    return A.stack(K.cohort_tiers(_coded(spark, sf_dir)), "tier")

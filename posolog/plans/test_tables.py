@@ -242,6 +242,54 @@ FROM {events}
 """.strip(),
 }
 
+
+
+def coded_sql(codes: list[int]) -> dict[str, str]:
+    """Clinical tables whose events carry ``codes``, concept ids of bundled cohorts.
+
+    A code stands for a part key by its remainder; events of other parts carry concepts
+    of their own, some of them descendants of a code.
+    """
+    n = len(codes)
+    values = ", ".join(f"({i}, {code})" for i, code in enumerate(codes))
+    table = f"(SELECT CAST(i AS BIGINT) AS i, CAST(c AS BIGINT) AS c FROM (VALUES {values}) AS v0(i, c))"
+    lines = "FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"
+
+    def event(key: str, own: str, modulus: int) -> str:
+        return (f"SELECT person_id, COALESCE(c, {own}) AS concept, day FROM ({key}) AS e LEFT JOIN "
+                f"{table} AS v ON e.at % {modulus} = v.i")
+
+    parts = ("SELECT o_custkey AS person_id, l_partkey, CAST({0} AS DATE) AS day, l_partkey * 31 + "
+             "l_suppkey * 7 + l_linenumber AS at " + lines)
+    own = "2000000000 + l_partkey"
+    conditions = event(parts.replace("{0}", "o_orderdate"), own, 8 * n)
+    drugs = event(parts.replace("{0}", "l_shipdate"), own, 5 * n)
+    procedures = event("SELECT user_id AS person_id, event_id, CAST(ts AS DATE) AS day, event_id * 13 "
+                       "AS at FROM {events}", "3000000000 + event_id % 50", 3 * n)
+    return {
+        "concept": f"""
+SELECT c AS concept_id, CASE WHEN i % 10 = 3 THEN 'D' ELSE CAST(NULL AS STRING) END AS invalid_reason
+FROM {table} AS v
+UNION ALL
+SELECT 2000000000 + p_partkey, CASE WHEN p_size % 10 = 0 THEN 'D' ELSE CAST(NULL AS STRING) END FROM {{part}}
+""".strip(),
+        "concept_ancestor": f"""
+SELECT c AS ancestor_concept_id, 2000000000 + p_partkey AS descendant_concept_id
+FROM {{part}} JOIN {table} AS v ON p_partkey % {5 * n} = v.i
+UNION ALL
+SELECT a.c, b.c FROM {table} AS a JOIN {table} AS b ON (a.i * 7 + 3) % {n} = b.i
+""".strip(),
+        "person": CLINICAL_SQL["person"],
+        "observation_period": CLINICAL_SQL["observation_period"],
+        "condition_occurrence": "SELECT person_id, concept AS condition_concept_id, day AS "
+                                f"condition_start_date FROM ({conditions}) AS ev",
+        "drug_exposure": "SELECT person_id, concept AS drug_concept_id, day AS "
+                         f"drug_exposure_start_date FROM ({drugs}) AS ev",
+        "procedure_occurrence": "SELECT person_id, concept AS procedure_concept_id, day AS "
+                                f"procedure_date FROM ({procedures}) AS ev",
+    }
+
+
 _SOURCES = ("lineitem", "orders", "part", "customer", "nation", "region", "events")
 
 
@@ -273,5 +321,9 @@ def gold_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, GOLD_SQL)
 
 
+def coded(spark: SparkSession, sf_dir: str, codes: list[int]) -> dict[str, DataFrame]:
+    return {name: _sql(spark, sf_dir, sql) for name, sql in coded_sql(codes).items()}
+
+
 def clinical(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {name: _sql(spark, sf_dir, CLINICAL_SQL[name]) for name in names}

@@ -8,7 +8,14 @@ import pytest
 from posolog import ClinicalTables, extract_exposures, run_pipeline, run_study, to_exposures
 from posolog.operators import cohort as K
 from posolog.sources.exposure import apply_sig_source, select_exposures, with_exposure_id
-from posolog.sources.files import read_concept_ids, read_exposure_csv, read_gold_csv, write_tables
+from posolog.sources.files import (
+    read_concept_ids,
+    read_exposure_csv,
+    read_gold_csv,
+    unreadable_cells,
+    write_ordered,
+    write_tables,
+)
 
 D = dt.date
 HEADER = ("person_id,drug_concept_name,drug_source_value,drug_exposure_start_date,"
@@ -41,6 +48,32 @@ def test_csv_keeps_a_malformed_row(exposures, rows):
     assert (row.daily_dose_mg_imputed, row.imputation_method) == (10, "actual_duration")
 
 
+def test_unreadable_cells(spark, tmp_path):
+    path = tmp_path / "bad.csv"
+    path.write_text("person_id,drug_exposure_start_date,quantity,sig\n"
+                    "1,2023-01-01,ten,a\n2,31.12.2023,NA,b\n3,20230105,,c\n4,1/6/2023,5\n5,2023-01-07,1e1,\"\"\n")
+    bad = unreadable_cells(spark, str(path)).collect()
+    assert sorted((r.column or "", r.cell or "", r.reason) for r in bad) == [
+        ("", "", "wrong number of fields"),
+        ("drug_exposure_start_date", "31.12.2023", "not a date"),
+        ("quantity", "ten", "not a number"),
+    ]
+    assert {r.file for r in bad} == {"bad.csv"}
+    assert [r.record for r in bad if r.column is None] == ["4,1/6/2023,5"]
+    read = {r.person_id: (r.drug_exposure_start_date, r.quantity, r.sig)
+            for r in read_exposure_csv(spark, str(path)).collect()}
+    assert read == {1: (D(2023, 1, 1), None, "a"), 2: (None, None, "b"), 3: (D(2023, 1, 5), None, "c"),
+                    4: (D(2023, 1, 6), 5.0, None), 5: (D(2023, 1, 7), 10.0, None)}
+
+
+def test_ordered_files(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).selectExpr("id * 7919 % 1000 AS a", "id AS b", "CAST(NULL AS INT) AS c")
+    path = write_ordered(rows, str(tmp_path / "ordered"), "a", files=5)
+    files = sorted((tmp_path / "ordered").glob("*.parquet"))
+    got = [r.a for file in files for r in spark.read.parquet(str(file)).collect()]
+    assert got == sorted(got) and len(got) == 1000 and len(files) > 1 and path.endswith("ordered")
+
+
 def test_other_files(spark, tmp_path):
     (tmp_path / "gold.csv").write_text(
         "patient_id,episode_start,episode_end,median_daily_dose,days_covered\n1,2023-01-01,2023-06-30,10,3\n")
@@ -128,6 +161,26 @@ def test_bundled_cohorts_plan(tables):
     assert len(K.load_config("rheumatic_dmard")["index_event"]["exact_concept_ids"]) == 172
 
 
+def test_one_scan_per_event_table(spark, tables, tmp_path):
+    stored = {}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    flags = K.cohort_flags(
+        stored,
+        {"early": _config("anytime"), "late": _config("on_or_after_index")},
+        {"ill": ({"concept_ids": [2]}, ("condition_occurrence",)),
+         "treated": ({"concept_ids": [4]}, ("drug_exposure", "procedure_occurrence"))},
+    )
+    got = {r.person_id: (r.early, r.late, r.ill, r.treated) for r in flags.collect()}
+    assert got == {1: (False, True, True, True), 2: (True, True, False, True),
+                   3: (True, False, True, True), 9: (False, False, False, True)}
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    relations = plan.count("Relation [")
+    # three event tables, periods, and the vocabulary for listed, expanded and valid concepts
+    assert relations == 7, plan
+
+
 def test_extraction(spark, tables):
     fact = spark.createDataFrame(
         [(1, 10, 4, 4, D(2020, 1, 1), None, 1.0, 1.0, "x", 5, "MG", "src"),
