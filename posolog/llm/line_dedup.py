@@ -4,10 +4,14 @@ A line goes down the tree by its number of words, then by its leading words; wor
 that hold a digit count as variable on the way (and everywhere below).  In the leaf
 the template keeps the word that more than half of the leaf's lines have at a
 place; other places are variable.  A line belongs to the template if it has the
-template's word in at least ``least_share`` of its places; a line that does not is
-a template of its own.  A template is recurring if lines of it stand in
-``least_texts`` different texts or more (copies of a text count once: they are for
-document dedup) and have ``least_words`` fixed words or more.
+template's word in at least ``LEAST_SHARE`` of its places.  The lines that do not
+belong are a leaf again, with a template of their own; a leaf without a template is
+split in two by the commonest word that not all of its lines have (if a quarter have
+it), until no leaf has lines of ``LEAST_TEXTS`` texts left.  Lines without a template
+of a leaf are matched word by word.  A template is recurring if lines of it stand in
+``LEAST_TEXTS`` different texts or more and have ``LEAST_WORDS`` fixed words or more.
+Copies of a text count once, and a line that two texts alone share stays: both are
+left to the dedup of documents.
 
 Of a recurring template the first line (smallest document, then place) stays; all
 others are dropped.  The remaining lines are joined again by a line feed.
@@ -28,9 +32,10 @@ from pyspark.sql import functions as F
 from posolog.llm.common import WORD_PATTERN, stored, text_or_empty
 
 DEPTH = 4
-LEAST_TEXTS = 10
+LEAST_TEXTS = 3
 LEAST_WORDS = 3
 LEAST_SHARE = 0.7
+LEAST_SPLIT = 0.25
 VARIABLE = "<*>"
 
 
@@ -87,41 +92,82 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("doc_id", "content", "place.at", "place.leaf", F.get("lines", F.col("place.at")).alias("line"))
         .select("doc_id", "content", "at", "leaf", _masked(_words("line")).alias("words"))
     )
+    placed = stored(_placed(shared))
+    found = placed.select(
+        "doc_id", "content", "at",
+        F.when(F.col("belongs"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("words")).alias("template"),
+    )
+    # Leaves that hold further templates are read again without the lines that have one.
+    rest = stored(_rest(placed))
+    while not rest.isEmpty():
+        placed = stored(_placed(rest))
+        found = found.unionByName(
+            placed.filter("belongs").select("doc_id", "content", "at", F.xxhash64("leaf", F.lit("leaf")).alias("template"))
+        )
+        rest = stored(_rest(placed))
+    templated = stored(found)
+    first = templated.groupBy("template").agg(F.min(F.struct("doc_id", "content", "at")).alias("first"))
+    return (
+        templated.join(_texts(templated, "template"), "template")
+        .join(first, "template")
+        .filter(~F.struct("doc_id", "content", "at").eqNullSafe(F.col("first")))
+        .select("doc_id", "content", "at")
+        .distinct()
+    )
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with their leaf's template compared: does the line belong to it?
+
+    ``split`` is the commonest word that not all lines of the leaf have at its place.
+    Lines that neither belong nor have enough words of their own are left out.
+    """
     # Lines of one text count once a text, so that copies do not decide the words.
-    voters = shared.groupBy("leaf", "content", "at").agg(F.any_value("words").alias("words"))
-    voters = stored(voters)
+    voters = stored(lines.groupBy("leaf", "content", "at").agg(F.any_value("words").alias("words")))
     totals = voters.groupBy("leaf").agg(F.count("*").alias("total"))
-    fixed = (
+    votes = (
         voters.select("leaf", F.posexplode("words").alias("place", "word"))
         .filter(F.col("word") != VARIABLE)
         .groupBy("leaf", "place", "word")
         .agg(F.count("*").alias("votes"))
         .join(totals, "leaf")
-        .filter(F.col("votes") * 2 > F.col("total"))
-        .groupBy("leaf")
-        .agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("fixed"))
+    )
+    share = F.col("votes") / F.col("total")
+    models = votes.filter(share >= LEAST_SPLIT).groupBy("leaf").agg(
+        F.map_from_entries(F.collect_list(F.when(share > 0.5, F.struct("place", "word")))).alias("fixed"),
+        F.max(F.when(share < 1, F.struct("votes", (-F.col("place")).alias("before"), "word"))).alias("split"),
     )
     equal = F.size(
         F.filter(F.transform("words", lambda w, i: F.equal_null(F.col("fixed")[i], w)), lambda same: same)
     )
     own = F.size(F.filter("words", lambda w: w != VARIABLE))
     belongs = (F.col("equal") >= LEAST_WORDS) & (F.col("equal") >= LEAST_SHARE * F.size("words"))
-    templated = stored(
-        shared.join(fixed, "leaf", "left")
-        .withColumn("equal", F.when(F.col("fixed").isNull(), 0).otherwise(equal))
-        .filter(belongs | (own >= LEAST_WORDS))
-        .select(
-            "doc_id", "content", "at",
-            F.when(belongs, F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("words")).alias("template"),
-        )
-    )
-    first = templated.groupBy("template").agg(F.min(F.struct("doc_id", "content", "at")).alias("first"))
     return (
-        templated.join(_texts(templated, "template"), "template")
-        .join(first, "template")
-        .filter(~F.struct("doc_id", "content", "at").eqNullSafe(F.col("first")))
-        .select("doc_id", "content", "at")
+        lines.join(models, "leaf", "left")
+        .withColumn("equal", F.when(F.col("fixed").isNull(), 0).otherwise(equal))
+        .withColumn("belongs", belongs)
+        .filter(F.col("belongs") | (own >= LEAST_WORDS))
+        .select("doc_id", "content", "at", "leaf", "words", "belongs", "split")
+    )
+
+
+def _rest(placed: DataFrame) -> DataFrame:
+    """Lines without a template, in leaves of their own, where these may have more.
+
+    A leaf whose template took lines gives the others as one leaf; a leaf without a
+    template is split by its commonest word.  Either way leaves shrink: the first loses
+    lines, a part of the second holds ``LEAST_SPLIT`` of it or lacks as much.
+    """
+    taken = placed.filter("belongs").select("leaf").distinct().withColumn("taken", F.lit(True))
+    has = F.get("words", -F.col("split.before")) == F.col("split.word")
+    leaf = F.when(F.col("taken"), F.xxhash64("leaf", F.lit("rest"))).otherwise(F.xxhash64("leaf", has))
+    open_lines = (
+        placed.filter("NOT belongs")
+        .join(taken, "leaf", "left")
+        .filter(F.col("taken") | F.col("split").isNotNull())
+        .select("doc_id", "content", "at", leaf.alias("leaf"), "words")
     )
+    return open_lines.join(_texts(open_lines, "leaf"), "leaf").select("doc_id", "content", "at", "leaf", "words")
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators of the training-data package against brute force, and defined edge cases."""
 
+import collections
 import hashlib
 import html
 import math
@@ -257,41 +258,65 @@ def brute_lines(rows):
     ]
     lines = [x for x in lines if len(x[3]) >= 3]
 
-    def frequent(key):
-        texts = {}
-        for x in lines:
-            if key(x) is not None:
-                texts.setdefault(key(x), set()).add(x[1])
-        return {k for k, v in texts.items() if len(v) >= line_dedup.LEAST_TEXTS}
-
-    leaf = lambda x: (len(x[3]), *x[3][:4])
-    shared = frequent(leaf)
-    lines = [x for x in lines if leaf(x) in shared]
-    votes, totals = {}, {}
-    for key, words in {(leaf(x), x[1], x[2]): x[3] for x in lines}.items():
-        totals[key[0]] = totals.get(key[0], 0) + 1
-        for place, word in enumerate(words):
-            votes[key[0], place, word] = votes.get((key[0], place, word), 0) + 1
-
-    def template(x):
-        words, total = x[3], totals[leaf(x)]
-        equal = sum(w != "<*>" and 2 * votes[leaf(x), i, w] > total for i, w in enumerate(words))
-        if equal >= 3 and equal >= 0.7 * len(words):
-            return ("leaf", leaf(x))
-        return tuple(words) if sum(w != "<*>" for w in words) >= 3 else None
-
-    kept = frequent(template)
-    found = [(template(x), x) for x in lines if template(x) in kept]
-    first = {}
-    for key, x in found:
-        first[key] = min(first.get(key, x[:3]), x[:3], key=lambda y: (y[0], y[2]))
-    return {x[:3] for key, x in found if (x[0], x[2]) != (first[key][0], first[key][2])}
+    def enough(group):
+        return len({x[1] for x in group}) >= line_dedup.LEAST_TEXTS
+
+    def grouped(group, key):
+        out = {}
+        for x in group:
+            out.setdefault(key(x), []).append(x)
+        return out
+
+    templates = {}
+    todo = [(leaf, group, True) for leaf, group in grouped(lines, lambda x: (len(x[3]), *x[3][:4])).items()]
+    while todo:
+        leaf, group, first_time = todo.pop()
+        if not enough(group):
+            continue
+        voters = {(x[1], x[2]): x[3] for x in group}
+        votes = collections.Counter((i, w) for words in voters.values() for i, w in enumerate(words) if w != "<*>")
+        split = max(
+            ((n, -i, w) for (i, w), n in votes.items() if len(voters) * line_dedup.LEAST_SPLIT <= n < len(voters)),
+            default=None,
+        )
+        others = []
+        for x in group:
+            equal = sum(2 * votes[i, w] > len(voters) for i, w in enumerate(x[3]) if w != "<*>")
+            if equal >= 3 and equal >= 0.7 * len(x[3]):
+                templates.setdefault(("leaf", leaf), []).append(x)
+            elif sum(w != "<*>" for w in x[3]) >= 3:
+                others.append(x)
+                if first_time:
+                    templates.setdefault(tuple(x[3]), []).append(x)
+        if ("leaf", leaf) in templates:
+            todo.append(((leaf, "rest"), others, False))
+        elif split:
+            parts = grouped(others, lambda x: x[3][-split[1]] == split[2])  # noqa: B023
+            todo += [((leaf, has), part, False) for has, part in parts.items()]
+    out = set()
+    for group in filter(enough, templates.values()):
+        first = min(group, key=lambda x: (x[0], x[2]))
+        out |= {x[:3] for x in group if (x[0], x[2]) != (first[0], first[2])}
+    return out
 
 
 def test_recurring_lines(spark, documents, odd, none):
     rows = [(i, f"Unique start {'abcdefghijklmnop'[i]} of text\nPosted on day {i} by the team {i * i}\nShort one\n{'q' * i} own line here {i}") for i in range(14)]
     rows += [(100, rows[0][1]), (101, None), (102, ""), (None, rows[3][1])]
-    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), documents):
+    # Two and three templates of one leaf, in equal and unequal shares; a name in a late place.
+    names = ["Ann", "Bo", "Cy", "Di", "Ed", "Flo"]
+    leaf = [f"Thanks to all who read this page written by {n} today" for n in names]
+    leaf += [f"Thanks to all who send us their old stamps from {n} again" for n in names]
+    leaf += [f"Thanks to all who came along when {n} sang so very well" for n in names[:3]]
+    several = [(i, line) for i, line in enumerate(leaf)] + [(90 + i, "Only two texts have this line here") for i in range(2)]
+    several += [(95 + i, f"Only two texts have this line here\nbut they differ {n}") for i, n in enumerate(names[:1])]
+    got = {(r.doc_id, r.at) for r in line_dedup.recurring_lines(spark.createDataFrame(several, "doc_id long, text string")).collect()}
+    assert got == {(i, 0) for i in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 13, 14)}
+    for docs in (
+        spark.createDataFrame(rows, "doc_id long, text string"),
+        spark.createDataFrame(several, "doc_id long, text string"),
+        documents,
+    ):
         expected = brute_lines([(r.doc_id, r.text) for r in docs.collect()])
         texts = {}
         for r in docs.collect():
