@@ -5,10 +5,12 @@ that hold a digit count as variable on the way (and everywhere below).  In the l
 the template keeps the word that more than half of the leaf's lines have at a
 place; other places are variable.  A line belongs to the template if it has the
 template's word in at least ``LEAST_SHARE`` of its places.  The lines that do not
-belong are a leaf again, with a template of their own; a leaf without a template is
-split in two by the commonest word that not all of its lines have (if a quarter have
-it), until no leaf has lines of ``LEAST_TEXTS`` texts left.  Lines without a template
-of a leaf are matched word by word.  A template is recurring if lines of it stand in
+belong get further templates of the leaf, all in one pass: a place is fixed if enough
+of these lines have the line's word there (``2^k``, for every k), else variable, and
+at least ``LEAST_SHARE`` of the places must be fixed; a line takes the template that
+stands in most texts.  What is left goes down the tree by up to ``SPLITS`` further
+words, whichever are common there; after that lines are matched word by word.
+A template is recurring if lines of it stand in
 ``LEAST_TEXTS`` different texts or more and have ``LEAST_WORDS`` fixed words or more.
 Copies of a text count once, and a line that two texts alone share stays: both are
 left to the dedup of documents.
@@ -35,7 +37,7 @@ DEPTH = 4
 LEAST_TEXTS = 3
 LEAST_WORDS = 3
 LEAST_SHARE = 0.7
-LEAST_SPLIT = 0.25
+SPLITS = 3
 VARIABLE = "<*>"
 
 
@@ -93,19 +95,11 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("doc_id", "content", "at", "leaf", _masked(_words("line")).alias("words"))
     )
     placed = stored(_placed(shared))
-    found = placed.select(
-        "doc_id", "content", "at",
-        F.when(F.col("belongs"), F.xxhash64("leaf", F.lit("leaf"))).otherwise(F.xxhash64("words")).alias("template"),
-    )
-    # Leaves that hold further templates are read again without the lines that have one.
-    rest = stored(_rest(placed))
-    while not rest.isEmpty():
-        placed = stored(_placed(rest))
-        found = found.unionByName(
-            placed.filter("belongs").select("doc_id", "content", "at", F.xxhash64("leaf", F.lit("leaf")).alias("template"))
-        )
-        rest = stored(_rest(placed))
-    templated = stored(found)
+    templated = stored(
+        placed.filter("belongs")
+        .select("doc_id", "content", "at", F.xxhash64("leaf", F.lit("leaf")).alias("template"))
+        .unionByName(_further(placed.filter("NOT belongs").drop("belongs")))
+    )
     first = templated.groupBy("template").agg(F.min(F.struct("doc_id", "content", "at")).alias("first"))
     return (
         templated.join(_texts(templated, "template"), "template")
@@ -119,23 +113,20 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _placed(lines: DataFrame) -> DataFrame:
     """Lines with their leaf's template compared: does the line belong to it?
 
-    ``split`` is the commonest word that not all lines of the leaf have at its place.
     Lines that neither belong nor have enough words of their own are left out.
     """
     # Lines of one text count once a text, so that copies do not decide the words.
     voters = stored(lines.groupBy("leaf", "content", "at").agg(F.any_value("words").alias("words")))
     totals = voters.groupBy("leaf").agg(F.count("*").alias("total"))
-    votes = (
+    models = (
         voters.select("leaf", F.posexplode("words").alias("place", "word"))
         .filter(F.col("word") != VARIABLE)
         .groupBy("leaf", "place", "word")
         .agg(F.count("*").alias("votes"))
         .join(totals, "leaf")
-    )
-    share = F.col("votes") / F.col("total")
-    models = votes.filter(share >= LEAST_SPLIT).groupBy("leaf").agg(
-        F.map_from_entries(F.collect_list(F.when(share > 0.5, F.struct("place", "word")))).alias("fixed"),
-        F.max(F.when(share < 1, F.struct("votes", (-F.col("place")).alias("before"), "word"))).alias("split"),
+        .filter(F.col("votes") * 2 > F.col("total"))
+        .groupBy("leaf")
+        .agg(F.map_from_entries(F.collect_list(F.struct("place", "word"))).alias("fixed"))
     )
     equal = F.size(
         F.filter(F.transform("words", lambda w, i: F.equal_null(F.col("fixed")[i], w)), lambda same: same)
@@ -147,27 +138,89 @@ def _placed(lines: DataFrame) -> DataFrame:
         .withColumn("equal", F.when(F.col("fixed").isNull(), 0).otherwise(equal))
         .withColumn("belongs", belongs)
         .filter(F.col("belongs") | (own >= LEAST_WORDS))
-        .select("doc_id", "content", "at", "leaf", "words", "belongs", "split")
+        .select("doc_id", "content", "at", "leaf", "words", "belongs")
     )
 
 
-def _rest(placed: DataFrame) -> DataFrame:
-    """Lines without a template, in leaves of their own, where these may have more.
+def _further(lines: DataFrame) -> DataFrame:
+    """Further templates of the leaves, for the lines that their first one did not take.
 
-    A leaf whose template took lines gives the others as one leaf; a leaf without a
-    template is split by its commonest word.  Either way leaves shrink: the first loses
-    lines, a part of the second holds ``LEAST_SPLIT`` of it or lacks as much.
+    A word's votes are the lines of the leaf that have it at its place.  The words of a
+    line with 2^k votes or more are its template of level k; a place below that is
+    variable.  A line's levels number at most the logarithm of its leaf, and all are
+    counted in one pass.  Of its templates that stand in enough texts a line takes the
+    one with most (then with most fixed words, then by hash).  The others go one step
+    down, to the leaf of their commonest word that not all lines of their leaf have,
+    ``SPLITS`` steps at most; after that they are matched word by word.
     """
-    taken = placed.filter("belongs").select("leaf").distinct().withColumn("taken", F.lit(True))
-    has = F.get("words", -F.col("split.before")) == F.col("split.word")
-    leaf = F.when(F.col("taken"), F.xxhash64("leaf", F.lit("rest"))).otherwise(F.xxhash64("leaf", has))
-    open_lines = (
-        placed.filter("NOT belongs")
-        .join(taken, "leaf", "left")
-        .filter(F.col("taken") | F.col("split").isNotNull())
-        .select("doc_id", "content", "at", leaf.alias("leaf"), "words")
-    )
-    return open_lines.join(_texts(open_lines, "leaf"), "leaf").select("doc_id", "content", "at", "leaf", "words")
+    lines = stored(lines.withColumn("form", F.xxhash64("leaf", "words")))
+    texts_of = stored(lines.select("form", "content").distinct())
+    placed = F.filter(
+        F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("word"))), lambda w: w["word"] != VARIABLE
+    )
+    forms = stored(
+        lines.select("leaf", "words", "form", "content", "at")
+        .distinct()
+        .groupBy("form")
+        .agg(F.any_value("leaf").alias("leaf"), F.any_value("words").alias("words"), F.count("*").alias("n"))
+        .select("form", "leaf", "n", F.size("words").alias("size"), placed.alias("words"))
+    )
+    chosen = None
+    for _ in range(SPLITS + 1):
+        places = forms.select("form", "leaf", "n", "size", F.inline("words"))
+        votes = (
+            places.groupBy("leaf", "place", "word")
+            .agg(F.sum("n").alias("votes"))
+            .filter(F.col("votes") >= LEAST_TEXTS)
+            .join(forms.groupBy("leaf").agg(F.sum("n").alias("total")), "leaf")
+        )
+        part = F.when(F.col("votes") < F.col("total"), F.struct("votes", (-F.col("place")).alias("before"), "word"))
+        voted = stored(
+            places.join(votes, ["leaf", "place", "word"])
+            .groupBy("form")
+            .agg(
+                *(F.any_value(c).alias(c) for c in ("leaf", "n", "size")),
+                F.array_sort(F.collect_list(F.struct("place", "word", F.floor(F.log2("votes")).alias("level")))).alias("words"),
+                F.max(part).alias("part"),
+            )
+            .filter((F.size("words") >= LEAST_WORDS) & (F.size("words") >= LEAST_SHARE * F.col("size")))
+        )
+        fixed = F.filter("words", lambda w: w["level"] >= F.col("level"))
+        bare = F.transform("fixed", lambda w: F.struct(w["place"].alias("place"), w["word"].alias("word")))
+        enough = (F.size("fixed") >= LEAST_WORDS) & (F.size("fixed") >= LEAST_SHARE * F.col("size"))
+        templates = stored(
+            voted.select("*", F.explode(F.array_distinct(F.col("words.level"))).alias("level"))
+            .withColumn("fixed", fixed)
+            .filter(enough)
+            .select("form", F.size("fixed").alias("n_fixed"), F.xxhash64("leaf", bare).alias("template"))
+        )
+        texts = (
+            texts_of.join(templates, "form")
+            .select("template", "content")
+            .distinct()
+            .groupBy("template")
+            .agg(F.count("*").alias("texts"))
+            .filter(F.col("texts") >= LEAST_TEXTS)
+        )
+        found = stored(
+            templates.join(texts, "template")
+            .groupBy("form")
+            .agg(F.max(F.struct("texts", "n_fixed", "template")).alias("most"))
+            .select("form", F.col("most.template").alias("chosen"))
+        )
+        chosen = found if chosen is None else chosen.unionByName(found)
+        below = F.xxhash64("leaf", "part.before", "part.word")
+        forms = stored(
+            voted.filter("part IS NOT NULL")
+            .join(found, "form", "left_anti")
+            .withColumn("words", F.transform("words", lambda w: F.struct(w["place"].alias("place"), w["word"].alias("word"))))
+            .select("form", below.alias("leaf"), "n", "size", "words")
+        )
+        if forms.isEmpty():
+            break
+    return lines.join(chosen, "form", "left").select(
+        "doc_id", "content", "at", F.coalesce("chosen", F.xxhash64("words")).alias("template")
+    )
 
 
 def without_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

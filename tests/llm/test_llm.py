@@ -268,17 +268,9 @@ def brute_lines(rows):
         return out
 
     templates = {}
-    todo = [(leaf, group, True) for leaf, group in grouped(lines, lambda x: (len(x[3]), *x[3][:4])).items()]
-    while todo:
-        leaf, group, first_time = todo.pop()
-        if not enough(group):
-            continue
+    for leaf, group in filter(lambda x: enough(x[1]), grouped(lines, lambda x: (len(x[3]), *x[3][:4])).items()):
         voters = {(x[1], x[2]): x[3] for x in group}
         votes = collections.Counter((i, w) for words in voters.values() for i, w in enumerate(words) if w != "<*>")
-        split = max(
-            ((n, -i, w) for (i, w), n in votes.items() if len(voters) * line_dedup.LEAST_SPLIT <= n < len(voters)),
-            default=None,
-        )
         others = []
         for x in group:
             equal = sum(2 * votes[i, w] > len(voters) for i, w in enumerate(x[3]) if w != "<*>")
@@ -286,13 +278,36 @@ def brute_lines(rows):
                 templates.setdefault(("leaf", leaf), []).append(x)
             elif sum(w != "<*>" for w in x[3]) >= 3:
                 others.append(x)
-                if first_time:
-                    templates.setdefault(tuple(x[3]), []).append(x)
-        if ("leaf", leaf) in templates:
-            todo.append(((leaf, "rest"), others, False))
-        elif split:
-            parts = grouped(others, lambda x: x[3][-split[1]] == split[2])  # noqa: B023
-            todo += [((leaf, has), part, False) for has, part in parts.items()]
+        parts = {leaf: others}
+        for _ in range(line_dedup.SPLITS + 1):
+            below = {}
+            for leaf, group in parts.items():
+                voters = {(x[1], x[2]): x[3] for x in group}
+                votes = collections.Counter((i, w) for words in voters.values() for i, w in enumerate(words) if w != "<*>")
+                votes = {p: n for p, n in votes.items() if n >= line_dedup.LEAST_TEXTS}
+                members = {}
+                for x in group:
+                    for level in range(40):
+                        fixed = tuple((i, w) for i, w in enumerate(x[3]) if votes.get((i, w), 0) >= 2**level)
+                        if len(fixed) >= 3 and len(fixed) >= 0.7 * len(x[3]) and x not in members.get(fixed, []):
+                            members.setdefault(fixed, []).append(x)
+                texts = {fixed: len({x[1] for x in lines}) for fixed, lines in members.items() if enough(lines)}
+                for x in group:
+                    # Of templates of one line with equal texts and sizes there is one only: levels are nested.
+                    best = max(((n, len(fixed), fixed) for fixed, n in texts.items() if x in members[fixed]), default=None)
+                    if best:
+                        templates.setdefault((leaf, best[2]), []).append(x)
+                        continue
+                    voted = [(votes[p], -p[0], p[1]) for p in enumerate(x[3]) if p in votes]
+                    split = max((v for v in voted if v[0] < len(voters)), default=None)
+                    if len(voted) >= 3 and len(voted) >= 0.7 * len(x[3]) and split:
+                        below.setdefault((leaf, split), []).append(x)
+                    else:
+                        templates.setdefault(tuple(x[3]), []).append(x)
+            parts = below
+        for group in parts.values():
+            for x in group:
+                templates.setdefault(tuple(x[3]), []).append(x)
     out = set()
     for group in filter(enough, templates.values()):
         first = min(group, key=lambda x: (x[0], x[2]))
@@ -308,10 +323,15 @@ def test_recurring_lines(spark, documents, odd, none):
     leaf = [f"Thanks to all who read this page written by {n} today" for n in names]
     leaf += [f"Thanks to all who send us their old stamps from {n} again" for n in names]
     leaf += [f"Thanks to all who came along when {n} sang so very well" for n in names[:3]]
+    # Four templates of a leaf in equal shares: none has a majority.
+    leaf += [f"Please do not ever {verb} {n} {thing}" for verb, thing in (
+        ("feed", "any bread at the old pond"), ("send", "letters after the first heavy snow"),
+        ("call", "while the choir is still singing"), ("wake", "before noon on a long holiday"),
+    ) for n in names[:4]]
     several = [(i, line) for i, line in enumerate(leaf)] + [(90 + i, "Only two texts have this line here") for i in range(2)]
     several += [(95 + i, f"Only two texts have this line here\nbut they differ {n}") for i, n in enumerate(names[:1])]
     got = {(r.doc_id, r.at) for r in line_dedup.recurring_lines(spark.createDataFrame(several, "doc_id long, text string")).collect()}
-    assert got == {(i, 0) for i in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 13, 14)}
+    assert got == {(i, 0) for i in (1, 2, 3, 4, 5, 7, 8, 9, 10, 11, 13, 14, *range(16, 19), *range(20, 23), *range(24, 27), *range(28, 31))}
     for docs in (
         spark.createDataFrame(rows, "doc_id long, text string"),
         spark.createDataFrame(several, "doc_id long, text string"),
