@@ -476,6 +476,39 @@ def test_names_are_collision_free_beside_equal_hashes(spark):
     assert names[0] == names[2] and len(set(names.values())) == 3
 
 
+def test_texts_that_share_a_passage_are_not_paired(spark):
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = [passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200)) for _ in range(400)]
+    texts += [t.replace(" p150 ", " q ") for t in texts[:20]]  # 20 pairs at 0.98
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [(i, i, near_texts.shingles(t).view(np.int64).tolist()) for i, t in enumerate(texts)]
+    pairs = near_texts.candidates(spark.createDataFrame(sets, "node long, part long, hashes array<long>")).collect()
+    assert {tuple(sorted(p)) for p in pairs} == {(i, 400 + i) for i in range(20)}
+    got = {r.doc_id: r.component_id for r in near_texts.near_components(frame).collect()}
+    assert got == {i: i if i < 400 else i - 400 for i in range(420)}
+
+
+def test_rare_shingles_find_every_pair_from_08(spark):
+    rng = np.random.default_rng(6)
+    sets = []
+    for g in range(60):
+        base = rng.choice(4000, rng.integers(1, 60), replace=False)
+        for _ in range(6):
+            keep = base[rng.random(len(base)) < rng.choice([0.8, 0.9, 1.0])]
+            sets.append(sorted({*keep.tolist(), *rng.integers(4000, 8000, rng.integers(0, 4)).tolist()}))
+    rows = [(i, i // 2, s) for i, s in enumerate(sets)]
+    got = {tuple(sorted(p)) for p in near_texts.candidates(spark.createDataFrame(rows, "node long, part long, hashes array<long>")).collect()}
+    held = [set(s) for s in sets]
+    true = {
+        (i, j)
+        for j in range(len(sets))
+        for i in range(j)
+        if i // 2 != j // 2 and held[i] and held[j] and len(held[i] & held[j]) * 5 >= len(held[i] | held[j]) * 4
+    }
+    assert len(true) > 100 and true <= got
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(6)
     centres = rng.standard_normal((60, 32))
