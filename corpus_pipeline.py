@@ -2,8 +2,10 @@
 
 1. toxicity: documents that the class models reject go.
 2. line_templates: recurring lines are taken out of the texts; no document goes.
-3. simhash: one document of each group of near-duplicates stays: five-word shingles
-   with a Jaccard share of 0.8 or more, checked exactly (see ``near_texts``).
+3. simhash: one document of each group of near-duplicates stays.  Candidates come from
+   SimHash fingerprints of five-word shingles through op7's byte-position index, those
+   beyond its bits from min-hash bands; a Jaccard share of 0.8 or more is checked exactly
+   (see ``near_texts``).
 4. mixture: sources are brought to their target weights; a document's row stands
    once for each time it is taken, the last one perhaps cut short.
 5. packing: pieces of token sequences.

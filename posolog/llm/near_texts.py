@@ -1,11 +1,13 @@
 """Near-duplicate texts: sets of five-word shingles with a Jaccard share of 0.8 or more.
 
-A pair at 0.8 differs in about 10 of the 64 bits of a SimHash (standard deviation 3),
-while an index of its positional bytes finds every pair only up to 7 bits; candidates
-therefore come from min-hashes of the sets.  Two sets are candidates if all five
-min-hashes of one of 24 bands are equal: a pair at 0.8 is missed with a chance of
-7 in 100,000, a closer one more seldom.  Every candidate is checked on its whole sets,
-so no pair below 0.8 is linked.
+Candidates are first those of SimHash: each set has a fingerprint, the majority of the
+bits of its shingles' hashes, and the byte-position index of ``simhash`` with its count
+of five shared bytes finds the fingerprints that differ in up to 3 bits.  A pair at 0.8
+differs in about 10 of the 64 bits (standard deviation 3), beyond what an index of
+positional bytes can promise (7 bits), so the sets also meet by min-hashes: two are
+candidates as well if all five min-hashes of one of 24 bands are equal, which misses a
+pair at 0.8 with a chance of 7 in 100,000, a closer one more seldom.  Every candidate of
+either kind is checked on its whole sets, so no pair below 0.8 is linked.
 
 Equal sets are one node, named by 128 bits.  Each band's nodes are first linked to
 its smallest only, so many copies of one text are never all pairs.  Nodes of a band
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from posolog.llm.common import stored, text_or_empty
 from posolog.llm.graph import components
-from posolog.llm.simhash import SEED
+from posolog.llm.simhash import SEED, bit_counts, majority, near_fingerprints
 
 SHINGLE = 5
 BANDS = 24
@@ -71,6 +73,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The majority of the bits of a set's hashes; 0 of the empty set."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        total += bit_counts(hashes[at : at + 65536])
+    return majority(total, len(hashes))
+
+
 def _node(hashes: np.ndarray) -> bytes:
     from xxhash import xxh128_digest
 
@@ -85,9 +95,10 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column("doc_id"),
                 pa.array([_node(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
+                pa.array(np.array([set_fingerprint(s) for s in sets], np.uint64).view(np.int64)),
                 pa.array([bands(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
             ],
-            ["doc_id", "node", "n", "bands"],
+            ["doc_id", "node", "n", "value", "bands"],
         )
 
 
@@ -118,6 +129,26 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.filter(both * 9 >= (F.size("one") + F.size("other")) * 4).select("a", "b")
 
 
+def simhash_candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of (node, n, value) whose fingerprints the index of ``simhash`` links.
+
+    Of equal fingerprints the smallest node stands for all and is paired with each.
+    """
+    marked = nodes.filter("n > 0").select("node", "n", "value")
+    first = stored(marked.groupBy("value").agg(F.min(F.struct("node", "n")).alias("first")))
+    equal = marked.join(first, "value").select(
+        F.col("node").alias("a"), F.col("n").alias("one"), F.col("first.node").alias("b"), F.col("first.n").alias("other")
+    )
+    ends = [
+        first.select(F.col("value").alias(end), F.col("first.node").alias(f"{end}_node"), F.col("first.n").alias(f"{end}_n"))
+        for end in ("a", "b")
+    ]
+    linked = near_fingerprints(first.select("value")).distinct().join(ends[0], "a").join(ends[1], "b")
+    near = linked.select(F.col("a_node").alias("a"), F.col("a_n").alias("one"), F.col("b_node").alias("b"), F.col("b_n").alias("other"))
+    pairs = equal.filter("a <> b").unionByName(near)
+    return pairs.filter(_may_be_near(F.col("one"), F.col("other"))).select("a", "b")
+
+
 def candidates(sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different parts that may share 0.8 of their union.
 
@@ -150,23 +181,31 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, component_id: one row per row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    marked = stored(rows.mapInArrow(_marked, f"doc_id {kind}, node binary, n int, bands array<long>"))
+    marked = stored(rows.mapInArrow(_marked, f"doc_id {kind}, node binary, n int, value long, bands array<long>"))
     nodes = stored(
-        marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+        marked.groupBy("node").agg(
+            F.min("doc_id").alias("least"),
+            *[F.any_value(c).alias(c) for c in ("n", "value", "bands")],
+        )
     )
+    by_fingerprint = stored(simhash_candidates(nodes))
     postings = nodes.select("node", "n", F.explode("bands").alias("band"))
     smallest = postings.groupBy("band").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("nodes"))
     met = stored(postings.join(smallest.filter("nodes > 1").drop("nodes"), "band"))
     # The sets are needed of nodes that have met another only.
+    needed = met.select("node").unionByName(
+        by_fingerprint.select(F.explode(F.array("a", "b")).alias("node"))
+    )
     texts = (
         rows.mapInArrow(_named, "node binary, text string")
-        .join(met.select("node").distinct(), "node", "left_semi")
+        .join(needed.distinct(), "node", "left_semi")
         .groupBy("node")
         .agg(F.any_value("text").alias("text"))
     )
     sets = stored(texts.mapInArrow(_sets, "node binary, hashes array<long>"))
     stars = met.filter(_may_be_near(F.col("n"), F.col("first.n")))
-    links = stored(_near(stars.select(F.col("node").alias("a"), F.col("first.node").alias("b")), sets))
+    starred = stars.select(F.col("node").alias("a"), F.col("first.node").alias("b"))
+    links = stored(_near(by_fingerprint.unionByName(starred), sets))
     parts = stored(components(links))
     # Nodes of a band that are still apart meet by their rare shingles.
     placed = stored(

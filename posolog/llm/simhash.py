@@ -58,9 +58,18 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
             [xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts[at : at + 65536].tolist(), last[at : at + 65536])],
             np.uint64,
         )
-        total[:] += np.unpackbits(part[: n - at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * total > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        total[:] += bit_counts(part)
+    return majority(total, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes from their counts of set bits."""
+    return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -137,18 +146,22 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
-    spark = docs.sparkSession
-    marked = stored(fingerprints(docs, id_col, text_col))
-    nodes = stored(marked.groupBy("value").agg(F.min("doc_id").alias("least")))
+def near_fingerprints(values: DataFrame) -> DataFrame:
+    """(a, b): links among distinct fingerprints (``value``) through the index, as trees of its entries."""
     # One fingerprint has 56 postings: spread them before they are written.
-    index = nodes.select("value").mapInArrow(_postings, "entry long, value long")
-    links = (
-        index.repartition(partitions(spark), "entry")
+    index = values.mapInArrow(_postings, "entry long, value long")
+    return (
+        index.repartition(partitions(values.sparkSession), "entry")
         .sortWithinPartitions("entry", "value")
         .mapInArrow(_links, "a long, b long")
     )
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per row of ``docs``."""
+    marked = stored(fingerprints(docs, id_col, text_col))
+    nodes = stored(marked.groupBy("value").agg(F.min("doc_id").alias("least")))
+    links = near_fingerprints(nodes.select("value"))
     parts = components(stored(links.distinct()))
     placed = nodes.join(parts, F.col("value") == F.col("node"), "left").select(
         "value", "least", F.coalesce("component", "value").alias("part")

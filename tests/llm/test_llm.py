@@ -427,6 +427,29 @@ def test_near_texts_are_linked_from_a_jaccard_share_of_08(spark, documents, odd,
     assert near_texts.near_components(none).collect() == []
 
 
+def test_simhash_index_gives_the_pairs_within_its_bits(spark):
+    """Stage ``simhash``: fingerprints of five-word shingles up to three bits apart meet in op7's index."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(40):
+        words = [f"w{i}x{k}" for k in rng.integers(0, 10**6, 600)]
+        texts += [" ".join(words), " ".join(words) + " end", " ".join(words[1:])]
+    texts += [texts[0] + " " + texts[0], ""]  # nearly one set; the empty one meets none
+    sets = [near_texts.shingles(t) for t in texts]
+    prints = [near_texts.set_fingerprint(s) for s in sets]
+    assert prints[0] == int(np.packbits(2 * np.unpackbits(sets[0].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=int) > len(sets[0]), bitorder="little").view(np.uint64)[0])
+    rows = [(bytes([i]), len(s), int(np.uint64(f).astype(np.int64))) for i, (s, f) in enumerate(zip(sets, prints, strict=True))]
+    found = near_texts.simhash_candidates(spark.createDataFrame(rows, "node binary, n int, value long")).collect()
+    pairs = {tuple(sorted((r.a[0], r.b[0]))) for r in found}
+    size = len(texts)
+    bits = [[bin(prints[i] ^ prints[j]).count("1") for j in range(size)] for i in range(size)]
+    assert pairs and all(bits[i][j] <= simhash.MOST_BITS for i, j in pairs)
+    names = list(range(size - 1))
+    near = brute_components(names, lambda i, j: bits[i][j] <= simhash.MOST_BITS and min(len(sets[i]), len(sets[j])) * 5 >= max(len(sets[i]), len(sets[j])) * 4)
+    got = brute_components(names, lambda i, j: tuple(sorted((i, j))) in pairs)
+    assert got == near
+
+
 def test_large_entries_are_linked_like_small_ones(monkeypatch):
     rng = np.random.default_rng(3)
     values = np.unique(rng.integers(0, 1 << 12, 300).astype(np.uint64))
