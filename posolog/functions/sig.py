@@ -38,7 +38,7 @@ _POSITIVE_LEADING = r"^(?=[\d.]*[1-9])" + V.NUMBER
 
 
 def normalised(text: Column) -> Column:
-    return squish(F.lower(text.cast("string")))
+    return squish(F.lower(text.cast("string")), text.cast("string"))
 
 
 def is_blank(text: Column) -> Column:
@@ -62,9 +62,11 @@ def words_replaced(text: Column) -> Column:
 
 
 def remarks_removed(text: Column) -> Column:
-    """Without parentheticals that hold no amount, such as ``(twelve)``."""
+    """Without parentheticals that hold no amount, such as ``(twelve)``; of a squished text."""
     without = F.regexp_replace(text, words(V.WORD_ONLY_PARENTHETICAL), "")
-    return squish(F.when(text.contains("("), without).otherwise(text))
+    # From the parenthesis on, the pattern tells at once where it cannot match.
+    some = text.contains("(") & text.rlike(words(V.WORD_ONLY_PARENTHETICAL.removeprefix(r"\s*")))
+    return F.when(some, squish(without)).otherwise(text)
 
 
 def _frequency_rules(text: Column) -> list[Column]:
@@ -232,10 +234,9 @@ def _read(df: DataFrame, sig_col: str, readings: list[bool]) -> tuple[DataFrame,
     named_tablets = {f"tablets{n}": F.when(text.isNotNull(), t) for n, t in enumerate(tablets)}
     out = step(out, **named_tablets, duration=duration(text))
     rules = _frequency_rules(text)
-    out = step(out, freq=F.coalesce(*rules[:7]))
-    out = step(out, freq=F.coalesce(freq, *rules[7:12]))
-    out = step(out, freq=F.coalesce(freq, *rules[12:17]))
-    out = step(out, freq=F.coalesce(freq, *rules[17:]))
+    out = step(out, freq=F.coalesce(*rules[:4]))
+    for first, last in ((4, 7), (7, 10), (10, 13), (13, 17), (17, 21)):
+        out = step(out, freq=F.coalesce(freq, *rules[first:last]))
     out = step(
         out,
         taper=F.coalesce(matches(text, V.TAPER_WORD), F.lit(False)),

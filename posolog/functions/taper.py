@@ -10,12 +10,12 @@ from it a few at a time by ``operators.parse``, never from an array of all steps
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
 from posolog.functions.sig import frequency, normalised, unit_days
-from posolog.functions.values import squish, words
+from posolog.functions.values import contains_any, evaluated, squish, words
 
 
 # Days from year 1 to 9999: a decrement schedule that runs longer has no dates, so
@@ -23,18 +23,39 @@ from posolog.functions.values import squish, words
 CALENDAR_DAYS = 3_652_059
 
 
-def _spelled_out_steps(text: Column) -> Column:
-    pattern = words(V.TAPER_STEP)
+def _pieces(text: Column) -> Column:
+    return F.filter(
+        F.transform(F.split(text, V.TAPER_SEPARATOR), squish), lambda p: p != ""
+    )
+
+
+def _spelled_out_steps(pieces: Column) -> Column:
+    """Steps of the pieces that name a dose and a time; the frequency is read of these only."""
+    # The match begins with the dose and ends with the time: the costly pattern runs once.
+    leading, trailing = "(?U)^" + V.NUMBER, "(?U)(" + V.NUMBER + r")\s*([a-z]+)$"
+
+    def found(piece: Column) -> Column:
+        return F.struct(
+            F.regexp_extract(piece, words(V.TAPER_STEP), 0).alias("match"), piece.alias("piece")
+        )
 
-    def read(piece: Column) -> Column:
+    def read(step: Column) -> Column:
+        match = step["match"]
         return F.struct(
-            F.regexp_extract(piece, pattern, 1).try_cast("double").alias("dose"),
+            F.regexp_extract(match, leading, 0).try_cast("double").alias("dose"),
             (
-                F.regexp_extract(piece, pattern, 2).try_cast("double")
-                * unit_days(F.regexp_extract(piece, pattern, 3))
+                F.regexp_extract(match, trailing, 1).try_cast("double")
+                * unit_days(F.regexp_extract(match, trailing, 2))
             ).alias("days"),
-            F.coalesce(frequency(piece), F.lit(1.0)).alias("freq"),
-            piece.rlike(V.TAPER_PER_DOSE).alias("per_dose"),
+            step["piece"].alias("piece"),
+        )
+
+    def with_frequency(step: Column) -> Column:
+        return F.struct(
+            step["dose"].alias("dose"),
+            step["days"].alias("days"),
+            F.coalesce(frequency(step["piece"]), F.lit(1.0)).alias("freq"),
+            step["piece"].rlike(V.TAPER_PER_DOSE).alias("per_dose"),
         )
 
     def daily(step: Column) -> Column:
@@ -45,14 +66,13 @@ def _spelled_out_steps(text: Column) -> Column:
             step["days"].alias("days"),
         )
 
-    pieces = F.filter(
-        F.transform(F.split(text, V.TAPER_SEPARATOR), squish), lambda p: p != ""
-    )
     complete = F.filter(
-        F.transform(pieces, read),
+        F.transform(F.transform(pieces, found), read),
         lambda s: s["dose"].isNotNull() & s["days"].isNotNull(),
     )
-    return F.when(F.size(pieces) >= 2, F.transform(complete, daily))
+    # One step is no schedule, whatever its frequency.
+    several = F.filter(F.array(complete), lambda steps: F.size(steps) >= 2)
+    return F.get(F.transform(several, lambda steps: F.transform(F.transform(steps, with_frequency), daily)), F.lit(0))
 
 
 def _decrement(text: Column) -> Column:
@@ -96,20 +116,44 @@ def _started(steps: Column) -> Column:
     return F.transform(steps, place)
 
 
-def taper_plan(sig: Column) -> Column:
-    """``struct<steps, falling>`` of which one is NULL, or NULL when not decomposable."""
-    text = normalised(sig)
+def _may_taper(text: Column) -> Column:
     mentions = F.size(F.regexp_extract_all(text, F.lit(V.TAPER_MG_MENTION), F.lit(0)))
-    gate = text.rlike(V.TAPER_GATE_WORD) | (mentions >= 2)
+    return text.rlike(V.TAPER_GATE_WORD) | (mentions >= 2)
+
+
+def _plan(text: Column, pieces: Column) -> Column:
     # Arrays of at most one reading name each once; the spelled-out one wins.
-    spelled = F.filter(F.array(_started(_spelled_out_steps(text))), lambda s: F.size(s) >= 2)
+    steps = F.when(F.size(pieces) >= 2, _spelled_out_steps(pieces))
+    spelled = F.filter(F.transform(F.array(steps), _started), lambda s: F.size(s) >= 2)
+    decrement = F.when(contains_any(text, _DECREMENT_WORDS), _decrement(text))
     plans = F.concat(
         F.transform(spelled, lambda s: F.struct(s.alias("steps"), F.lit(None).cast(_FALLING).alias("falling"))),
-        F.transform(_decrement(text), lambda f: F.struct(F.lit(None).cast(_STEPS).alias("steps"), f.alias("falling"))),
+        F.coalesce(
+            F.transform(decrement, lambda f: F.struct(F.lit(None).cast(_STEPS).alias("steps"), f.alias("falling"))),
+            F.array().cast(f"array<struct<steps:{_STEPS},falling:{_FALLING}>>"),
+        ),
     )
-    return F.when(gate, F.get(plans, F.lit(0)))
+    return F.get(plans, F.lit(0))
+
+
+def taper_plan(sig: Column) -> Column:
+    """``struct<steps, falling>`` of which one is NULL, or NULL when not decomposable."""
+    text = normalised(sig)
+    return F.when(_may_taper(text), _plan(text, _pieces(text)))
+
+
+def add_taper_plan(df: DataFrame, sig: Column, out_col: str) -> DataFrame:
+    """``taper_plan`` as a column, its text and pieces each computed once per row."""
+    out = evaluated(df, {"__taper_text": normalised(sig)})
+    text = F.col("__taper_text")
+    out = evaluated(out, {"__taper_pieces": F.when(_may_taper(text), _pieces(text))})
+    pieces = F.col("__taper_pieces")
+    out = evaluated(out, {out_col: F.when(pieces.isNotNull(), _plan(text, pieces))})
+    return out.drop("__taper_text", "__taper_pieces")
 
 
+#: Every text that ``V.TAPER_DECREMENT`` matches holds one of these.
+_DECREMENT_WORDS = ("decreas", "reduce", "taper", "drop")
 _STEPS = "array<struct<dose:double,freq:double,days:double,before:double>>"
 _FALLING = "struct<start:double,by:double,days:double,count:int>"
 

@@ -14,6 +14,10 @@ from posolog.functions import fixed_values as V
 _NUMERIC_TEXT = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
 
 
+#: White space of ASCII that ``squish`` rewrites.
+_SPACES = ("  ", "\t", "\n", "\x0b", "\f", "\r")
+
+
 def words(pattern: str) -> str:
     """Make ``\\b``, ``\\w`` and ``\\s`` follow Unicode on every Java version."""
     return "(?U)" + pattern if any(c in pattern for c in (r"\b", r"\w", r"\s")) else pattern
@@ -47,32 +51,46 @@ def contains_any(text: Column, parts: Iterable[str]) -> Column:
     return found
 
 
+def _sooner(pattern: str) -> str:
+    """The same matches, with what they open with looked up before any word boundary."""
+    opening = _opening_text(pattern)
+    if pattern.startswith(r"\b") and opening:
+        return f"(?={re.escape(opening)}){pattern}"
+    return r"(?=\d)" + pattern if pattern.startswith(r"(?<!\()\b(\d") else pattern
+
+
 def matches(text: Column, pattern: str, *hints: str) -> Column:
     """``text.rlike(pattern)``, cheaper.
 
-    Plain alternatives become ``contains``.  The others run as one regular
-    expression, only on texts that hold the text they open with (or one of
-    ``hints``, which the caller guarantees to be part of every match).
+    Plain alternatives become ``contains``.  The others run as regular expressions,
+    each only on texts that hold the text it opens with (or all as one on texts with
+    one of ``hints``, which the caller guarantees to be part of every match).
     """
     plain = [a for a in _alternatives(pattern) if re.fullmatch(r"[a-z0-9 -]+", a)]
-    others = [a for a in _alternatives(pattern) if a not in plain]
+    others: dict[str, list[str]] = {}
+    for a in _alternatives(pattern):
+        if a not in plain:
+            others.setdefault("" if hints else _opening_text(a), []).append(_sooner(a))
     found = contains_any(text, plain) if plain else None
-    if others:
-        regex = text.rlike(words("|".join(others)))
-        needed = list(hints) or [_opening_text(a) for a in others]
+    for opening, patterns in others.items():
+        regex = text.rlike(words("|".join(patterns)))
+        needed = list(hints) or [opening]
         if all(needed):
             regex = contains_any(text, needed) & regex
         found = regex if found is None else found | regex
     return found
 
 
-def squish(text: Column) -> Column:
+def squish(text: Column, source: Column | None = None) -> Column:
     """Trim and collapse every run of white space to one blank.
 
     Only runs and characters that change are matched, so ordinary text is read
-    once and not rewritten.
+    once and not rewritten; ASCII text without any runs through no regular expression.
+    ``source`` is the text before a change of case, if it is cheaper to read.
     """
-    return F.trim(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " "))
+    seen = text if source is None else source
+    ordinary = (F.octet_length(seen) == F.char_length(seen)) & ~contains_any(seen, _SPACES)
+    return F.trim(F.when(ordinary, text).otherwise(F.regexp_replace(text, r"(?U)\s{2,}|[\s&&[^ ]]", " ")))
 
 
 def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -122,7 +140,7 @@ def matched_number(text: Column, pattern: str, *hints: str) -> Column:
 
     ``hints`` are texts of which every match contains at least one.
     """
-    found = F.regexp_extract(text, words(pattern), 0)
+    found = F.regexp_extract(text, words(_sooner(pattern)), 0)
     value = F.regexp_extract(found, V.NUMBER, 0).try_cast("double")
     return F.when(contains_any(text, hints), value) if hints else value
 
@@ -145,7 +163,7 @@ def standard_drug_name(
 
 
 def clean_name(text: Column) -> Column:
-    return squish(F.lower(text.cast("string")))
+    return squish(F.lower(text.cast("string")), text.cast("string"))
 
 
 def canonical_name(

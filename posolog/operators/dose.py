@@ -24,8 +24,9 @@ from posolog.operators.filters import (
     plausible,
     with_drug_name,
 )
-from posolog.operators.parse import expand_tapers, parse_sig, take_reading
+from posolog.operators.parse import expand_tapers, parse_both, take_reading
 from posolog.schema import first_present, optional, require_columns
+from posolog.session import written
 
 log = logging.getLogger(__name__)
 
@@ -184,7 +185,7 @@ def _auto_parsed(
     source = {c: f"__src_{c}" for c in PARSED_FIELDS if c in df.columns}
     given = [source[c] for c in ("tablets", "freq_per_day") if c in source]
     kept = df.withColumns({new: F.col(old) for old, new in source.items()})
-    parsed = parse_sig(kept, "sig")
+    parsed = take_reading(kept, "sig", advanced=False)
     dose_from_sig = None if strict_original else "daily_dose_mg"
 
     if not given:
@@ -385,13 +386,23 @@ def calc_daily_dose_nlp_advanced(
 
 
 def dose_side_by_side(df: DataFrame, expand_tapers: bool = False) -> DataFrame:
-    """Record-level doses of the three methods stacked under a ``method`` label."""
-    baseline = calc_daily_dose_baseline(df).withColumnRenamed(
+    """Record-level doses of the three methods stacked under a ``method`` label.
+
+    Where all three read the same names and texts, the oral rows are written with both
+    readings of their texts first: names, routes and texts are read once.
+    """
+    shared = {"sig", "drug_concept_name"} <= set(df.columns) and "drug_name_std" not in df.columns
+    shared = shared and not df.isStreaming
+    if shared:
+        df = written(parse_both(oral_only(known_steroids(with_drug_name(df)))))
+    baseline = calc_daily_dose_baseline(df, filter_oral=not shared).withColumnRenamed(
         "daily_dose_mg_imputed", "dose_mg"
     )
-    nlp = calc_daily_dose_nlp(df).withColumnRenamed("daily_dose_mg", "dose_mg")
+    nlp = calc_daily_dose_nlp(df, filter_oral=not shared).withColumnRenamed(
+        "daily_dose_mg", "dose_mg"
+    )
     advanced = calc_daily_dose_nlp_advanced(
-        df, expand_tapers=expand_tapers
+        df, expand_tapers=expand_tapers, filter_oral=not shared
     ).withColumnRenamed("daily_dose_mg", "dose_mg")
     stacked = [
         d.withColumn("method", F.lit(name))

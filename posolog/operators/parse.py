@@ -12,8 +12,7 @@ from posolog.functions.sig import (
     add_both_readings,
     add_parsed_sig,
 )
-from posolog.functions.taper import step_count, step_of, taper_plan, taper_schedule
-from posolog.functions.values import evaluated
+from posolog.functions.taper import add_taper_plan, step_count, step_of, taper_schedule
 from posolog.schema import require_columns
 
 
@@ -95,13 +94,13 @@ def add_taper_schedule(
 STEPS_AT_ONCE = 256
 
 
-def _step_rows(df: DataFrame, plan: Column) -> DataFrame:
-    """A row per step of ``plan`` with ``__step``; without a plan one row with NULL.
+def _step_rows(df: DataFrame, sig: Column) -> DataFrame:
+    """A row per step of the plan of ``sig`` with ``__step``; without a plan one row with NULL.
 
     Steps are numbered in two goes, so a row never holds more than the numbers of
     its portions and of one portion, however long its schedule is.
     """
-    planned = evaluated(df, {"__plan": plan})
+    planned = add_taper_plan(df, sig, "__plan")
     last = step_count(F.col("__plan")) - 1
     portions = F.sequence(F.lit(0), F.floor(last / STEPS_AT_ONCE).cast("int"))
     dealt = planned.select("*", F.explode_outer(portions).alias("__portion"))
@@ -115,7 +114,7 @@ def _step_rows(df: DataFrame, plan: Column) -> DataFrame:
 def taper_steps(df: DataFrame, sig_col: str = "sig") -> DataFrame:
     """The rows with a schedule, once per step, with the fields of the step."""
     require_columns(df, [sig_col])
-    rows = _step_rows(df, taper_plan(F.col(sig_col))).where("__step IS NOT NULL")
+    rows = _step_rows(df, F.col(sig_col)).where("__step IS NOT NULL")
     return rows.select(*df.columns, "__step.*")
 
 
@@ -129,7 +128,7 @@ def expand_tapers(df: DataFrame, sig_col: str = "sig") -> DataFrame:
     overridden = ("daily_dose_mg", "freq_per_day", "duration_days")
     is_taper = F.col("parsed_status") == "taper"
     step = F.col("__step")
-    exploded = _step_rows(df, F.when(is_taper, taper_plan(F.col(sig_col))))
+    exploded = _step_rows(df, F.when(is_taper, F.col(sig_col)))
     return exploded.withColumns(
         {
             **{c: F.coalesce(step[c], F.col(c)) for c in overridden},

@@ -3,6 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from posolog.functions import fixed_values as V
+from posolog.functions.taper import taper_plan
+from posolog.functions.values import squish
+from posolog.operators.dose import dose_side_by_side
 from posolog.operators.parse import (
     add_taper_schedule,
     expand_tapers,
@@ -183,3 +187,33 @@ def test_filter_does_not_repeat_the_parse(spark):
     df = spark.createDataFrame([("5 mg daily",)], "sig string").repartition(2)
     plan = parse_sig(df).where(F.col("daily_dose_mg") > 3)._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("every\\s*(\\d+(?:\\.\\d+)?)\\s*weeks?") == 1
+
+
+def test_white_space_is_squished_alike_with_and_without_other_letters(spark):
+    texts = ["a  b", " a b ", "a\tb", "a\x0b\x0cb\r\nc", "a b", "é  b", "a\x1cb", "", "  ", "é b", "plain text"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in rows.select(squish(F.col("t"))).collect()]
+    want = [r[0] for r in rows.select(F.trim(F.regexp_replace("t", r"(?U)\s{2,}|[\s&&[^ ]]", " "))).collect()]
+    assert got == want
+
+
+def test_spelled_out_steps_are_planned_without_nesting(spark):
+    """The steps' expression stood inside its own lambda and was read anew for each step."""
+    rows = spark.createDataFrame([("40 mg daily for 2 weeks, then 20 mg bid per dose x 3 days; 5 mg for 1.5 months",)], "sig string")
+    plan = taper_plan(F.col("sig"))
+    (r,) = rows.select(plan.alias("p")).collect()
+    assert [(s.dose, s.freq, s.days, s.before) for s in r.p.steps] == [
+        (40.0, 1.0, 14.0, 0.0), (40.0, 2.0, 3.0, 14.0), (5.0, 1.0, 45.0, 17.0)]
+    text = rows.select(plan.alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("[^.!?;]{0,50}") == 1
+
+
+def test_texts_are_read_once_for_the_stacked_methods(spark):
+    rows = spark.createDataFrame(
+        [(1, "prednisone 5 MG oral tablet", "oral", "take 2 tablets (5 mg) daily", None)],
+        "person_id long, drug_concept_name string, route_concept_name string, sig string, quantity double",
+    ).withColumn("drug_exposure_start_date", F.lit("2020-01-01").cast("date"))
+    rows = rows.withColumn("drug_exposure_end_date", F.lit("2020-01-10").cast("date"))
+    out = dose_side_by_side(rows)
+    assert {(r.method, r.dose_mg) for r in out.collect()} == {("Baseline", 10.0), ("NLP", 10.0), ("Advanced NLP", 10.0)}
+    assert V.MG_TOTAL not in out._jdf.queryExecution().optimizedPlan().toString()
