@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from posolog.llm.common import partitions, runs, stored, text_or_empty, whole_groups
+from posolog.llm.common import partitions, runs, stored, stored_alone, text_or_empty, whole_groups
 
 LENGTH = 100
 BLOCK = 28
@@ -364,7 +364,7 @@ def repeated_spans(rows: DataFrame, cover: str = "difference") -> DataFrame:
     spark = rows.sparkSession
     n = partitions(spark)
     bits = max(4, (4 * n - 1).bit_length())
-    names = stored(
+    names = stored_alone(  # its packed sample positions are three times the texts
         rows.select("doc", "body").mapInArrow(_step1(bits, cover), _SCHEMA)
         .repartition(n, "bucket")
         .sortWithinPartitions("bucket")

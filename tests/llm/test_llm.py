@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from posolog.llm import cap_filters, exact_dedup, html_text, line_dedup, mixing, near_texts, packing, repeated_bytes, simhash
+from posolog.llm import cap_filters, common, exact_dedup, html_text, line_dedup, mixing, near_texts, packing, repeated_bytes, simhash
 from posolog.llm import token_counts, toxicity
 from posolog.llm.graph import components
 from posolog.llm.queries import CHECKS, QUERIES, vocabulary
@@ -427,6 +427,20 @@ def test_near_texts_are_linked_from_a_jaccard_share_of_08(spark, documents, odd,
     assert near_texts.near_components(none).collect() == []
 
 
+def test_shuffle_files_of_a_stored_step_go_with_it(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    rows = spark.range(1000).repartition(3, "id")
+    before = held()
+    kept = common.stored_alone(rows)
+    assert not held() - before
+    common.stored(rows)
+    assert held() - before  # these stay until they are collected
+    assert kept.count() == 1000
+
+
 def test_simhash_index_gives_the_pairs_within_its_bits(spark):
     """Stage ``simhash``: fingerprints of five-word shingles up to three bits apart meet in op7's index."""
     rng = np.random.default_rng(7)
