@@ -14,6 +14,7 @@ from posolog.functions import fixed_values as V
 from posolog.functions.values import (
     contains_any,
     evaluated,
+    first_number,
     matched_number,
     matches,
     squish,
@@ -78,8 +79,7 @@ def _frequency_rules(text: Column) -> list[Column]:
 
     def leading_count(pattern: str, *hints: str) -> Column:
         found = F.regexp_extract(text, words(pattern), 0)
-        value = F.regexp_extract(found, _POSITIVE_LEADING, 0).try_cast("double")
-        return F.when(contains_any(text, hints), value)
+        return F.when(contains_any(text, hints), first_number(found, _POSITIVE_LEADING))
 
     def per(amount: float, pattern: str, *hints: str) -> Column:
         return F.try_divide(F.lit(amount), matched_number(text, pattern, *hints))
@@ -138,7 +138,7 @@ def tablets_advanced(text: Column, fraction: Column) -> Column:
     half = F.lit(0.5)
     return F.coalesce(
         matched_number(text, V.N_AND_A_HALF, "half") + half,
-        fraction.try_cast("double"),
+        F.when(~fraction.isin("", "1/2", "½"), fraction.try_cast("double")),
         F.when(fraction.isin("1/2", "½"), half),
         F.when(
             text.contains("half"),
@@ -170,7 +170,7 @@ def unit_days(unit: Column) -> Column:
 
 def duration(text: Column) -> Column:
     found = F.regexp_extract(text, words(V.DURATION), 0)
-    days = F.regexp_extract(found, V.NUMBER, 0).try_cast("double") * unit_days(found)
+    days = first_number(found) * unit_days(found)
     return F.when(contains_any(text, ["for", "x"]), days)
 
 

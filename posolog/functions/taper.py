@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
 from posolog.functions.sig import frequency, normalised, unit_days
-from posolog.functions.values import contains_any, evaluated, squish, words
+from posolog.functions.values import contains_any, evaluated, first_number, squish, words
 
 
 # Days from year 1 to 9999: a decrement schedule that runs longer has no dates, so
@@ -42,9 +42,9 @@ def _spelled_out_steps(pieces: Column) -> Column:
     def read(step: Column) -> Column:
         match = step["match"]
         return F.struct(
-            F.regexp_extract(match, leading, 0).try_cast("double").alias("dose"),
+            first_number(match, leading).alias("dose"),
             (
-                F.regexp_extract(match, trailing, 1).try_cast("double")
+                first_number(F.regexp_extract(match, trailing, 1))
                 * unit_days(F.regexp_extract(match, trailing, 2))
             ).alias("days"),
             step["piece"].alias("piece"),
@@ -78,9 +78,9 @@ def _spelled_out_steps(pieces: Column) -> Column:
 def _decrement(text: Column) -> Column:
     """Array of the one (start, by, days, count), or empty."""
     pattern = words(V.TAPER_DECREMENT)
-    start = F.regexp_extract(text, V.TAPER_START, 1).try_cast("double")
-    by = F.regexp_extract(text, pattern, 1).try_cast("double")
-    every = F.coalesce(F.regexp_extract(text, pattern, 2).try_cast("double"), F.lit(1.0))
+    start = first_number(F.regexp_extract(text, V.TAPER_START, 1))
+    by = first_number(F.regexp_extract(text, pattern, 1))
+    every = F.coalesce(first_number(F.regexp_extract(text, pattern, 2)), F.lit(1.0))
     days = every * unit_days(F.regexp_extract(text, pattern, 3))
     # A one-element array names the three numbers so each is read once.
     found = F.filter(

@@ -140,11 +140,18 @@ def matched_number(text: Column, pattern: str, *hints: str) -> Column:
 
     ``hints`` are texts of which every match contains at least one.
     """
-    found = F.regexp_extract(text, words(_sooner(pattern)), 0)
-    value = F.regexp_extract(found, V.NUMBER, 0).try_cast("double")
+    value = first_number(F.regexp_extract(text, words(_sooner(pattern)), 0))
     return F.when(contains_any(text, hints), value) if hints else value
 
 
+def first_number(text: Column, pattern: str = V.NUMBER) -> Column:
+    """The first match of ``pattern`` as double; NULL without one.
+
+    An empty text is not cast: that throws and catches an exception for the row.
+    """
+    return F.get(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(0)).try_cast("double")
+
+
 def mg_in_name(text: Column) -> Column:
     """Strength named in a drug text, such as 10 in ``PREDNISONE 10 MG TABLET``."""
     return matched_number(F.lower(text), V.MG_IN_NAME)

@@ -8,7 +8,9 @@ source tables becomes a row here: nothing is sampled or left out.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from posolog.functions.values import evaluated
 from posolog.session import well_spread
 
 # Prescription texts by template number; {t} tablets and {m} milligrams vary.
@@ -313,8 +315,17 @@ def _sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def exposures(spark: SparkSession, sf_dir: str, with_daily_dose: bool = False) -> DataFrame:
-    extra = f", {DAILY_DOSE} AS daily_dose" if with_daily_dose else ""
-    return _sql(spark, sf_dir, exposure_sql(extra))
+    """The rows of ``exposure_sql``.
+
+    The long texts are made in steps of their own: in one method with all other columns
+    they exceed the size up to which the JVM compiles, and every row would be interpreted.
+    """
+    rows = _sql(spark, sf_dir, f"SELECT *, {STRENGTH_TEXT} AS st FROM ({KEYS_SQL}) AS keyed")
+    texts = ("sig", "drug_source_value", "drug_concept_name")
+    for name in texts:
+        rows = evaluated(rows, {name: F.expr(EXPOSURE_COLUMNS[name])})
+    made = {**EXPOSURE_COLUMNS, **({"daily_dose": DAILY_DOSE} if with_daily_dose else {})}
+    return rows.select(*[F.col(c) if c in texts else F.expr(sql).alias(c) for c, sql in made.items()])
 
 
 def gold_standard(spark: SparkSession, sf_dir: str) -> DataFrame:

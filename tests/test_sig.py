@@ -217,3 +217,51 @@ def test_texts_are_read_once_for_the_stacked_methods(spark):
     out = dose_side_by_side(rows)
     assert {(r.method, r.dose_mg) for r in out.collect()} == {("Baseline", 10.0), ("NLP", 10.0), ("Advanced NLP", 10.0)}
     assert V.MG_TOTAL not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generated_methods_stay_within_what_the_jvm_compiles(spark, tmp_path):
+    """HotSpot interprets methods beyond 8000 bytes; rows then take several times as long."""
+    from datetime import date
+
+    from posolog.operators.dose import calc_daily_dose_nlp
+    from posolog.plans import test_tables as tables
+
+    lines = [(k, k % 7, k % 5, 1 + k % 3, 10.0 + k, date(2020, 1, 1)) for k in range(60)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_shipdate date"
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, k % 13) for k in range(60)], "o_orderkey long, o_custkey long").write.parquet(
+        str(tmp_path / "orders.parquet")
+    )
+    rows = tables.exposures(spark, str(tmp_path), True)
+    plain = tables._sql(spark, str(tmp_path), tables.exposure_sql(f", {tables.DAILY_DOSE} AS daily_dose"))
+    assert rows.schema == plain.schema
+    assert sorted(map(str, rows.collect())) == sorted(map(str, plain.collect()))
+
+    compiler = getattr(
+        getattr(spark._jvm.org.apache.spark.sql.catalyst.expressions.codegen, "CodeGenerator$"), "MODULE$"
+    )
+
+    def sizes(plan):
+        own = []
+        if plan.getClass().getSimpleName() == "WholeStageCodegenExec":
+            own = [compiler.compile(plan.doCodeGen()._2())._2().maxMethodCodeSize()]
+        children = plan.children()
+        return own + [s for i in range(children.size()) for s in sizes(children.apply(i))]
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (rows.select("*"), calc_daily_dose_nlp(rows)):
+            assert 0 < max(sizes(df._jdf.queryExecution().executedPlan())) <= 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_first_number(spark):
+    from posolog.functions.values import first_number
+
+    texts = ["", None, "no", "0 mg", "2.5 mg, 10 mg", "x 007"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.v for r in df.select("i", first_number(F.col("t")).alias("v")).orderBy("i").collect()]
+    assert got == [None, None, None, 0.0, 2.5, 7.0]
