@@ -162,11 +162,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = stored(fingerprints(docs, id_col, text_col))
     nodes = stored(marked.groupBy("value").agg(F.min("doc_id").alias("least")))
     links = near_fingerprints(nodes.select("value"))
-    parts = components(stored(links.distinct()))
+    parts = components(links)  # written there, without repeats
     placed = nodes.join(parts, F.col("value") == F.col("node"), "left").select(
         "value", "least", F.coalesce("component", "value").alias("part")
     )
-    placed = stored(placed)
     first = placed.groupBy("part").agg(F.min("least").alias("component_id"))
     named = placed.join(first, "part").select("value", "component_id")
     return marked.join(named, "value").select(

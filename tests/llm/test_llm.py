@@ -761,3 +761,29 @@ def test_pipeline_stages(spark):
         len(library_word().encode(r.text or "", add_special_tokens=False).ids) + 1 for r in before.collect()
     )
     assert len(corpus.run(spark, SF).collect()) == len(pieces)
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """Every file that an executor writes to a local folder starts a process beside it."""
+    from posolog.llm import graph
+
+    files = []
+
+    def counted(df):
+        out = stored(df)
+        files.append(len(out.inputFiles()))
+        return out
+
+    stored = graph.stored
+    monkeypatch.setattr(graph, "stored", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 2000) for i in range(300)]
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys([*range(1000, 1300), 2000], 1000)}
+    assert len(files) > 2 and set(files[1:]) == {1}
