@@ -76,33 +76,35 @@ def compare_episodes(
         .groupBy(*key)
         .agg(F.count("*").alias("copies"))
     )
-    on = [("patient_id", "c_person")]
-    if methods:
-        labels = F.array(*[F.lit(m) for m in methods])
-        reviewed = reviewed.select("*", F.explode(labels).alias("method"))
-        key, on = ["method", *key], [("method", "c_method"), *on]
     pairs = overlap_join(
         reviewed,
-        candidates,
-        on,
+        candidates.where(F.col("c_method").isin(list(methods))) if methods else candidates,
+        [("patient_id", "c_person")],
         ("episode_start", "episode_end"),
         ("c_start", "c_end"),
-        how="left",
     )
     shared = overlap_days(
         F.col("episode_start"), F.col("episode_end"), F.col("c_start"), F.col("c_end")
     )
-    choice = F.when(
-        shared >= min_overlap_days,
-        F.struct(
-            (-shared).alias("less_overlap"),
-            F.col("c_drug"),
-            F.col("c_start"),
-            F.col("c_end"),
-            F.col("c_dose"),
-        ),
+    choice = F.struct(
+        (-shared).alias("less_overlap"),
+        F.col("c_drug"),
+        F.col("c_start"),
+        F.col("c_end"),
+        F.col("c_dose"),
+    )
+    if methods:
+        key = [*key, "method"]
+        pairs = pairs.withColumnRenamed("c_method", "method")
+        labels = F.array(*[F.lit(m) for m in methods])
+        reviewed = reviewed.select("*", F.explode(labels).alias("method"))
+    found = pairs.where(shared >= min_overlap_days).select(*key, "copies", choice.alias("choice"))
+    # A gold episode is a row without a choice beside its pairs, so it stays if none fits.
+    unmatched = reviewed.select(
+        *key, "copies", F.lit(None).cast(found.schema["choice"].dataType).alias("choice")
     )
-    best = pairs.groupBy(*key, "copies").agg(F.min(choice).alias("best"))
+    best = found.unionByName(unmatched).groupBy(*key, "copies").agg(F.min("choice").alias("best"))
+    key = [*(["method"] if methods else []), *[c for c in key if c != "method"]]
     one_per_copy = best.select(
         *key,
         F.col("best.c_dose").alias("computed_dose"),

@@ -7,56 +7,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_DAYS = 90
+SLICE_DAYS = 256
 #: A slice of one level holds this many (as a power of two) of the level below.
-WIDER_BITS = 6
-LEVELS = 3
+WIDER_BITS = 7
+LEVELS = 2
 
 
-def _between(low: Column, high: Column, level: int) -> Column:
+def _code(level: int, role: int) -> int:
+    """What the slice numbers of a level are counted from, so that no two codes agree."""
+    return (2 * level + role) << 56
+
+
+def _between(low: Column, high: Column, code: int) -> Column:
     """Codes of the slices ``low`` to ``high`` of a level; none where ``high`` is less."""
-    first = F.lit(level << 56)
     numbers = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(numbers, lambda n: first + n)
+    return F.transform(numbers, lambda n: F.lit(code) + n) if code else numbers
 
 
-def _cover(low: Column, high: Column) -> Column:
+def _cover(low: Column, high: Column, role: int) -> list[Column]:
     """The fewest slices of all levels that make up the finest slices ``low`` to ``high``.
 
     Each level holds the ends that do not fill a wider slice, the last one all the
-    rest, so that even an open end (the year 9999) is no more than some 300 slices.
+    rest, so that even an open end (the year 9999) is no more than some 350 slices.
+    ``low`` itself is always a finest slice.
     """
     parts = []
     within = (1 << WIDER_BITS) - 1
     for level in range(LEVELS - 1):
+        code = _code(level, role if level else 0)
         same = F.shiftright(low, WIDER_BITS) == F.shiftright(high, WIDER_BITS)
         parts += [
-            _between(low, F.when(same, high).otherwise(F.least(high, low.bitwiseOR(F.lit(within)))), level),
-            _between(F.when(same, high + 1).otherwise(F.greatest(low, high.bitwiseAND(F.lit(~within)))), high, level),
+            _between(low, F.when(same, high).otherwise(F.least(high, low.bitwiseOR(F.lit(within)))), code),
+            _between(F.when(same, high + 1).otherwise(F.greatest(low, high.bitwiseAND(F.lit(~within)))), high, code),
         ]
         low, high = F.shiftright(low, WIDER_BITS) + 1, F.shiftright(high, WIDER_BITS) - 1
-    return F.concat(*parts, _between(low, high, LEVELS - 1))
+    return [*parts, _between(low, high, _code(LEVELS - 1, role))]
 
 
-def _around(at: Column) -> Column:
-    """The slice of each level that holds the finest slice ``at``."""
-    return F.array(*[F.lit(n << 56) + F.shiftright(at, n * WIDER_BITS) for n in range(LEVELS)])
+def _slice_of(day: Column, slice_days: int) -> Column:
+    return F.floor(F.unix_date(day) / F.lit(slice_days)).cast("bigint")
 
 
 def _meetings(start: Column, end: Column, slice_days: int, holds: int) -> Column:
-    """(role, slice) under which an interval may meet one of the other side.
+    """Codes of the slices in which an interval may meet one of the other side.
 
-    Of two intervals that overlap one holds the other's beginning.  In the role
-    ``holds`` an interval stands for its days, in the other for its beginning.
+    Of two intervals that overlap the earlier one holds the other's beginning: in one
+    of its finest slices, where the other has its first slice too, or in one of its
+    wider slices.  For these an interval also stands in the slice of each wider level
+    around its beginning, in the role that the other side ``holds``.
     """
-    low, high = F.least(start, end), F.greatest(start, end)
-    numbers = [F.floor(F.unix_date(day) / F.lit(slice_days)).cast("bigint") for day in (low, high)]
-
-    def under(role: int, slices: Column) -> Column:
-        return F.transform(slices, lambda s: F.struct(F.lit(role).alias("role"), s.alias("slice")))
-
-    both = F.concat(under(holds, _cover(*numbers)), under(1 - holds, _around(numbers[0])))
-    return F.when(start.isNotNull() & end.isNotNull(), both)
+    low, high = (_slice_of(day, slice_days) for day in (F.least(start, end), F.greatest(start, end)))
+    around = [
+        F.lit(_code(level, 1 - holds)) + F.shiftright(low, level * WIDER_BITS)
+        for level in range(1, LEVELS)
+    ]
+    both = F.concat(*_cover(low, high, holds), F.array(*around))
+    # A short interval lies in its finest slices alone.
+    short = F.concat(F.sequence(low, high), F.array(*around))
+    few = F.shiftright(low, WIDER_BITS) == F.shiftright(high, WIDER_BITS)
+    return F.when(start.isNotNull() & end.isNotNull(), F.when(few, short).otherwise(both))
 
 
 def overlap_join(
@@ -74,9 +83,10 @@ def overlap_join(
     one key's rows spread over many partitions and only neighbours in time are
     compared.  Slices have several widths, each ``2 ** WIDER_BITS`` times the one
     below.  An interval is sent to the few slices that make it up and its beginning to
-    the slice of each width around it; of two that overlap, the one that holds the
-    other's beginning meets it in exactly one slice, so a pair appears once.  Neither
-    side has to know the other's days: each is read once, and an open end is cheap.
+    the wider slices around it; a pair counts in the one slice that the earlier
+    interval has around the later one's beginning, so it appears once.  Neither
+    side has to know the other's days: each is read once, an ordinary interval is two
+    or three rows and an open end is cheap.  Rows are sorted by the first key first.
 
     With ``how='left'`` a left row may also appear unmatched once per slice: the
     caller aggregates per left row, which ignores those.  Column names of the two
@@ -87,11 +97,11 @@ def overlap_join(
     explode = F.explode_outer if how == "left" else F.explode
     cut_left = left.select(*left.columns, explode(_meetings(ls, le, slice_days, 0)).alias("__l"))
     cut_right = right.select(*right.columns, F.explode(_meetings(rs, re, slice_days, 1)).alias("__r"))
-    cut_left = cut_left.select(*left.columns, F.col("__l.role").alias("__l_role"), F.col("__l.slice").alias("__l_slice"))
-    cut_right = cut_right.select(*right.columns, F.col("__r.role").alias("__r_role"), F.col("__r.slice").alias("__r_slice"))
-    on = (F.col("__l_slice") == F.col("__r_slice")) & (F.col("__l_role") == F.col("__r_role"))
+    on = F.lit(True)
     for l, r in keys:
         on = on & (F.col(l) == F.col(r))
-    l_begin, r_begin = F.least(ls, le), F.least(rs, re)
-    on = on & (rs <= le) & (re >= ls) & ((l_begin <= r_begin) == (F.col("__l_role") == 0))
-    return cut_left.join(cut_right, on, how).drop("__l_role", "__l_slice", "__r_role", "__r_slice")
+    later = _slice_of(F.greatest(F.least(ls, le), F.least(rs, re)), slice_days)
+    wider = F.col("__l") >= F.lit(1 << 56)
+    on = on & (F.col("__l") == F.col("__r")) & (rs <= le) & (re >= ls)
+    on = on & (wider | (F.col("__l") == later))
+    return cut_left.join(cut_right, on, how).drop("__l", "__r")

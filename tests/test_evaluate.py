@@ -7,8 +7,13 @@ import statistics
 import pytest
 
 from posolog.functions.stats import exact_quantiles, spearman
-from posolog.operators.evaluate import day_agreement, evaluate_against_gold, gold_to_pred_equiv
-from posolog.operators.joins import overlap_join
+from posolog.operators.evaluate import (
+    compare_episodes,
+    day_agreement,
+    evaluate_against_gold,
+    gold_to_pred_equiv,
+)
+from posolog.operators.joins import SLICE_DAYS, _meetings, overlap_join
 
 D = dt.date
 EP = "person_id long, episode_start date, episode_end date, median_daily_dose double"
@@ -78,6 +83,51 @@ def test_overlap_join_against_brute_force(spark, how):
         assert {r.ai for r in out.collect()} == {x[0] for x in a}
 
 
+def test_overlap_join_of_all_widths_against_brute_force(spark):
+    rng = random.Random(8)
+
+    def make(n):
+        out = []
+        for i in range(n):
+            s = D(1960, 1, 1) + dt.timedelta(days=rng.randint(0, 9000))
+            e = s + dt.timedelta(days=rng.choice([-400, 0, 60, 300, 5000, 40000, 90000]))
+            out.append((i, rng.randint(0, 1), s, e if rng.random() > 0.1 else D(9999, 12, 31)))
+        return out
+
+    a, b = make(90), make(90)
+    left = spark.createDataFrame(a, "ai int, ak int, s date, e date")
+    right = spark.createDataFrame(b, "bi int, bk int, t date, u date")
+    for width in (3, 90, SLICE_DAYS):
+        out = overlap_join(left, right, [("ak", "bk")], ("s", "e"), ("t", "u"), slice_days=width)
+        expected = [(x[0], y[0]) for x in a for y in b if x[1] == y[1] and y[2] <= x[3] and y[3] >= x[2]]
+        assert sorted((r.ai, r.bi) for r in out.collect()) == sorted(expected)
+
+
+def test_an_ordinary_interval_is_few_rows(spark):
+    from pyspark.sql import functions as F
+
+    days = [(D(2020, 1, 1) + dt.timedelta(days=n), D(2020, 1, 1) + dt.timedelta(days=n + 60)) for n in range(600)]
+    sides = [_meetings(F.col("s"), F.col("e"), SLICE_DAYS, holds) for holds in (0, 1)]
+    sizes = spark.createDataFrame(days, "s date, e date").select(*[F.avg(F.size(x)) for x in sides]).first()
+    assert max(sizes) < 2.5
+    assert spark.sql("select date'2020-01-01' s, date'9999-12-31' e").select(F.size(sides[0])).first()[0] < 350
+
+
+def test_a_gold_episode_meets_all_methods_at_once(spark):
+    from pyspark.sql import functions as F
+
+    gold = _pair(spark, [], [(1, *Y, 10.0), (1, *Y, 10.0), (2, *Y, 4.0)])[1]
+    found = [("a", 1, *Y, 9.0), ("b", 1, D(2030, 1, 1), D(2030, 2, 1), 8.0), ("c", 2, *Y, 7.0), ("x", 2, *Y, 1.0)]
+    computed = spark.createDataFrame(
+        found, "method string, person_id long, episode_start date, episode_end date, median_daily_dose double"
+    )
+    out = compare_episodes(computed, gold, methods=["a", "b", "c"])
+    assert out.columns[:2] == ["method", "patient_id"]
+    got = sorted((r.method, r.patient_id, r.computed_dose) for r in out.collect() if r.computed_dose is not None)
+    assert got == [("a", 1, 9.0), ("a", 1, 9.0), ("c", 2, 7.0)]
+    assert out.groupBy("method").agg(F.count("*").alias("n")).where("n = 3").count() == 3
+
+
 def test_quantiles_and_ranks_against_brute_force(spark):
     rng = random.Random(3)
     data = [(rng.choice("ab"), round(rng.lognormvariate(2, 2), 1), float(rng.randint(-9, 9)))
