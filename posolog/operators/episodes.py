@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from posolog.functions import fixed_values as V
@@ -74,7 +74,7 @@ def build_episodes(
     ).where(F.col("person_id").isNotNull() & start.isNotNull())
     rows = rows.withColumn("end", not_before(start, end))
 
-    key = [*by, "person_id", "drug_name_std"]
+    key = ["person_id", "drug_name_std", *by]  # sorts tell most rows apart by the first
     compact = rows.groupBy(*key, "start", "dose").agg(
         F.max("end").alias("end"),
         F.count("*").alias("n"),
@@ -95,17 +95,36 @@ def build_episodes(
         "episode_start", F.max(F.when(F.col("opens"), start)).over(so_far)
     )
 
+    # The median: an episode's rows in the order of their doses, each as many places as
+    # it stands for records, and the dose that holds the middle place (or both).
     dose, days = F.col("dose"), F.col("dose_days")
-    episodes = spans.groupBy(*key, "episode_start").agg(
+    episode = Window.partitionBy(*key, "episode_start")
+    by_dose = episode.orderBy("dose")
+    dosed = F.when(dose.isNotNull(), F.col("n")).otherwise(F.lit(0))
+    placed = spans.withColumns(
+        {
+            "upto": F.sum(dosed).over(by_dose.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "of": F.sum(dosed).over(by_dose.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+        }
+    )
+
+    def at(place: Column) -> Column:
+        holds = (place >= F.col("upto") - dosed) & (place < F.col("upto"))
+        return F.max(F.when(holds, dose))
+
+    half = F.lit(0.5)
+    low, high = F.col("low"), F.col("high")
+    episodes = placed.groupBy(*key, "episode_start").agg(
         F.max("end").alias("episode_end"),
         F.sum("n").alias("n_records"),
-        F.percentile("dose", F.lit(0.5), F.col("n")).alias("median_daily_dose"),
+        at(F.shiftright(F.col("of") - 1, 1)).alias("low"),
+        at(F.shiftright(F.col("of"), 1)).alias("high"),
         F.min("dose").alias("min_daily_dose"),
         F.max("dose").alias("max_daily_dose"),
         F.try_divide(
             F.sum(dose * days), F.sum(F.when(dose.isNotNull(), days))
         ).alias("mean_daily_dose"),
-    )
+    ).withColumn("median_daily_dose", F.when(low == high, low).otherwise(half * low + half * high))
     number_in_order = Window.partitionBy(*key).orderBy("episode_start")
     return episodes.withColumns(
         {

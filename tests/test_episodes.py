@@ -97,3 +97,17 @@ def test_windows_share_one_exchange(spark):
     df = _make(spark, (1, "p", D(2023, 1, 1), D(2023, 1, 10), 1.0))
     plan = build_episodes(df, end_col=END)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2  # counted rows, then (person, drug)
+
+
+def test_medians_need_no_aggregate_that_falls_back_to_sorting(spark):
+    p, day = "p", [D(2023, 1, n) for n in range(1, 8)]
+    df = _make(
+        spark,
+        *[(1, p, day[0], None, x) for x in (4.0, 1.0, 1.0, 10.0)], (1, p, day[3], None, None),
+        *[(2, p, day[n], None, x) for n, x in enumerate((7.0, 3.0, 3.0, 8.0, 9.0))],
+        (3, p, day[0], None, None), (4, p, day[0], None, float("inf")), (4, p, day[1], None, float("inf")),
+    )
+    out = build_episodes(df, end_col=END)
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.person_id: (r.median_daily_dose, r.n_records) for r in out.collect()}
+    assert got == {1: (2.5, 5), 2: (7.0, 5), 3: (None, 1), 4: (float("inf"), 2)}
