@@ -39,9 +39,14 @@ def convert_pred_equiv(
     require_columns(df, [dose_col])
 
     keep = [c for c in df.columns if c not in (out_col, "equiv_factor", "pred_equiv_status")]
-    cleaned = df.withColumn("__clean", clean_name(F.col(drug_col)))
+    # A name of the table is its own standard name, unless the caller has rules.
+    given = F.col(drug_col).cast("string")
+    standard = F.lit(False) if drug_name_map else F.coalesce(
+        given.isin(list(V.PREDNISONE_FACTORS)), F.lit(False)
+    )
+    cleaned = df.withColumn("__clean", F.when(~standard, clean_name(F.col(drug_col))))
     name = canonical_name(F.col("__clean"), drug_name_map)
-    named = evaluated(cleaned, {"__name": name})
+    named = evaluated(cleaned, {"__name": F.when(standard, given).otherwise(name)})
     if equiv_table is None:
         factors = F.create_map(
             *[

@@ -103,11 +103,10 @@ def study_tables(
     read = written(parse_both(rows) if "sig" in rows.columns else rows)
     records = _doses_of(read)
     oral = without_readings(read)
-    episodes = written(stacked_episodes(records, gap_days), ["method"])
+    # In one folder: a folder a method would have the rows sorted once more.
+    episodes = written(stacked_episodes(records, gap_days))
     reviewed = written(gold_to_pred_equiv(gold, oral))
-    comparison = written(
-        compare_episodes(episodes, reviewed, methods=METHODS), ["method"]
-    )
+    comparison = written(compare_episodes(episodes, reviewed, methods=METHODS))
     return StudyTables(raw, oral, records, episodes, reviewed, comparison)
 
 

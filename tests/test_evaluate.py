@@ -227,3 +227,24 @@ def test_day_agreement_equals_days_one_by_one(spark):
     row = day_agreement(c_frame, g_frame).first().asDict()
     assert {k: row[k] for k in counts} == counts
     assert counts["TP"] > 2_900_000  # days of an open end, none of them a row
+
+
+def test_names_of_the_factor_table_are_their_own_standard_names(spark):
+    from pyspark.sql import functions as F
+
+    from posolog.functions import fixed_values as V
+    from posolog.functions.values import standard_drug_name
+    from posolog.operators.convert import convert_pred_equiv
+
+    names = [*V.PREDNISONE_FACTORS, "Medrol 4 MG", " Prednisone ", "", None, "other"]
+    df = spark.createDataFrame([(n, 10.0) for n in names], "drug_name_std string, daily_dose_mg double")
+    read = df.select("drug_name_std", standard_drug_name(F.col("drug_name_std")).alias("s"))
+    assert all(r.s == r.drug_name_std for r in read.collect() if r.drug_name_std in V.PREDNISONE_FACTORS)
+    got = {r.drug_name_std: (r.equiv_factor, r.pred_equiv_status) for r in convert_pred_equiv(df).collect()}
+    for n, factor in V.PREDNISONE_FACTORS.items():
+        assert got[n] == (factor, "ok" if factor is not None else "missing_factor")
+    assert got["Medrol 4 MG"] == (V.PREDNISONE_FACTORS["methylprednisolone"], "ok")
+    assert got[" Prednisone "] == (1.0, "ok")
+    assert {got[n] for n in ("", None, "other")} == {(None, "unknown_drug")}
+    mapped = convert_pred_equiv(df, drug_name_map=[("^prednisone$", "dexamethasone")])
+    assert mapped.where("drug_name_std = 'prednisone'").first().equiv_factor == V.PREDNISONE_FACTORS["dexamethasone"]
