@@ -7,65 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE_DAYS = 256
-#: A slice of one level holds this many (as a power of two) of the level below.
-WIDER_BITS = 7
-LEVELS = 2
-
-
-def _code(level: int, role: int) -> int:
-    """What the slice numbers of a level are counted from, so that no two codes agree."""
-    return (2 * level + role) << 56
-
-
-def _between(low: Column, high: Column, code: int) -> Column:
-    """Codes of the slices ``low`` to ``high`` of a level; none where ``high`` is less."""
-    numbers = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
-    return F.transform(numbers, lambda n: F.lit(code) + n) if code else numbers
-
-
-def _cover(low: Column, high: Column, role: int) -> list[Column]:
-    """The fewest slices of all levels that make up the finest slices ``low`` to ``high``.
-
-    Each level holds the ends that do not fill a wider slice, the last one all the
-    rest, so that even an open end (the year 9999) is no more than some 350 slices.
-    ``low`` itself is always a finest slice.
-    """
-    parts = []
-    within = (1 << WIDER_BITS) - 1
-    for level in range(LEVELS - 1):
-        code = _code(level, role if level else 0)
-        same = F.shiftright(low, WIDER_BITS) == F.shiftright(high, WIDER_BITS)
-        parts += [
-            _between(low, F.when(same, high).otherwise(F.least(high, low.bitwiseOR(F.lit(within)))), code),
-            _between(F.when(same, high + 1).otherwise(F.greatest(low, high.bitwiseAND(F.lit(~within)))), high, code),
-        ]
-        low, high = F.shiftright(low, WIDER_BITS) + 1, F.shiftright(high, WIDER_BITS) - 1
-    return [*parts, _between(low, high, _code(LEVELS - 1, role))]
+SLICE_DAYS = 512
+#: Days since 1970 (of 1900 and 2100) between which slices have their ordinary width.
+NEAR_DAYS = (-25567, 47482)
+#: A slice of the days before and after is this many times as wide.
+FAR_WIDER = 128
 
 
 def _slice_of(day: Column, slice_days: int) -> Column:
-    return F.floor(F.unix_date(day) / F.lit(slice_days)).cast("bigint")
+    """Number of the slice that holds ``day``; a later day has no smaller number."""
+    number = F.unix_date(day)
+    near = F.least(F.greatest(number, F.lit(NEAR_DAYS[0])), F.lit(NEAR_DAYS[1]))
+    far = F.floor((number - near) / F.lit(FAR_WIDER * slice_days))
+    return (F.floor(near / F.lit(slice_days)) + far).cast("bigint")
 
 
-def _meetings(start: Column, end: Column, slice_days: int, holds: int) -> Column:
-    """Codes of the slices in which an interval may meet one of the other side.
+def _meetings(start: Column, end: Column, slice_days: int, side: int = 0) -> Column:
+    """The slices of an interval, in which it may meet one of the other side.
 
-    Of two intervals that overlap the earlier one holds the other's beginning: in one
-    of its finest slices, where the other has its first slice too, or in one of its
-    wider slices.  For these an interval also stands in the slice of each wider level
-    around its beginning, in the role that the other side ``holds``.
+    They are the same on either ``side``: of two intervals that overlap the earlier
+    one holds the slice in which the other begins.
     """
     low, high = (_slice_of(day, slice_days) for day in (F.least(start, end), F.greatest(start, end)))
-    around = [
-        F.lit(_code(level, 1 - holds)) + F.shiftright(low, level * WIDER_BITS)
-        for level in range(1, LEVELS)
-    ]
-    both = F.concat(*_cover(low, high, holds), F.array(*around))
-    # A short interval lies in its finest slices alone.
-    short = F.concat(F.sequence(low, high), F.array(*around))
-    few = F.shiftright(low, WIDER_BITS) == F.shiftright(high, WIDER_BITS)
-    return F.when(start.isNotNull() & end.isNotNull(), F.when(few, short).otherwise(both))
+    return F.when(start.isNotNull() & end.isNotNull(), F.sequence(low, high))
 
 
 def overlap_join(
@@ -81,12 +45,11 @@ def overlap_join(
 
     Both sides are cut into slices of the day axis and joined on keys and slice, so
     one key's rows spread over many partitions and only neighbours in time are
-    compared.  Slices have several widths, each ``2 ** WIDER_BITS`` times the one
-    below.  An interval is sent to the few slices that make it up and its beginning to
-    the wider slices around it; a pair counts in the one slice that the earlier
-    interval has around the later one's beginning, so it appears once.  Neither
-    side has to know the other's days: each is read once, an ordinary interval is two
-    or three rows and an open end is cheap.  Rows are sorted by the first key first.
+    compared.  A pair counts in the slice in which the later of the two begins, which
+    the earlier one holds too, so it appears once.  Neither side has to know the
+    other's days: each is read once, and an ordinary interval is one row or two.
+    Slices before 1900 and after 2100 are ``FAR_WIDER`` times as wide, so an open end
+    (the year 9999) is some 100 rows.  Rows are sorted by the first key first.
 
     With ``how='left'`` a left row may also appear unmatched once per slice: the
     caller aggregates per left row, which ignores those.  Column names of the two
@@ -101,7 +64,5 @@ def overlap_join(
     for l, r in keys:
         on = on & (F.col(l) == F.col(r))
     later = _slice_of(F.greatest(F.least(ls, le), F.least(rs, re)), slice_days)
-    wider = F.col("__l") >= F.lit(1 << 56)
-    on = on & (F.col("__l") == F.col("__r")) & (rs <= le) & (re >= ls)
-    on = on & (wider | (F.col("__l") == later))
+    on = on & (F.col("__l") == F.col("__r")) & (rs <= le) & (re >= ls) & (F.col("__l") == later)
     return cut_left.join(cut_right, on, how).drop("__l", "__r")

@@ -113,6 +113,35 @@ def test_an_ordinary_interval_is_few_rows(spark):
     assert spark.sql("select date'2020-01-01' s, date'9999-12-31' e").select(F.size(sides[0])).first()[0] < 350
 
 
+def test_an_ordinary_interval_is_one_row_or_two(spark):
+    from pyspark.sql import functions as F
+
+    days = [(D(2020, 1, 1) + dt.timedelta(days=n), D(2020, 1, 1) + dt.timedelta(days=n + 60)) for n in range(600)]
+    sizes = spark.createDataFrame(days, "s date, e date").select(F.size(_meetings(F.col("s"), F.col("e"), SLICE_DAYS, 0)).alias("n"))
+    assert sizes.agg(F.max("n")).first()[0] <= 2
+    assert sizes.agg(F.avg("n")).first()[0] < 1.3
+
+
+def test_overlap_join_beyond_ordinary_days_against_brute_force(spark):
+    rng = random.Random(3)
+    days = [D(1, 1, 1), D(1500, 6, 1), D(1899, 12, 31), D(1900, 1, 1), D(1969, 12, 31), D(1970, 1, 1),
+            D(2099, 12, 31), D(2100, 1, 1), D(2100, 1, 2), D(2600, 1, 1), D(9999, 12, 31), None]
+
+    def make(n):
+        return [(i, rng.randint(0, 1), rng.choice(days), rng.choice(days)) for i in range(n)]
+
+    a, b = make(80), make(80)
+    left = spark.createDataFrame(a, "ai int, ak int, s date, e date")
+    right = spark.createDataFrame(b, "bi int, bk int, t date, u date")
+    expected = sorted(
+        (x[0], y[0]) for x in a for y in b
+        if x[1] == y[1] and None not in (*x, *y) and y[2] <= x[3] and y[3] >= x[2]
+    )
+    for width in (300, SLICE_DAYS):
+        out = overlap_join(left, right, [("ak", "bk")], ("s", "e"), ("t", "u"), slice_days=width)
+        assert sorted((r.ai, r.bi) for r in out.collect()) == expected
+
+
 def test_a_gold_episode_meets_all_methods_at_once(spark):
     from pyspark.sql import functions as F
 
