@@ -79,26 +79,36 @@ def build_episodes(
         F.max("end").alias("end"),
         F.count("*").alias("n"),
         F.sum(inclusive_days(start, end)).alias("dose_days"),
-    )
+    ).withColumn("day", F.unix_date("start"))  # a column: one sort serves all its windows
 
     # Frames run over distinct start days: rows sharing a start see the same
     # earlier ends, whatever their order.
-    by_start = Window.partitionBy(*key).orderBy(F.unix_date("start"))
+    by_start = Window.partitionBy(*key).orderBy("day")
     earlier = by_start.rangeBetween(Window.unboundedPreceding, -1)
     so_far = by_start.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    flagged = compact.withColumn("previous_end", F.max("end").over(earlier)).withColumn(
+    flagged = compact.withColumns(
+        {
+            "previous_end": F.max("end").over(earlier),
+            "previous_start": F.lag("start").over(by_start),
+        }
+    ).withColumn(
         "opens",
         F.col("previous_end").isNull()
         | (F.datediff("start", "previous_end") > F.lit(int(gap_days))),
     )
-    spans = flagged.withColumn(
-        "episode_start", F.max(F.when(F.col("opens"), start)).over(so_far)
+    # All rows of the day that opens an episode do; the first of them counts it.
+    counts = F.col("opens") & ~F.col("previous_start").eqNullSafe(start)
+    spans = flagged.withColumns(
+        {
+            "episode_start": F.max(F.when(F.col("opens"), start)).over(so_far),
+            "episode_id": F.count(F.when(counts, 1)).over(so_far).cast("int"),
+        }
     )
 
     # The median: an episode's rows in the order of their doses, each as many places as
     # it stands for records, and the dose that holds the middle place (or both).
     dose, days = F.col("dose"), F.col("dose_days")
-    episode = Window.partitionBy(*key, "episode_start")
+    episode = Window.partitionBy(*key, "episode_start", "episode_id")
     by_dose = episode.orderBy("dose")
     dosed = F.when(dose.isNotNull(), F.col("n")).otherwise(F.lit(0))
     placed = spans.withColumns(
@@ -114,7 +124,7 @@ def build_episodes(
 
     half = F.lit(0.5)
     low, high = F.col("low"), F.col("high")
-    episodes = placed.groupBy(*key, "episode_start").agg(
+    episodes = placed.groupBy(*key, "episode_start", "episode_id").agg(
         F.max("end").alias("episode_end"),
         F.sum("n").alias("n_records"),
         at(F.shiftright(F.col("of") - 1, 1)).alias("low"),
@@ -125,10 +135,6 @@ def build_episodes(
             F.sum(dose * days), F.sum(F.when(dose.isNotNull(), days))
         ).alias("mean_daily_dose"),
     ).withColumn("median_daily_dose", F.when(low == high, low).otherwise(half * low + half * high))
-    number_in_order = Window.partitionBy(*key).orderBy("episode_start")
-    return episodes.withColumns(
-        {
-            "episode_id": F.row_number().over(number_in_order),
-            "n_days": inclusive_days(F.col("episode_start"), F.col("episode_end")),
-        }
+    return episodes.withColumn(
+        "n_days", inclusive_days(F.col("episode_start"), F.col("episode_end"))
     ).select(*by, *EPISODE_COLUMNS)

@@ -111,3 +111,24 @@ def test_medians_need_no_aggregate_that_falls_back_to_sorting(spark):
     assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.person_id: (r.median_daily_dose, r.n_records) for r in out.collect()}
     assert got == {1: (2.5, 5), 2: (7.0, 5), 3: (None, 1), 4: (float("inf"), 2)}
+
+
+def test_episodes_are_numbered_without_a_sort_of_their_own(spark):
+    p, day = "p", D(2023, 1, 1)
+    later, last = D(2023, 6, 1), D(2023, 12, 1)
+    df = _make(
+        spark,
+        # Rows of one day, with doses and ends of their own, open one episode.
+        (1, p, day, None, 1.0), (1, p, day, D(2023, 1, 9), 2.0), (1, p, day, None, None),
+        (1, p, later, None, 5.0), (1, p, later, None, 6.0), (1, p, D(2023, 6, 20), None, 6.0), (1, p, last, None, 1.0),
+        (2, p, later, None, 1.0), (1, None, day, None, 1.0), (1, None, last, None, 1.0),
+    )
+    out = build_episodes(df, end_col=END)
+    got = sorted((r.person_id, r.drug_name_std or "", r.episode_id, r.episode_start, r.n_records) for r in out.collect())
+    assert got == [
+        (1, "", 1, day, 1), (1, "", 2, last, 1),
+        (1, p, 1, day, 3), (1, p, 2, later, 3), (1, p, 3, last, 1), (2, p, 1, later, 1),
+    ]
+    assert dict(out.dtypes)["episode_id"] == "int"
+    plan = build_episodes(df, end_col=END)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 2  # by day, then by dose
