@@ -186,34 +186,35 @@ def with_exposure_id(df: DataFrame, slots: int = 4096) -> DataFrame:
     """Add ``drug_exposure_id``, numbered from 1, where the source has none.
 
     Ids follow from the rows' content, so a recomputed partition gives the same
-    ids.  Equal rows are counted first and take a range of ids; rows are spread
-    over a fixed number of hash slots, and only the slot totals (one row per
-    slot, which is why they may be broadcast) are scanned in order.
+    ids.  Rows are spread over a fixed number of hash slots and stand there in the
+    order of two 64-bit hashes of all their columns (the second one tells NULLs
+    apart); equal rows take a range of ids.  Only the slot totals (one row per slot,
+    which is why they may be broadcast) are scanned in order.  Rows are moved once,
+    with no column beside the hashes that the reader of the result does not ask for.
     """
     if "drug_exposure_id" in df.columns:
         return df
     columns = df.columns
-    counted = (
-        df.groupBy(*columns)
-        .agg(F.count("*").alias("__n"))
-        .withColumn("__slot", F.pmod(F.xxhash64(*columns), F.lit(slots)))
+    # A slot that may be NULL gets a filter on one side of the join below, and the two
+    # sides would no longer share their shuffle.
+    hashed = df.withColumns(
+        {
+            "__hash": F.xxhash64(*columns),
+            "__other": F.xxhash64(*[F.col(c).isNull() for c in columns], *columns),
+        }
+    ).withColumn("__slot", F.coalesce(F.pmod("__hash", F.lit(slots)), F.lit(0)))
+    inside = Window.partitionBy("__slot").orderBy("__hash", "__other").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
+    numbered = hashed.withColumn("__at", F.count(F.lit(1)).over(inside))
     before = Window.partitionBy(F.lit(0)).orderBy("__slot").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = (
-        counted.groupBy("__slot")
-        .agg(F.sum("__n").alias("__size"))
+        numbered.groupBy("__slot")
+        .agg(F.max("__at").alias("__size"))
         .select("__slot", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"))
     )
-    inside = Window.partitionBy("__slot").orderBy(*columns).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    placed = counted.withColumn("__upto", F.sum("__n").over(inside)).join(
-        F.broadcast(offsets), "__slot"
-    )
-    last = F.col("__before") + F.col("__upto")
-    return placed.select(
-        *columns,
-        F.explode(F.sequence(last - F.col("__n") + 1, last)).alias("drug_exposure_id"),
+    return numbered.join(F.broadcast(offsets), "__slot").select(
+        *columns, (F.col("__before") + F.col("__at")).alias("drug_exposure_id")
     )

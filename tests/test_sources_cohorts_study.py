@@ -2,8 +2,11 @@
 
 import datetime as dt
 import json
+import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from posolog import ClinicalTables, extract_exposures, run_pipeline, run_study, to_exposures
 from posolog.operators import cohort as K
@@ -101,6 +104,25 @@ def test_selection(spark, exposures):
     assert sorted(r.drug_exposure_id for r in ids.collect()) == [1, 2, 3, 4, 5, 6]
 
 
+def test_exposure_ids_move_rows_once_and_only_what_is_read(spark):
+    rows = [(i % 40, "a" if i % 3 else None, "a" if i % 3 == 0 else None, i / 7 if i % 5 else None) for i in range(200)] + [(1, "x", None, 2.0)] * 50
+    schema = "person_id long, sig string, drug_source_value string, quantity double"
+    frame = spark.createDataFrame(rows, schema)
+    found = {tuple(r) for r in with_exposure_id(frame, slots=8).collect()}
+    assert Counter(r[:4] for r in found) == Counter(rows)
+    assert sorted(r[4] for r in found) == list(range(1, len(rows) + 1))
+    again = with_exposure_id(spark.createDataFrame(rows[::-1], schema).repartition(7), slots=8)
+    assert {tuple(r) for r in again.collect()} == found
+
+    def moved(df):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return re.findall(r"\nInput \[\d+\]: \[(.*)\]\nArguments: hashpartitioning", plan)
+
+    ids = with_exposure_id(frame)
+    assert sum("sig#" in columns for columns in moved(ids)) == 1
+    assert not any("sig#" in columns for columns in moved(ids.agg(F.countDistinct("drug_exposure_id"))))
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     def make(rows, schema):
