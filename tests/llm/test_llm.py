@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from posolog.llm import cap_filters, common, exact_dedup, html_text, line_dedup, mixing, near_texts, packing, repeated_bytes, simhash
 from posolog.llm import token_counts, toxicity
@@ -168,6 +169,53 @@ def test_toxicity_learns_words_and_holds_rows_out(spark, none):
     assert toxicity.toxicity_scores(none, no_labels).collect() == []
 
 
+def newton(x, y):
+    """Weights (bias first) of the ridge-held logistic model of op3, over all rows at once."""
+    x = np.column_stack([np.ones(len(x)), x])
+    penalty = np.array([1e-3] + [1.0] * (x.shape[1] - 1))
+    weights = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ weights))
+        weights += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * weights)
+    return weights
+
+
+def test_toxicity_weights_are_fitted_on_all_labelled_rows(spark):
+    """Of 24,000 labelled rows of remainder 3 none is left out, whatever its hashed id."""
+    rng = np.random.default_rng(5)
+    ids = {r: [i for i in range(120_000) if zlib.crc32(str(i).encode()) % 4 == r] for r in (0, 3)}
+    fit, n = ids[3][:24_000], 24_000
+    toxic = rng.random(n) < 0.3
+    # Rows that the former limit of 20,000 by hashed id left out have the other label.
+    hashed = spark.createDataFrame([(i,) for i in fit], "doc_id long").orderBy(F.xxhash64("doc_id")).collect()
+    late = {r.doc_id for r in hashed[20_000:]}
+    docs = [(i, "vile plain" if t else "plain plain") for i, t in zip(fit, toxic, strict=True)]
+    labels = [(i, int(t != (i in late))) for i, t in zip(fit, toxic, strict=True)]
+    train = ids[0][:200]
+    docs += [(i, "vile plain" if at % 2 else "plain plain") for at, i in enumerate(train)]
+    labels += [(i, at % 2) for at, i in enumerate(train)]
+    scores = toxicity.toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.score for r in scores.collect()}
+    # With two texts only, the fit gives the label's share among all rows of a text.
+    y = dict(labels)
+    for kind in (True, False):
+        rows = [i for i, t in zip(fit, toxic, strict=True) if t == kind]
+        assert len({got[i] for i in rows}) == 1
+        assert abs(got[rows[0]] - np.mean([y[i] for i in rows])) < 2e-3
+
+
+def test_toxicity_newton_steps(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, len(toxicity.FEATURES))) * [1, 2, 3, 0.1, 1, 5] + 4
+    raw = x @ [1, -1, 0.5, 3, 0, 0.2] + rng.normal(size=500)
+    y = (raw > np.median(raw)).astype(float)
+    rows = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(y, x, strict=True)], "toxic int, " + ", ".join(f"{f} double" for f in toxicity.FEATURES))
+    mean, deviation, weights = toxicity.fitted(rows)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(deviation, x.std(0))
+    assert np.allclose(weights, newton((x - x.mean(0)) / x.std(0), y), atol=1e-6)
+    assert toxicity.fitted(rows.filter("toxic = 1")) is None and toxicity.fitted(rows.filter("false")) is None
+
+
 def brute_repeats(rows):
     seen, out = {}, []
     for doc, body in sorted(rows):
