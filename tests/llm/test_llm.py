@@ -204,6 +204,63 @@ def test_toxicity_weights_are_fitted_on_all_labelled_rows(spark):
         assert abs(got[rows[0]] - np.mean([y[i] for i in rows])) < 2e-3
 
 
+def brute_statistics(docs, labels):
+    """Every text's statistics from plain counts of its words and stems."""
+    words = [re.findall(r"[^\W_]+(?:'[^\W_]+)*", (t or "").lower()) for _, t in docs]
+    stem = lambda w: w[:5]
+    tokens, documents = collections.Counter(), collections.Counter()
+    c, d = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for (i, _), found in zip(docs, words, strict=True):
+        tokens.update(found)
+        documents.update({stem(w) for w in found})
+        if i is not None and i in labels and zlib.crc32(str(i).encode()) % 4 < 2:
+            c[labels[i]].update(found)
+            d[labels[i]].update({stem(w) for w in found})
+    in_stem = collections.Counter()
+    for w, n in tokens.items():
+        in_stem[stem(w)] += n + 1
+    below = {s: (n + 1) / sum(m + 1 for m in documents.values()) for s, n in documents.items()}
+
+    def ratio(w):
+        p = []
+        for k in (0, 1):
+            n, m = sum(c[k].values()), sum(d[k].values())
+            q = max(d[k][stem(w)] - 0.75, 0) / m + 0.75 * len(d[k]) / m * below[stem(w)]
+            p.append(max(c[k][w] - 0.75, 0) / n + 0.75 * len(c[k]) / n * q * (tokens[w] + 1) / in_stem[stem(w)])
+        return math.log(p[1] / p[0])
+
+    ratios = {w: ratio(w) for w in tokens}
+    return [(i, *toxicity.statistics(np.array([ratios[w] for w in found]))) for (i, _), found in zip(docs, words, strict=True)]
+
+
+@pytest.mark.parametrize("chunk, bucket", [(30, 20), (1 << 16, 1 << 17)])
+def test_toxicity_counts_are_exact(spark, chunk, bucket):
+    """Words that fell into one hashed cell before keep counts of their own."""
+    cell = collections.defaultdict(list)
+    for i in range(100_000):
+        cell[zlib.crc32(f"stem{i}".encode()) & 0x3FFFF].append(f"stem{i}")
+    alike = next(v for v in cell.values() if len(v) > 1)
+    rng = np.random.default_rng(4)
+    plain = [f"w{i}" for i in range(60)] + ["it's", "Ünïcode", "stem_1"]
+    docs = [(i, " ".join([*rng.choice(plain, rng.integers(1, 30)), *([alike[i % 2]] * 3)])) for i in range(300)]
+    docs += [(900, None), (901, ""), (None, "w1 nobody"), (7, docs[8][1]), (902, "w1 " * 5000)]
+    labels = {i: int(i % 2 == 0) for i in range(200)}
+    rows = spark.createDataFrame(docs, "doc_id long, text string").select(
+        "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    known = spark.createDataFrame([*labels.items()], "labelled long, toxic int")
+    before = toxicity.CHUNK_WORDS, toxicity.BUCKET_WORDS
+    try:
+        toxicity.CHUNK_WORDS, toxicity.BUCKET_WORDS = chunk, bucket
+        found = toxicity.measured_texts(rows.repartition(3), known).drop("content").collect()
+    finally:
+        toxicity.CHUNK_WORDS, toxicity.BUCKET_WORDS = before
+    in_order = lambda some: sorted(some, key=lambda r: (-1 if r[0] is None else r[0], *r[1:]))
+    got, want = in_order(map(tuple, found)), in_order(brute_statistics(docs, labels))
+    assert [r[0] for r in got] == [r[0] for r in want]
+    assert np.allclose([r[1:] for r in got], [r[1:] for r in want], atol=1e-9)
+
+
 def test_toxicity_newton_steps(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, len(toxicity.FEATURES))) * [1, 2, 3, 0.1, 1, 5] + 4
